@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import as_column, strip
+from factloom.functions.text import as_column, constant_map, strip
 
 SHANGHAI = 8 * 3600
 UTC = 0
@@ -40,7 +40,7 @@ def _zone_offset(zone: Column, naive: int) -> Column:
     digits = F.regexp_replace(zone, "[^0-9]", "")
     hours = F.substring(digits, 1, 2).try_cast("bigint")
     minutes = F.coalesce(F.substring(digits, 3, 2).try_cast("bigint"), F.lit(0))
-    named = F.create_map(*[F.lit(x) for k, v in _ZONES.items() for x in (k, v * 3600)])
+    named = constant_map({k: v * 3600 for k, v in _ZONES.items()})
     return (F.when((zone == "") | (zone == "-0000"), naive)
             .when(zone.rlike("^[+-]"), sign * (hours * 3600 + minutes * 60))
             .otherwise(F.coalesce(F.try_element_at(named, F.upper(zone)), F.lit(0))))

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions import url as U
 from factloom.functions.numbers import by_threshold
-from factloom.functions.text import strip
+from factloom.functions.text import constant_map, strip
 from factloom.rules import scoring as S
 from factloom.rules import text as T
 
 
 def labelled(value: Column, table: dict[str, str], missing: str) -> Column:
     """Label of a code; an unknown code stays, a blank one becomes ``missing``."""
-    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, value), F.when(value != "", value), F.lit(missing))
+    return F.coalesce(F.try_element_at(constant_map(table), value), F.when(value != "", value), F.lit(missing))
 
 
 def claim_label(value: Column) -> Column:

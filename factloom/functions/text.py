@@ -27,6 +27,25 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def sql_text(value: str | int | float) -> str:
+    """A value as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def constant_map(pairs: dict | list[tuple]) -> Column:
+    """A map of fixed values, folded to one literal."""
+    items = pairs.items() if isinstance(pairs, dict) else pairs
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in items) + ")")
+
+
+def constant_rules(pairs: list[tuple[str, str]]) -> Column:
+    """An array of (key, label) structs of fixed values, folded to one literal."""
+    rows = ", ".join(f"named_struct('key', {sql_text(k)}, 'label', {sql_text(v)})" for k, v in pairs)
+    return F.expr(f"array({rows})")
+
+
 def squash(value: Column | str) -> Column:
     """Collapse every run of white space to one blank and trim."""
     return F.trim(F.regexp_replace(as_column(value), SPACE + "+", " "))
@@ -40,7 +59,7 @@ def strip(value: Column | str) -> Column:
 def unescape(value: Column | str) -> Column:
     """Decode HTML entities: numeric ones and the named ones in common use."""
     col = as_column(value)
-    named = F.create_map(*[F.lit(x) for n in _NAMED for x in (f"&{n};", html5[n + ";"])])
+    named = constant_map([(f"&{n};", html5[n + ";"]) for n in _NAMED])
 
     def decode(token: Column) -> Column:
         digits = F.regexp_extract(token, "^&#([0-9]{1,7});$", 1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import as_column, literal_pattern, redact_quoted, strip, unescape
+from factloom.functions.text import (as_column, constant_map, constant_rules, literal_pattern,
+                                    redact_quoted, strip, unescape)
 from factloom.rules import sources as S
 from factloom.rules import text as T
 
@@ -66,12 +67,14 @@ def host_suffixes(name: Column) -> Column:
 
 
 def by_host(name: Column, rules: list[tuple[str, list[str]]], default: str | Column) -> Column:
-    """Label of the first host rule that matches."""
-    out: Column | None = None
-    for label, hosts in rules:
-        test = host_in(name, hosts)
-        out = F.when(test, label) if out is None else out.when(test, label)
-    return out.otherwise(F.lit(default) if isinstance(default, str) else default)
+    """Label of the first host rule that matches a suffix of the host."""
+    first: dict[str, str] = {}
+    for order, (label, hosts) in enumerate(rules):
+        for target in hosts:
+            first.setdefault(target, f"{order:04d}{label}")
+    hits = F.transform(host_suffixes(name), lambda s: F.try_element_at(constant_map(first), s))
+    best = F.array_min(F.filter(hits, lambda h: h.isNotNull()))
+    return F.coalesce(F.substring(best, 5, 200), F.lit(default) if isinstance(default, str) else default)
 
 
 def percent_decode(value: Column | str) -> Column:
@@ -269,13 +272,11 @@ def source_pack(name: Column) -> Column:
     """Struct (pack, label, tier) of a host: best tier first, then the pack key."""
     score = S.TIER_SCORES["search"]
     ranked = sorted(S.SOURCE_PACKS, key=lambda p: (-score.get(p[2], 40), p[0]))
-    out: Column | None = None
-    for key, label, tier, hosts in ranked:
-        value = F.struct(F.lit(key).alias("pack"), F.lit(label).alias("label"), F.lit(tier).alias("tier"))
-        test = host_in(name, hosts)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(F.struct(F.lit("").alias("pack"), F.lit("未知来源").alias("label"),
-                                  F.lit("T3").alias("tier")))
+    pack = by_host(name, [(key, hosts) for key, _, _, hosts in ranked], "")
+    labels, tiers = {p[0]: p[1] for p in S.SOURCE_PACKS}, {p[0]: p[2] for p in S.SOURCE_PACKS}
+    return F.struct(pack.alias("pack"),
+                    F.coalesce(F.try_element_at(constant_map(labels), pack), F.lit("未知来源")).alias("label"),
+                    F.coalesce(F.try_element_at(constant_map(tiers), pack), F.lit("T3")).alias("tier"))
 
 
 def platform(name: Column) -> Column:
@@ -286,11 +287,8 @@ def platform(name: Column) -> Column:
 
 def score_platform(name: Column) -> Column:
     """Display platform of a host while scoring (substring rules)."""
-    out: Column | None = None
-    for key, label in S.SCORE_PLATFORMS:
-        test = F.contains(name, F.lit(key))
-        out = F.when(test, label) if out is None else out.when(test, label)
-    return out.otherwise(F.when(name != "", name).otherwise("未知来源"))
+    hits = F.filter(constant_rules(S.SCORE_PLATFORMS), lambda r: F.contains(name, r["key"]))
+    return F.coalesce(F.try_element_at(hits, F.lit(1))["label"], F.when(name != "", name), F.lit("未知来源"))
 
 
 def capture_platform(name: Column) -> Column:
@@ -320,21 +318,21 @@ def domain_tier(name: Column) -> Column:
 def normal_tier(tier: Column, name: Column) -> Column:
     """Tier in the T alphabet: as given, by alias, by host, else T3."""
     raw = strip(F.coalesce(tier, F.lit("")))
-    alias = F.create_map(*[F.lit(x) for pair in S.TIER_ALIASES.items() for x in pair])
+    alias = constant_map(S.TIER_ALIASES)
     return (F.when(raw.isin(list(S.TIER_SCORES["score"])), raw)
             .otherwise(F.coalesce(F.try_element_at(alias, F.lower(raw)), domain_tier(name), F.lit("T3"))))
 
 
 def tier_score(tier: Column, profile: str = "score") -> Column:
     """Score of a tier in a profile: ``score``, ``search`` or ``view``."""
-    table = F.create_map(*[F.lit(x) for pair in S.TIER_SCORES[profile].items() for x in pair])
+    table = constant_map(S.TIER_SCORES[profile])
     known = F.try_element_at(table, F.when(tier != "", tier).otherwise("T3"))
     return F.coalesce(known, F.lit(S.TIER_SCORE_DEFAULTS[profile]))
 
 
 def credibility(tier: Column) -> Column:
     """Credibility label of a tier."""
-    table = F.create_map(*[F.lit(x) for pair in S.CREDIBILITY.items() for x in pair])
+    table = constant_map(S.CREDIBILITY)
     return F.coalesce(F.try_element_at(table, tier), F.lit("low"))
 
 

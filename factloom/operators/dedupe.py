@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import url as U
-from factloom.functions.text import strip
+from factloom.functions.text import constant_map, strip
 from factloom.operators.common import first_non_blank, keep_first, last_non_blank, ordered_distinct
 from factloom.rules import sources as S
 
@@ -74,7 +74,7 @@ def dedupe_sources(records: DataFrame, order: str = "seq") -> DataFrame:
 
 def source_order() -> list[Column]:
     """Order of merged sources: traceability, provider count, tier score, title."""
-    rank = F.create_map(*[F.lit(x) for pair in S.TRACEABILITY_RANK.items() for x in pair])
+    rank = constant_map(S.TRACEABILITY_RANK)
     trace = F.coalesce(F.try_element_at(rank, F.col("traceability")), F.lit(1))
     return [trace.desc(), F.desc("retrieval_provider_count"), U.tier_score(F.col("source_tier"), "search").desc(),
             F.asc("title"), F.asc("seq")]

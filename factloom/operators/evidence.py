@@ -215,44 +215,40 @@ def momentum_class() -> tuple[Column, Column]:
     return signal, F.coalesce(points, F.lit(0))
 
 
-def _row_counters(topic_words: list[str]) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Per-row numbers to sum and flags to take the maximum of."""
-    auth = U.tier_score(F.col("source_tier"))
-    positive = ~F.col("negative")
-    recent = F.coalesce(F.col("age") <= 365, F.lit(False))
-    retrieval = F.coalesce("retrieval_provider_count", "provider_count", F.lit(0))
-    corroborated = (F.coalesce("independently_corroborated", F.lit(False))
-                    & (F.coalesce("independent_source_count", F.lit(0)) >= 2))
+def _words(column: str, words: list[str]) -> str:
+    return f"{column} RLIKE {X.sql_text(X.literal_pattern(words))}"
+
+
+def _row_counters(topic: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """SQL of the per-row numbers to sum and of the flags to take the maximum of."""
+    positive, strict = "NOT negative AND ", R.TIER_SCORES["score"]
     counts = {
-        "n": F.lit(True), "dated": F.col("age").isNotNull(), "recent_90": F.col("age") <= 90,
-        "recent_180": F.col("age") <= 180, "traceable": F.col("source_url") != "",
-        "verified": F.col("traceability") == "verified", "t1": F.col("source_tier") == "T1",
-        "t2": (F.col("source_tier") != "T1") & (auth >= R.TIER_SCORES["score"]["T2"]),
-        "authoritative": auth >= R.TIER_SCORES["score"]["T2"],
-        "authoritative_strict": auth >= R.TIER_SCORES["score"]["T1/T2"],
-        "official": F.col("source_tier").isin("T1", "T1/T2"),
-        "social": F.col("platform").isin(R.SOCIAL_PLATFORMS), "multi_provider": retrieval >= 2,
-        "corroborated": corroborated, "negatives": F.col("negative"),
+        "n": "true", "dated": "age IS NOT NULL", "recent_90": "age <= 90", "recent_180": "age <= 180",
+        "traceable": "source_url <> ''", "verified": "traceability = 'verified'", "t1": "source_tier = 'T1'",
+        "t2": f"source_tier <> 'T1' AND tier_points >= {strict['T2']}",
+        "authoritative": f"tier_points >= {strict['T2']}",
+        "authoritative_strict": f"tier_points >= {strict['T1/T2']}", "official": "source_tier IN ('T1', 'T1/T2')",
+        "social": "platform IN (" + ", ".join(map(X.sql_text, R.SOCIAL_PLATFORMS)) + ")",
+        "multi_provider": "coalesce(retrieval_provider_count, provider_count) >= 2",
+        "corroborated": "independently_corroborated AND independent_source_count >= 2", "negatives": "negative",
     }
-    counts |= {f"hit_{k}": positive & X.has_any("blob", w) for k, w in S.HIT_GROUPS.items()}
+    counts |= {f"hit_{k}": positive + _words("blob", w) for k, w in S.HIT_GROUPS.items()}
     counts |= {
-        "hit_financing": positive & recent & X.has_any("blob", S.FINANCING_WORDS),
-        "hit_financing_close": positive & recent & X.has_any("blob", S.FINANCING_CLOSE_WORDS),
-        "hit_risk": X.has_any("blob", S.RISK_WORDS),
-        "objective_customer": positive & X.has_any("event_text", S.OBJECTIVE_CUSTOMER),
-        "objective_depth": positive & X.has_any("event_text", S.OBJECTIVE_DEPTH),
-        "objective_commercial": positive & X.has_any("event_text", S.OBJECTIVE_COMMERCIAL),
+        "hit_financing": positive + "age <= 365 AND " + _words("blob", S.FINANCING_WORDS),
+        "hit_financing_close": positive + "age <= 365 AND " + _words("blob", S.FINANCING_CLOSE_WORDS),
+        "hit_risk": _words("blob", S.RISK_WORDS),
+        "objective_customer": positive + _words("event_text", S.OBJECTIVE_CUSTOMER),
+        "objective_depth": positive + _words("event_text", S.OBJECTIVE_DEPTH),
+        "objective_commercial": positive + _words("event_text", S.OBJECTIVE_COMMERCIAL),
     }
-    sums = {k: F.coalesce(v.cast("bigint"), F.lit(0)) for k, v in counts.items()}
-    sums["positive_importance"] = F.when(F.lower("stance") != "negative", F.greatest(
-        F.lit(1), F.coalesce("importance", F.lit(2)))).otherwise(0).cast("bigint")
-    sums["momentum_tenths"] = momentum_class()[1].cast("bigint")
-    flags = {f"text_{k}": X.has_any("profile_text", w) for k, w in S.TEXT_FLAGS.items()}
-    sector_text = F.lower(F.concat_ws(" ", "title", "summary", "tag_text"))
-    flags |= {f"sector_{k}": X.has_any(sector_text, w) for k, w in T.SECTOR_RULES}
-    overlap_text = F.lower(F.concat_ws(" ", "entity", "quote", "tag_text"))
-    flags |= {f"topic_{i}": F.contains(overlap_text, F.lit(w)) for i, w in enumerate(topic_words)}
-    return sums, {k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in flags.items()}
+    sums = {k: f"int({v})" for k, v in counts.items()}
+    sums["positive_importance"] = "CASE WHEN lower(stance) <> 'negative' THEN greatest(1, coalesce(importance, 2)) END"
+    sums["momentum_tenths"] = "momentum_tenths"
+    flags = {f"text_{k}": _words("profile_text", w) for k, w in S.TEXT_FLAGS.items()}
+    flags |= {f"sector_{k}": _words("sector_text", w) for k, w in T.SECTOR_RULES}
+    flags |= {f"topic_{i}": f"contains(overlap_text, {X.sql_text(w)})" for i, w in enumerate(topic)}
+    return ({k: f"coalesce(bigint({v}), 0)" for k, v in sums.items()},
+            {k: f"coalesce(int({v}), 0)" for k, v in flags.items()})
 
 
 SUPPORT_COUNTERS = ["n", "authoritative_strict", "verified", "recent_180", "social", "multi_provider",
@@ -271,26 +267,30 @@ def entity_counters(items: DataFrame, topic: str = "") -> DataFrame:
     before each shuffle, and distinct hosts are counted as groups, so a hot entity is spread over its
     hosts and claims and no distinct set is kept in memory.
     """
-    words = topic_words(topic)
-    sums, flags = _row_counters(words)
-    claim = X.strip(F.when(F.col("claim_type") != "", F.col("claim_type")).otherwise(F.col("event_type")))
-    rows = items.select("entity_key", "source_domain", claim.alias("claim"),
-                        *[v.alias(k) for k, v in {**sums, **flags}.items()])
-    by_claim = rows.groupBy("entity_key", "source_domain", "claim").agg(
-        *[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in flags])
+    sums, flags = _row_counters(topic_words(topic))
+    named = {**sums, **flags}
+    rows = items.withColumns({
+        "tier_points": U.tier_score(F.col("source_tier")), "momentum_tenths": momentum_class()[1],
+        "sector_text": F.lower(F.concat_ws(" ", "title", "summary", "tag_text")),
+        "overlap_text": F.lower(F.concat_ws(" ", "entity", "quote", "tag_text")),
+        "claim": X.strip(F.when(F.col("claim_type") != "", F.col("claim_type")).otherwise(F.col("event_type"))),
+    }).selectExpr("entity_key", "source_domain", "claim", *[f"{v} AS {k}" for k, v in named.items()])
+    totals = ", ".join([f"sum({k}) AS {k}" for k in sums] + [f"max({k}) AS {k}" for k in flags])
+    spark = items.sparkSession
+    by_claim = spark.sql(f"SELECT entity_key, source_domain, claim, {totals} FROM {{rows}} "
+                         "GROUP BY entity_key, source_domain, claim", rows=rows)
     support = {}
     for dim, hints in S.CLAIM_HINTS.items():
-        fits = F.col("claim").isin(hints) if hints else F.lit(True)
-        support |= {f"{dim}__{k}": F.sum(F.when(fits, F.col(k)).otherwise(0)) for k in SUPPORT_COUNTERS}
-    by_host = by_claim.groupBy("entity_key", "source_domain").agg(
-        *[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in flags],
-        *[v.alias(k) for k, v in support.items()])
-    known = F.col("source_domain") != ""
-    return by_host.groupBy("entity_key").agg(
-        *[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in flags],
-        *[F.sum(k).alias(k) for k in support],
-        F.count_if(known).alias("domains"),
-        *[F.count_if(known & (F.col(f"{d}__n") > 0)).alias(f"{d}__domains") for d in S.CLAIM_HINTS])
+        fits = "claim IN (" + ", ".join(map(X.sql_text, hints)) + ")" if hints else "true"
+        support |= {f"{dim}__{k}": f"sum(CASE WHEN {fits} THEN {k} ELSE 0 END)" for k in SUPPORT_COUNTERS}
+    by_host = spark.sql(
+        f"SELECT entity_key, source_domain, {totals}, " + ", ".join(f"{v} AS {k}" for k, v in support.items())
+        + " FROM {by_claim} GROUP BY entity_key, source_domain", by_claim=by_claim)
+    known = "source_domain <> ''"
+    hosts = [f"count_if({known}) AS domains"] + [f"count_if({known} AND {d}__n > 0) AS {d}__domains"
+                                                 for d in S.CLAIM_HINTS]
+    return spark.sql(f"SELECT entity_key, {totals}, " + ", ".join([f"sum({k}) AS {k}" for k in support] + hosts)
+                     + " FROM {by_host} GROUP BY entity_key", by_host=by_host)
 
 
 def _capped(value: Column, digits: int = 1) -> Column:
@@ -488,7 +488,7 @@ def text_facts(items: DataFrame, names: DataFrame) -> DataFrame:
                                 for k, p, g, n in TEXT_FACTS]))
     rows = texts.select("entity_key", "block", F.inline(facts))
     top = top_per_group(rows, ["entity_key", "kind"], [F.asc("block"), F.asc("i")], 3)
-    limits = F.create_map(*[F.lit(x) for k, _, _, n in TEXT_FACTS for x in (k, n)])
+    limits = X.constant_map([(k, n) for k, _, _, n in TEXT_FACTS])
     top = top.filter(F.col("_rank") <= F.element_at(limits, F.col("kind")))
     values = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(
         F.col("kind") == kind, F.struct("_rank", "value")))), lambda r: r["value"])

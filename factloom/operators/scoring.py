@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numbers as N
 from factloom.functions import text as X
-from factloom.functions.numbers import half_even, level
+from factloom.functions.numbers import half_even
 from factloom.operators import evidence as E
 from factloom.operators.common import constant_table, indexed
 from factloom.rules import scoring as S
@@ -18,7 +18,7 @@ c = F.col
 
 def _flag(name: str) -> Column:
     """Whether the text of a company (its name included) has a word group."""
-    return (F.coalesce(c(f"text_{name}"), F.lit(0)) > 0) | X.has_any(F.lower("entity"), S.TEXT_FLAGS[name])
+    return c(f"text_{name}") > 0
 
 
 def _known(value: Column) -> Column:
@@ -41,15 +41,12 @@ def adjusted_weights(spark: SparkSession) -> DataFrame:
     return constant_table(spark, weight_rows(), "sector_type string, dimension string, weight double")
 
 
-def _weight(dimension: str) -> Column:
-    table = F.create_map(*[F.lit(x) for s, d, w in weight_rows() if d == dimension for x in (s, w)])
-    return F.element_at(table, c("sector_type"))
-
-
 # -- facts ----------------------------------------------------------------------------------------
 
 def with_inferred_facts(df: DataFrame) -> DataFrame:
     """Listed status, stage, finances, rivals, exits, moat, gaps and exclusion tags of a company."""
+    df = df.withColumns({f"text_{k}": F.greatest(c(f"text_{k}"), X.has_any(F.lower("entity"), w).cast("int"))
+                         for k, w in S.TEXT_FLAGS.items()})
     sector = F.when(F.lit(False), "")
     for name, words in T.SECTOR_RULES:
         sector = sector.when(c(f"sector_{name}") > 0, name)
@@ -126,62 +123,59 @@ def with_inferred_facts(df: DataFrame) -> DataFrame:
 
 # -- levels ---------------------------------------------------------------------------------------
 
-def sub_levels() -> dict[str, Column]:
-    """Level 1 to 5 of every sub-dimension."""
-    def pick(default: int, *cases: tuple[int, Column]) -> Column:
-        out = F.when(F.lit(False), 0)
-        for value, test in cases:
-            out = out.when(test, value)
-        return out.otherwise(default)
+def _cases(default: int, *cases: tuple[int, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for value, test in cases) + f" ELSE {default} END"
 
-    margin = c("gross_margin_pct")
-    margin_level = (F.when(margin >= 50, 5).when(margin >= 40, 4).when(margin >= 25, 3).when(margin >= 15, 2)
-                    .when(margin.isNotNull(), 1)
-                    .when(X.has_any(F.lower("gross_margin_estimate"), ["55%-80%", "高毛利"]), 4)
-                    .when(c("gross_margin_estimate") != S.PENDING, 3).otherwise(1))
-    trend = X.has_any(F.lower("revenue_trend"), ["翻倍", ">80%", "增长", "yoy"])
-    financing_open = (c("hit_financing") >= 2) & (c("hit_financing_close") >= 1)
-    traced = c("traceability_score")
+
+def _ladder(value: str, *limits: float) -> str:
+    return _cases(1, *[(i, f"{value} >= {limit}") for i, limit in reversed(list(enumerate(limits, 2)))])
+
+
+def sub_levels() -> dict[str, str]:
+    """SQL of the level 1 to 5 of every sub-dimension."""
+    pending, flag = X.sql_text(S.PENDING), lambda name: f"text_{name} > 0"
     return {
-        "policy_catalyst": level(c("hit_policy"), (1, 2, 3, 4)),
-        "demand_expansion": level(c("hit_customer") + c("hit_commercialization"), (1, 2, 4, 6)),
-        "penetration_rate": pick(2, (4, _flag("penetration")), (3, c("hit_product") >= 2)),
-        "industry_cycle": pick(2, (4, (c("recent_180") >= 3) & (c("hit_policy") + c("hit_financing") >= 2)),
-                               (3, c("recent_180") >= 1)),
-        "value_chain_pos": pick(2, (5, _flag("core_value")), (3, _flag("mid_value"))),
-        "pricing_power": pick(2, (4, _flag("pricing")), (3, (c("hit_benchmark") > 0) | (c("hit_customer_depth") > 0))),
-        "gross_margin": margin_level,
-        "aftermarket": level(c("hit_aftermarket"), (1, 2, 3, 4)),
-        "tech_barrier": level(c("hit_moat") + c("hit_research"), (1, 2, 4, 6)),
-        "certification": level(c("hit_certification"), (1, 2, 3, 4)),
-        "process_knowhow": pick(2, (4, _flag("process")), (3, c("hit_commercialization") >= 2)),
-        "import_sub": pick(2, (5, _flag("localisation")), (3, _flag("import_replacement"))),
-        "benchmark_client": level(c("hit_benchmark") + c("hit_customer"), (1, 2, 3, 5)),
-        "adoption_depth": pick(2, (5, c("hit_customer_depth") >= 2), (4, c("hit_customer_depth") >= 1),
-                               (3, c("hit_customer") >= 2)),
-        "repurchase": level(c("hit_customer_depth"), (1, 1.5, 2, 3)),
-        "cross_industry": pick(2, (4, c("hit_cross_industry") >= 3), (3, c("hit_cross_industry") >= 1)),
-        "mass_production": level(c("hit_mass_production"), (1, 2, 3, 4)),
-        "order_conversion": level(c("hit_order"), (1, 2, 3, 4)),
-        "channel_build": pick(2, (4, _flag("channels")), (3, c("hit_platform") >= 1)),
-        "scale_efficiency": pick(2, (4, trend), (3, c("hit_commercialization") >= 2)),
-        "round_match": N.stage_fit("stage"),
-        "valuation": pick(2, (4, X.is_meaningful("valuation_known"))),
-        "equity_structure": pick(2, (4, _flag("equity"))),
-        "timing_window": pick(2, (5, financing_open), (3, c("hit_financing") >= 1)),
-        "ipo_comparable": pick(2, (4, _flag("ipo_comparable"))),
-        "ma_appetite": pick(2, (4, _flag("merger_comparable"))),
-        "exit_timeline": pick(2, (4, _flag("exit_timeline"))),
-        "buyer_density": pick(2, (4, _flag("buyers"))),
-        "differentiation": level(c("hit_competitor") + c("hit_moat"), (1, 2, 3, 5)),
-        "market_position": pick(2, (5, _flag("market_first")), (4, _flag("market_leading")),
-                                (3, c("hit_competitor") > 0)),
-        "customer_mindshare": pick(2, (4, (c("hit_benchmark") >= 1) | (c("hit_customer_depth") >= 1)),
-                                   (3, c("hit_customer") >= 2)),
-        "platform_extension": pick(2, (4, c("hit_platform") >= 2), (3, c("hit_platform") >= 1)),
-        "public_evidence": level(c("n") + c("recent_180"), (2, 4, 6, 8)),
-        "cross_validation_level": level(c("domains") + c("authoritative"), (2, 3, 5, 7)),
-        "info_consistency": pick(2, (5, (c("negatives") == 0) & (traced >= 70)), (4, traced >= 55), (3, traced >= 35)),
+        "policy_catalyst": _ladder("hit_policy", 1, 2, 3, 4),
+        "demand_expansion": _ladder("hit_customer + hit_commercialization", 1, 2, 4, 6),
+        "penetration_rate": _cases(2, (4, flag("penetration")), (3, "hit_product >= 2")),
+        "industry_cycle": _cases(2, (4, "recent_180 >= 3 AND hit_policy + hit_financing >= 2"), (3, "recent_180 >= 1")),
+        "value_chain_pos": _cases(2, (5, flag("core_value")), (3, flag("mid_value"))),
+        "pricing_power": _cases(2, (4, flag("pricing")), (3, "hit_benchmark > 0 OR hit_customer_depth > 0")),
+        "gross_margin": _cases(
+            1, (5, "gross_margin_pct >= 50"), (4, "gross_margin_pct >= 40"), (3, "gross_margin_pct >= 25"),
+            (2, "gross_margin_pct >= 15"), (1, "gross_margin_pct IS NOT NULL"),
+            (4, "gross_margin_estimate RLIKE '55%-80%|高毛利'"), (3, f"gross_margin_estimate <> {pending}")),
+        "aftermarket": _ladder("hit_aftermarket", 1, 2, 3, 4),
+        "tech_barrier": _ladder("hit_moat + hit_research", 1, 2, 4, 6),
+        "certification": _ladder("hit_certification", 1, 2, 3, 4),
+        "process_knowhow": _cases(2, (4, flag("process")), (3, "hit_commercialization >= 2")),
+        "import_sub": _cases(2, (5, flag("localisation")), (3, flag("import_replacement"))),
+        "benchmark_client": _ladder("hit_benchmark + hit_customer", 1, 2, 3, 5),
+        "adoption_depth": _cases(2, (5, "hit_customer_depth >= 2"), (4, "hit_customer_depth >= 1"),
+                                 (3, "hit_customer >= 2")),
+        "repurchase": _ladder("hit_customer_depth", 1, 1.5, 2, 3),
+        "cross_industry": _cases(2, (4, "hit_cross_industry >= 3"), (3, "hit_cross_industry >= 1")),
+        "mass_production": _ladder("hit_mass_production", 1, 2, 3, 4),
+        "order_conversion": _ladder("hit_order", 1, 2, 3, 4),
+        "channel_build": _cases(2, (4, flag("channels")), (3, "hit_platform >= 1")),
+        "scale_efficiency": _cases(2, (4, "lower(revenue_trend) RLIKE '翻倍|>80%|增长|yoy'"),
+                                   (3, "hit_commercialization >= 2")),
+        "round_match": "stage_level",
+        "valuation": _cases(2, (4, f"valuation_known <> {pending}")),
+        "equity_structure": _cases(2, (4, flag("equity"))),
+        "timing_window": _cases(2, (5, "hit_financing >= 2 AND hit_financing_close >= 1"), (3, "hit_financing >= 1")),
+        "ipo_comparable": _cases(2, (4, flag("ipo_comparable"))),
+        "ma_appetite": _cases(2, (4, flag("merger_comparable"))),
+        "exit_timeline": _cases(2, (4, flag("exit_timeline"))),
+        "buyer_density": _cases(2, (4, flag("buyers"))),
+        "differentiation": _ladder("hit_competitor + hit_moat", 1, 2, 3, 5),
+        "market_position": _cases(2, (5, flag("market_first")), (4, flag("market_leading")), (3, "hit_competitor > 0")),
+        "customer_mindshare": _cases(2, (4, "hit_benchmark >= 1 OR hit_customer_depth >= 1"), (3, "hit_customer >= 2")),
+        "platform_extension": _cases(2, (4, "hit_platform >= 2"), (3, "hit_platform >= 1")),
+        "public_evidence": _ladder("n + recent_180", 2, 4, 6, 8),
+        "cross_validation_level": _ladder("domains + authoritative", 2, 3, 5, 7),
+        "info_consistency": _cases(2, (5, "negatives = 0 AND traceability_score >= 70"),
+                                   (4, "traceability_score >= 55"), (3, "traceability_score >= 35")),
     }
 
 
@@ -193,83 +187,89 @@ def _sub(name: str) -> str:
     return f"sub_{_SUB_COLUMN.get(name, name)}"
 
 
-def objective_levels() -> dict[str, Column]:
-    """Levels that follow from evidence alone."""
-    older = c("n") - c("recent_180")
-    weighted = c("recent_90") * 2.0 + (c("recent_180") - c("recent_90")) * 1.5 + older * 0.5
-    info = (F.when((weighted >= 12) & (c("domains") >= 5) & (c("recent_90") >= 3) & (c("traceability_score") >= 75)
-                   & (c("authority") >= 65), 5)
-            .when((weighted >= 8) & (c("domains") >= 4) & (c("recent_180") >= 3) & (c("traceability_score") >= 55), 4)
-            .when((weighted >= 5) & (c("domains") >= 3) & (c("traceable") >= 2), 3)
-            .when((weighted >= 2) & (c("domains") >= 2), 2).when(c("n") >= 1, 1).otherwise(0))
-    info = F.when((c("recent_180") == 0) & (c("n") > 0), F.least(info, F.lit(3))).otherwise(info)
-    info = F.when((c("social_ratio") >= 0.75) & (c("authoritative") == 0), F.least(info, F.lit(2))).otherwise(info)
-    exits = X.count_meaningful("comparable_exits", "potential_acquirers", "ipo_timeline", "target_multiple", "exit_path")
-    core_exit = X.is_meaningful("comparable_exits") & X.is_meaningful("potential_acquirers")
-    exit_level = (F.when((exits >= 5) & core_exit, 5).when((exits >= 4) & core_exit, 4).when(exits >= 3, 3)
-                  .when(exits >= 2, 2).otherwise(1))
+def objective_levels() -> dict[str, str]:
+    """SQL of the levels that follow from evidence alone."""
+    weighted = "(recent_90 * 2.0D + (recent_180 - recent_90) * 1.5D + (n - recent_180) * 0.5D)"
+    info = _cases(
+        0, (5, f"{weighted} >= 12 AND domains >= 5 AND recent_90 >= 3 AND traceability_score >= 75 AND authority >= 65"),
+        (4, f"{weighted} >= 8 AND domains >= 4 AND recent_180 >= 3 AND traceability_score >= 55"),
+        (3, f"{weighted} >= 5 AND domains >= 3 AND traceable >= 2"), (2, f"{weighted} >= 2 AND domains >= 2"),
+        (1, "n >= 1"))
+    info = f"least({info}, CASE WHEN recent_180 = 0 AND n > 0 THEN 3 ELSE 5 END)"
+    info = f"least({info}, CASE WHEN social_ratio >= 0.75 AND authoritative = 0 THEN 2 ELSE 5 END)"
     # The reason why a company was selected is always stated, so the moat count starts at one.
-    moat = X.count_meaningful("moat_type", "moat_durability", "moat_threats") + 1
-    rivals = F.size("competitors")
-    position = (F.when((rivals >= 3) & (moat >= 3), 5).when((rivals >= 2) & (moat >= 2), 4)
-                .when((rivals >= 1) & (moat >= 1), 3).otherwise(2))
-    customer = (F.when((c("objective_customer") >= 4) & (c("objective_depth") >= 2) & (c("authoritative") >= 2), 5)
-                .when((c("objective_customer") >= 3) & (c("objective_depth") >= 1), 4)
-                .when(c("objective_customer") >= 2, 3).when(c("objective_customer") >= 1, 2).otherwise(1))
-    trend = X.has_any(F.lower("revenue_trend"), ["增长", "翻倍", "上升", ">50%", ">80%", "yoy"]).cast("int")
-    signals = (X.count_meaningful("estimated_revenue", "revenue_trend", "gross_margin_estimate", "stage")
-               + c("objective_commercial") + trend)
-    commercial = (F.when((signals >= 7) & (c("traceability_score") >= 60), 5).when(signals >= 5, 4)
-                  .when(signals >= 3, 3).when(signals >= 2, 2).otherwise(1))
-    fit = N.stage_fit("stage")
-    money = X.count_meaningful("stage", "valuation_known", "funding_known")
-    investable = (F.when(~F.contains("listed_status", F.lit("未上市")), 0)
-                  .when((fit >= 4) & (money >= 3) & (c("traceability_score") >= 55), 5)
-                  .when((fit >= 4) & (money >= 2), 4).when((fit >= 3) & (money >= 1), 3).when(fit >= 2, 2).otherwise(1))
-    return {"information_sufficiency": info, "exit_feasibility": exit_level, "competitive_position": position,
-            "customer_validation": customer, "commercialization_progress": commercial, "investability": investable}
-
-
-def confidence_score(d: str) -> Column:
-    """Confidence score of a dimension from its own support and a little global reliability."""
-    s = lambda k: c(f"{d}__{k}")
-    cap = lambda k, n: F.least(s(k), F.lit(n))
-    local = (cap("n", 4) * 8 + cap("domains", 4) * 9 + cap("authoritative_strict", 3) * 7 + cap("verified", 3) * 6
-             + cap("recent_180", 3) * 4 + cap("corroborated", 2) * 8)
-    score = F.least(F.lit(100.0), local * 0.80 + c("reliability") * 0.20)
-    score = F.when((s("n") == 1) | (s("domains") == 1), F.least(score, F.lit(49.0))).otherwise(score)
-    score = F.when(s("authoritative_strict") == 0, F.least(score, F.lit(64.0))).otherwise(score)
-    return F.when(E.social_only(d), F.least(score, F.lit(34.0))).otherwise(score)
+    moat = "(known_moats + 1)"
+    signals = ("(known_finances + objective_commercial"
+               " + int(lower(revenue_trend) RLIKE '增长|翻倍|上升|>50%|>80%|yoy'))")
+    return {
+        "information_sufficiency": info,
+        "exit_feasibility": _cases(1, (5, "known_exits >= 5 AND core_exit"), (4, "known_exits >= 4 AND core_exit"),
+                                   (3, "known_exits >= 3"), (2, "known_exits >= 2")),
+        "competitive_position": _cases(2, (5, f"size(competitors) >= 3 AND {moat} >= 3"),
+                                       (4, f"size(competitors) >= 2 AND {moat} >= 2"),
+                                       (3, f"size(competitors) >= 1 AND {moat} >= 1")),
+        "customer_validation": _cases(
+            1, (5, "objective_customer >= 4 AND objective_depth >= 2 AND authoritative >= 2"),
+            (4, "objective_customer >= 3 AND objective_depth >= 1"), (3, "objective_customer >= 2"),
+            (2, "objective_customer >= 1")),
+        "commercialization_progress": _cases(1, (5, f"{signals} >= 7 AND traceability_score >= 60"),
+                                             (4, f"{signals} >= 5"), (3, f"{signals} >= 3"), (2, f"{signals} >= 2")),
+        "investability": _cases(
+            1, (0, "NOT contains(listed_status, '未上市')"),
+            (5, "stage_level >= 4 AND known_money >= 3 AND traceability_score >= 55"),
+            (4, "stage_level >= 4 AND known_money >= 2"), (3, "stage_level >= 3 AND known_money >= 1"),
+            (2, "stage_level >= 2")),
+    }
+
+
+def confidence_score(d: str) -> str:
+    """SQL of the confidence score of a dimension: its own support and a little global reliability."""
+    local = (f"least({d}__n, 4) * 8 + least({d}__domains, 4) * 9 + least({d}__authoritative_strict, 3) * 7"
+             f" + least({d}__verified, 3) * 6 + least({d}__recent_180, 3) * 4 + least({d}__corroborated, 2) * 8")
+    caps = (f"CASE WHEN {d}__n = 1 OR {d}__domains = 1 THEN 49.0D ELSE 100.0D END, "
+            f"CASE WHEN {d}__authoritative_strict = 0 THEN 64.0D ELSE 100.0D END, "
+            f"CASE WHEN {d}__social = {d}__n AND {d}__authoritative_strict = 0 THEN 34.0D ELSE 100.0D END")
+    return f"least(({local}) * 0.80D + reliability * 0.20D, {caps})"
 
 
 def with_dimension_scores(df: DataFrame) -> DataFrame:
     """Model, objective and final level, confidence and score of every dimension."""
-    df = df.withColumns({f"sub_{k}": v for k, v in sub_levels().items()})
-    df = df.withColumns({f"{d}__model": half_even(sum(
-        (c(_sub(k)) * w for k, _, w in S.SUB_DIMENSIONS[d]), F.lit(0.0)) / 100.0).cast("int") for d in S.DIMENSION_KEYS})
-    df = df.withColumns({f"{d}__objective": v for d, v in objective_levels().items()})
-    levels, factors = {}, {}
-    factor = F.create_map(*[F.lit(x) for pair in S.CONFIDENCE_FACTOR.items() for x in pair])
+    df = df.withColumns({
+        "stage_level": N.stage_fit("stage"),
+        "known_exits": X.count_meaningful("comparable_exits", "potential_acquirers", "ipo_timeline", "target_multiple",
+                                          "exit_path"),
+        "core_exit": X.is_meaningful("comparable_exits") & X.is_meaningful("potential_acquirers"),
+        "known_moats": X.count_meaningful("moat_type", "moat_durability", "moat_threats"),
+        "known_finances": X.count_meaningful("estimated_revenue", "revenue_trend", "gross_margin_estimate", "stage"),
+        "known_money": X.count_meaningful("stage", "valuation_known", "funding_known"),
+    })
+    keep = ["*"]
+    df = df.selectExpr(*keep, *[f"{v} AS sub_{k}" for k, v in sub_levels().items()],
+                       *[f"{v} AS {d}__objective" for d, v in objective_levels().items()])
+    models = {d: " + ".join(f"{_sub(k)} * {w}" for k, _, w in S.SUB_DIMENSIONS[d]) for d in S.DIMENSION_KEYS}
+    df = df.selectExpr(*keep, *[f"int(bround(({m}) / 100.0D)) AS {d}__model" for d, m in models.items()],
+                       *[f"{confidence_score(d)} AS {d}__confidence_score" for d in S.DIMENSION_KEYS])
+    levels = []
     for d in S.DIMENSION_KEYS:
-        model = c(f"{d}__model")
-        out = model
+        out, goal = f"{d}__model", f"{d}__objective"
         if d in S.MODEL_WEIGHTS:
-            w, goal = S.MODEL_WEIGHTS[d], c(f"{d}__objective")
-            out = N.clamp(half_even(model * w + goal * (1 - w)).cast("int"), 0, 5)
+            w = S.MODEL_WEIGHTS[d]
+            out = f"greatest(0, least(5, int(bround({d}__model * {w}D + {goal} * {1 - w}D))))"
             if d in S.DISCIPLINED:
-                out = F.when(model - goal >= 2, F.least(out, goal + 1)).otherwise(out)
-        levels[f"{d}__level"] = out.cast("int")
-        factors[f"{d}__confidence"] = F.when(c(f"{d}__n") > 0, N.confidence_label(confidence_score(d))) \
-            .otherwise(S.CONFIDENCE_DEFAULT)
-        factors[f"{d}__weight"] = _weight(d)
-    df = df.withColumns({**levels, **factors})
-    return df.withColumns({f"{d}__score": half_even(
-        half_even(c(f"{d}__weight") * c(f"{d}__level") / 5.0, 2) * F.element_at(factor, c(f"{d}__confidence")), 2)
-        for d in S.DIMENSION_KEYS})
+                out = f"least({out}, CASE WHEN {d}__model - {goal} >= 2 THEN {goal} + 1 ELSE 5 END)"
+        label = " ".join(f"WHEN {d}__confidence_score >= {t} THEN '{n}'" for t, n in S.CONFIDENCE_BUCKETS)
+        weight = " ".join(f"WHEN '{s}' THEN {w}D" for s, x, w in weight_rows() if x == d)
+        levels += [f"{out} AS {d}__level", f"CASE sector_type {weight} END AS {d}__weight",
+                   f"CASE WHEN {d}__n = 0 THEN 'low' {label} ELSE '{S.CONFIDENCE_DEFAULT}' END AS {d}__confidence"]
+    df = df.selectExpr(*keep, *levels)
+    factor = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in S.CONFIDENCE_FACTOR.items())
+    return df.selectExpr(*keep, *[
+        f"bround(bround({d}__weight * {d}__level / 5.0D, 2) * CASE {d}__confidence {factor} END, 2) AS {d}__score"
+        for d in S.DIMENSION_KEYS])
 
 
 def _total(keys: list[str]) -> Column:
-    return sum((c(f"{d}__score") for d in keys), F.lit(0.0))
+    return F.expr(" + ".join(f"{d}__score" for d in keys))
 
 
 def gate_tests() -> list[tuple[str, float, Column]]:
@@ -291,24 +291,24 @@ def with_total_score(df: DataFrame) -> DataFrame:
         return half_even(F.greatest(F.lit(0.0), v), 1)
 
     count = lambda s: F.size(F.filter("risks", lambda r: r["severity"] == s))
-    risk_level = F.create_map(*[F.lit(x) for pair in S.RISK_LEVELS.items() for x in pair])
+    risk_level = X.constant_map(S.RISK_LEVELS)
     pressure = F.aggregate("risks", F.lit(0), lambda a, r: a + F.element_at(risk_level, r["severity"])
                            * F.element_at(risk_level, r["probability"]))
-    index = F.create_map(*[F.lit(x) for pair in S.CONFIDENCE_INDEX.items() for x in pair])
+    points = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in S.CONFIDENCE_INDEX.items())
+    index = " + ".join(f"CASE {d}__confidence {points} END" for d in S.DIMENSION_KEYS)
     gates = F.filter(F.array(*[F.when(test, F.struct(F.lit(n).alias("name"), F.lit(cap).alias("cap")))
                                for n, cap, test in gate_tests()]), lambda g: g.isNotNull())
     df = df.withColumns({
         "penalty": F.least(F.lit(25), F.aggregate("penalties", F.lit(0), lambda a, t: a + t["penalty"])),
         "momentum_bonus": half_even(F.least(F.lit(3.0), c("momentum_tenths") / 10.0), 1),
         "high_risks": count("高"), "medium_risks": count("中"), "low_risks": count("低"), "weighted_risk": pressure,
-        "confidence_score": half_even(sum((F.element_at(index, c(f"{d}__confidence")) for d in S.DIMENSION_KEYS),
-                                          F.lit(0.0)) / len(S.DIMENSION_KEYS), 1),
+        "confidence_score": F.expr(f"bround(({index}) / {len(S.DIMENSION_KEYS)}, 1)"),
         "static_score": half_even(_total(["sector_prosperity", "profit_pool", "high_end_attribute",
                                           "competitive_position"]), 1),
         "dynamic_score": half_even(_total(["customer_validation", "commercialization_progress",
                                            "information_sufficiency"]), 1),
         "deal_score": half_even(_total(["investability", "exit_feasibility"]), 1),
-        "total_possible": half_even(sum((c(f"{d}__weight") for d in S.DIMENSION_KEYS), F.lit(0.0)), 1),
+        "total_possible": F.expr("bround(" + " + ".join(f"{d}__weight" for d in S.DIMENSION_KEYS) + ", 1)"),
         "gates": gates,
     })
     df = df.withColumns({
@@ -323,7 +323,7 @@ def with_total_score(df: DataFrame) -> DataFrame:
     df = df.withColumn("_t", half_even(c("_t") + c("momentum_bonus"), 1))
     df = df.withColumn("_t", floor0(c("_t") - c("risk_penalty")))
     df = df.withColumn("pre_gate_score", floor0(c("_t") - c("reliability_penalty"))).drop("_t")
-    tracking = F.create_map(*[F.lit(x) for pair in S.TRACKING_SIGNAL.items() for x in pair])
+    tracking = X.constant_map(S.TRACKING_SIGNAL)
     df = df.withColumns({
         "total_score": half_even(F.least("pre_gate_score", "score_cap"), 1),
         "execution_readiness": half_even(F.least(F.lit(100.0), (
