@@ -97,3 +97,11 @@ def with_columns_default(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Add missing columns as NULL of the given type."""
     missing = {c: F.lit(None).cast(t) for c, t in defaults.items() if c not in df.columns}
     return df.withColumns(missing) if missing else df
+
+
+def beside(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Put the columns of one-row tables beside every row: a broadcast join on a constant key."""
+    out = df.withColumn("_one", F.lit(1))
+    for other in one_row:
+        out = out.join(F.broadcast(other.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
