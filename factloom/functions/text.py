@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside one expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sql_text(value: str | int | float) -> str:
     """A value as a SQL literal."""
     if isinstance(value, str):
@@ -74,9 +80,25 @@ def unescape(value: Column | str) -> Column:
     return F.when(col.rlike(_ENTITY), F.array_join(F.transform(tokens, decode), "")).otherwise(col)
 
 
+def _clean_sql() -> str:
+    """SQL of :func:`clean` for the lambda variable ``x``; one text, so that plans stay small."""
+    named = ", ".join(f"{sql_text(f'&{n};')}, {sql_text(html5[n + ';'])}" for n in _NAMED)
+    code = ("CASE WHEN t RLIKE '^&#[0-9]{1,7};$' THEN hex(bigint(regexp_extract(t, '([0-9]+)', 1))) "
+            "WHEN t RLIKE '^&#[xX][0-9A-Fa-f]{1,6};$' THEN regexp_extract(t, '^&#[xX](.*);$', 1) END")
+    valid = f"try_cast(conv({code}, 16, 10) AS BIGINT) BETWEEN 1 AND 1114111"
+    token = (f"CASE WHEN {valid} THEN decode(unhex(lpad({code}, 8, '0')), 'UTF-32') "
+             f"ELSE coalesce(try_element_at(map({named}), t), t) END")
+    decoded = (f"CASE WHEN x RLIKE {sql_text(_ENTITY)} THEN array_join(transform(regexp_extract_all(x, "
+               f"{sql_text(_ENTITY + '|[^&]+|&')}, 0), t -> {token}), '') ELSE x END")
+    return f"trim(regexp_replace({decoded}, {sql_text(SPACE + '+')}, ' '))"
+
+
 def clean(value: Column | str, limit: int | None = None) -> Column:
     """NULL to '', decode entities, squash white space and cut to ``limit`` characters."""
-    out = squash(unescape(F.coalesce(as_column(value).cast("string"), F.lit(""))))
+    if isinstance(value, str):
+        out = F.expr(f"transform(array(coalesce(string({value}), '')), x -> {_clean_sql()})[0]")
+    else:
+        out = squash(unescape(F.coalesce(value.cast("string"), F.lit(""))))
     return F.substring(out, 1, limit) if limit else out
 
 

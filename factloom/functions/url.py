@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import (as_column, constant_map, constant_rules, literal_pattern,
+from factloom.functions.text import (as_column, bind, constant_map, constant_rules, literal_pattern,
                                     redact_quoted, strip, unescape)
 from factloom.rules import sources as S
 from factloom.rules import text as T
@@ -102,16 +102,17 @@ def query_pairs(text: Column) -> Column:
         form_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
 
 
-def query_value(pairs: Column, key: str) -> Column:
-    """Last value of a key; NULL when there is none."""
-    hits = F.filter(pairs, lambda p: p["k"] == key)
-    return F.try_element_at(hits, F.lit(-1))["v"]
+def _kept_query(pairs: Column, keys: list[str]) -> Column:
+    """Query string of the wanted keys in their given order, each with its last value."""
+    if not keys:
+        return F.lit("")
 
+    def part(key: Column) -> Column:
+        last = F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
+        return F.concat(key, F.lit("="), form_encode(last))
 
-def _kept_query(pairs: Column, keys: list[str]) -> Column:
-    parts = [F.when(query_value(pairs, k).isNotNull(),
-                    F.concat(F.lit(k + "="), form_encode(query_value(pairs, k)))) for k in keys]
-    return F.concat_ws("&", *parts)
+    parts = F.filter(F.transform(F.array(*map(F.lit, keys)), part), lambda x: x.isNotNull())
+    return F.array_join(parts, "&")
 
 
 def canonical_url(value: Column | str, hosts: list[str] | None = None,
@@ -126,23 +127,32 @@ def canonical_url(value: Column | str, hosts: list[str] | None = None,
     identity_keys, temporary_keys = identity_keys or [], temporary_keys or []
     raw = F.replace(F.regexp_replace(strip(F.coalesce(as_column(value), F.lit(""))), "^['\"]+|['\"]+$", ""),
                     F.lit("\\/"), F.lit("/"))
-    raw = F.regexp_replace(raw, "(?i)&amp;|&#(?:38|x26);", "&")
-    raw = F.when(F.startswith(raw, F.lit("//")), F.concat(F.lit("https:"), raw)).otherwise(raw)
-    name, where = host(raw), F.regexp_replace(F.when(path(raw) == "", "/").otherwise(path(raw)), "/{2,}", "/")
-    pairs = query_pairs(query(raw))
-    identity, temporary = _kept_query(pairs, identity_keys), _kept_query(pairs, temporary_keys)
-    kept = F.when(identity != "", identity).otherwise(temporary)
-    reason = F.when(F.contains(raw, F.lit("${")) | F.contains(raw, F.lit("{{")), "placeholder")
-    reason = reason.when(~raw.rlike("(?i)^https?://"), "scheme")
-    reason = reason.when((name == "") if hosts is None else ~name.isin(hosts), "host")
-    reason = reason.when(F.contains(authority(raw), F.lit("@")), "user_info")
-    if path_pattern:
-        reason = reason.when(~where.rlike(path_pattern), "path")
-    if bare_path:
-        reason = reason.when((where == bare_path) & (kept == ""), "identity")
-    reason = reason.when(~F.regexp_extract(authority(raw), ":([^:\\]]*)$", 1).isin("", "80", "443"), "port")
-    url = F.concat(F.lit("https://"), name, where, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
-    return F.struct(F.when(reason.isNull(), url).alias("url"), reason.alias("reason"))
+    raw = F.regexp_replace(F.regexp_replace(raw, "(?i)&amp;|&#(?:38|x26);", "&"), "^//", "https://")
+
+    def parts(r: Column) -> Column:
+        pairs = query_pairs(query(r))
+        return F.struct(
+            r.alias("raw"), host(r).alias("name"), authority(r).alias("place"),
+            F.regexp_replace(F.when(path(r) == "", "/").otherwise(path(r)), "/{2,}", "/").alias("where"),
+            bind(pairs, lambda p: F.struct(_kept_query(p, identity_keys).alias("i"),
+                                           _kept_query(p, temporary_keys).alias("t"))).alias("kept"))
+
+    def judge(x: Column) -> Column:
+        kept = F.when(x["kept"]["i"] != "", x["kept"]["i"]).otherwise(x["kept"]["t"])
+        reason = F.when(x["raw"].rlike("\\$\\{|\\{\\{"), "placeholder")
+        reason = reason.when(~x["raw"].rlike("(?i)^https?://"), "scheme")
+        reason = reason.when((x["name"] == "") if hosts is None else ~x["name"].isin(hosts), "host")
+        reason = reason.when(F.contains(x["place"], F.lit("@")), "user_info")
+        if path_pattern:
+            reason = reason.when(~x["where"].rlike(path_pattern), "path")
+        if bare_path:
+            reason = reason.when((x["where"] == bare_path) & (kept == ""), "identity")
+        reason = reason.when(~F.regexp_extract(x["place"], ":([^:\\]]*)$", 1).isin("", "80", "443"), "port")
+        tail = F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")
+        url = F.concat(F.lit("https://"), x["name"], x["where"], tail)
+        return bind(reason, lambda why: F.struct(F.when(why.isNull(), url).alias("url"), why.alias("reason")))
+
+    return bind(bind(raw, parts), judge)
 
 
 def article_url(value: Column | str) -> Column:

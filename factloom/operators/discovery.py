@@ -20,7 +20,8 @@ TEXT_FIELDS = ["text", "snippet", "summary", "description", "content"]
 
 def classify_urls(df: DataFrame, url: str) -> DataFrame:
     """Add what each URL itself says: host, pack, label, tier, credibility, platform."""
-    return df.withColumn("_u", U.classify(url)).select("*", "_u.*").drop("_u")
+    names = ["source_url", "domain", "source_pack", "source_pack_label", "source_tier", "credibility", "platform"]
+    return df.withColumn("_u", U.classify(url)).withColumns({n: c(f"_u.{n}") for n in names}).drop("_u")
 
 
 def search_leads(hits: DataFrame) -> DataFrame:

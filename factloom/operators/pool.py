@@ -46,13 +46,12 @@ COUNTS = ["read_count", "like_count", "share_count", "favorite_count", "comment_
           "copyright_type", "copyright_stat"]
 
 
-def alias_value(df: DataFrame, names: list[str], raw: str = "raw") -> Column:
-    """First non-blank of alias columns, then of the same fields of a nested ``raw`` struct, as text."""
-    options = [c(n).cast("string") for n in names if n in df.columns]
+def alias_value(df: DataFrame, names: list[str], raw: str = "raw") -> str:
+    """SQL of the first non-blank of alias columns, then of the same fields of a nested ``raw`` struct."""
+    options = [f"`{n}`" for n in names if n in df.columns]
     if raw in df.columns and hasattr(df.schema[raw].dataType, "names"):
-        options += [c(f"{raw}.{n}").cast("string") for n in names if n in df.schema[raw].dataType.names]
-    options = [F.when(o != "", o) for o in options]
-    return F.coalesce(*options, F.lit(None).cast("string")) if options else F.lit(None).cast("string")
+        options += [f"`{raw}`.`{n}`" for n in names if n in df.schema[raw].dataType.names]
+    return "coalesce(" + ", ".join([f"nullif(string({o}), '')" for o in options] + ["string(NULL)"]) + ")"
 
 
 def normalize_articles(rows: DataFrame, fallback_account: str, fetch_mode: str = "unknown",
@@ -61,29 +60,28 @@ def normalize_articles(rows: DataFrame, fallback_account: str, fetch_mode: str =
 
     Only the listed fields are kept, so credentials in the input are never stored.
     """
-    v = {k: alias_value(rows, names) for k, names in ALIASES.items()}
-    url = U.article_url(v["url"])
-    name, fakeid = X.clean(v["account_name"], 300), X.clean(v["fakeid"], 300)
-    name = F.when((name == "") & (fakeid == ""), fallback_account).otherwise(name)
-    seq = c("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
-    df = rows.select(
-        seq.alias("seq"), url["url"].alias("canonical_url"), url["reason"].alias("reject_reason"),
-        name.alias("account_name"), fakeid.alias("fakeid"), account_key(name, fakeid).alias("account_key"),
-        D.stamp_epoch(v["publish_time"]).alias("publish_time"),
-        X.clean(v["msgid"], 200).alias("msgid"), X.clean(v["appmsgid"], 200).alias("appmsgid"),
-        X.clean(v["group_key"], 300).alias("_group"),
-        *[X.clean(v[k], n).alias(k) for k, n in TEXT_LIMITS.items()],
-        *[N.lenient_long(v[k]).alias(k) for k in COUNTS], N.lenient_bool(v["is_deleted"]).alias("is_deleted"),
-        X.allow_listed(v["fetch_mode"], T.FETCH_MODES, fetch_mode).alias("fetch_mode"),
-        X.allow_listed(v["credential_status"], T.CREDENTIAL_STATUSES, "not_stored").alias("credential_status"),
-        D.iso_text(v["exported_at"], exported_at).alias("exported_at"),
-        D.iso_text(v["discovered_at"]).alias("discovered_at"), X.redact(v["error"]).alias("error"))
-    group = (F.when(c("_group") != "", c("_group"))
+    seq = "seq" if "seq" in rows.columns else "monotonically_increasing_id()"
+    v = rows.selectExpr(f"{seq} AS seq", *[f"{alias_value(rows, names)} AS {k}" for k, names in ALIASES.items()])
+    df = v.withColumns({"_u": U.article_url("url"), "account_name": X.clean("account_name", 300),
+                        "fakeid": X.clean("fakeid", 300)})
+    df = df.withColumn("account_name", F.when((c("account_name") == "") & (c("fakeid") == ""), fallback_account)
+                       .otherwise(c("account_name")))
+    df = df.select(
+        "seq", c("_u.url").alias("canonical_url"), c("_u.reason").alias("reject_reason"), "account_name", "fakeid",
+        account_key(c("account_name"), c("fakeid")).alias("account_key"),
+        D.stamp_epoch("publish_time").alias("publish_time"),
+        *[X.clean(k, n).alias(k) for k, n in {**TEXT_LIMITS, "msgid": 200, "appmsgid": 200, "group_key": 300}.items()],
+        *[N.lenient_long(k).alias(k) for k in COUNTS], N.lenient_bool("is_deleted").alias("is_deleted"),
+        X.allow_listed("fetch_mode", T.FETCH_MODES, fetch_mode).alias("fetch_mode"),
+        X.allow_listed("credential_status", T.CREDENTIAL_STATUSES, "not_stored").alias("credential_status"),
+        D.iso_text("exported_at", exported_at).alias("exported_at"),
+        D.iso_text("discovered_at").alias("discovered_at"), X.redact("error").alias("error"))
+    group = (F.when(c("group_key") != "", c("group_key"))
              .when(c("msgid") != "", F.concat(F.lit("msgid:"), "msgid"))
              .when(c("appmsgid") != "", F.concat(F.lit("appmsgid:"), "appmsgid"))
              .otherwise(X.fallback_group_key(c("account_key"), c("canonical_url"),
                                              F.coalesce(c("publish_time").cast("string"), F.lit("None")))))
-    return df.withColumn("group_key", group).drop("_group")
+    return df.withColumn("group_key", group)
 
 
 def original() -> Column:
@@ -91,11 +89,16 @@ def original() -> Column:
     return F.coalesce((c("copyright_type") == 1) & (c("copyright_stat") == 1) & ~c("is_deleted"), F.lit(False))
 
 
+def _blank_texts(articles: DataFrame) -> DataFrame:
+    """A missing text is stored as ''."""
+    return articles.fillna("", subset=[n for n, t in articles.dtypes if t == "string" and n not in KEYS])
+
+
 def merge_import(articles: DataFrame) -> DataFrame:
     """One row per account and URL of an import: the last non-blank value of every field wins."""
     good = articles.filter(c("reject_reason").isNull()).drop("reject_reason")
     last = good.groupBy(*KEYS).agg(F.max("seq").alias("seq"))
-    merged = merge_last_non_blank(good, KEYS, any_true=["is_deleted"]).join(last, KEYS)
+    merged = _blank_texts(merge_last_non_blank(good, KEYS, any_true=["is_deleted"])).join(last, KEYS)
     return merged.withColumn("date_status", F.when(c("publish_time").isNull(), "pending").otherwise("known"))
 
 
@@ -136,6 +139,7 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         *[F.max_by(c(x), F.when(c(x).isNotNull() & (c(x).cast("string") != ""), c("_seq"))).alias(x) for x in fields],
         F.max_by("error", "_seq").alias("error"), F.max("is_deleted").alias("is_deleted"), F.max("id").alias("id"),
         F.min("_seq").alias("_seq"))
+    merged = _blank_texts(merged)
     merged = merged.withColumn("date_status", F.when(c("publish_time").isNull(), "pending").otherwise("known"))
     # Only new rows are numbered; stored rows keep their ids.
     fresh = indexed(merged.filter(c("id").isNull()).select(*KEYS, "_seq"), [F.asc("_seq"), *map(F.asc, KEYS)], "_i")

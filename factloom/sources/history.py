@@ -52,25 +52,29 @@ def _get(node: Column, key: str, kind: str = "string") -> Column:
     return F.try_variant_get(node, f"$.{key}", kind)
 
 
-def _first(node: Column, names: list[str]) -> Column:
+def _first(node: Column, names: list[str], raw: Column | None = None) -> Column:
+    """First non-blank of the named fields of a node, then of its ``raw`` object."""
     values = [_get(node, n) for n in names]
-    values += [_get(node, f"raw.{n}") for n in names]
-    return F.coalesce(*[F.when(v != "", v) for v in values])
+    if raw is not None:
+        values += [_get(raw, n) for n in names]
+    return F.try_element_at(F.filter(F.array(*values), lambda v: v != ""), F.lit(1))
+
+
+def _is_object(node: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit("OBJECT")), F.lit(False))
 
 
 def _children(node: Column, keys: list[str]) -> Column:
     """Elements of every container of a node, in the order of the keys; a single object counts as one."""
-    none = F.array().cast("array<variant>")
-    lists = []
-    for key in keys:
-        items, single = _get(node, key, "array<variant>"), _get(node, key, "variant")
-        is_object = F.schema_of_variant(single).startswith("OBJECT")
-        lists.append(F.coalesce(items, F.when(is_object, F.array(single)), none))
-    return F.flatten(F.array(*lists))
+    values = F.filter(F.array(*[_get(node, k, "variant") for k in keys]), lambda v: v.isNotNull())
+    return F.flatten(F.transform(values, lambda v: F.coalesce(
+        F.try_variant_get(v, "$", "array<variant>"), F.when(_is_object(v), F.array(v)),
+        F.array().cast("array<variant>"))))
 
 
-def _own(node: Column) -> dict[str, Column]:
-    return {k: _first(node, ALIASES[k]) for k in _INHERITED}
+def _inherit(df: DataFrame) -> DataFrame:
+    """Context fields of the current node, else those that were passed down."""
+    return df.withColumns({k: F.coalesce(_first(c("v"), ALIASES[k], c("_raw")), c(k)) for k in _INHERITED})
 
 
 def flatten_history(documents: DataFrame, depth: int = 3) -> DataFrame:
@@ -81,57 +85,47 @@ def flatten_history(documents: DataFrame, depth: int = 3) -> DataFrame:
     publish group has item 1, its further items count from 2.  A document that is no JSON, or that holds no
     article, gives no row (see :func:`unread_documents`).
     """
-    node = documents.withColumn("v", F.try_parse_json("text")).filter(c("v").isNotNull())
     base = [x for x in documents.columns if x != "text"]
-    as_list = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    blank = {k: F.lit(None).cast("string") for k in _INHERITED}
-    level = node.select(*base, F.posexplode(as_list).alias("_p0", "v")).withColumns(blank).withColumn(
-        "_path", F.array("_p0")).drop("_p0")
-    leaves = None
-    for step in range(depth + 1):
-        own = _own(c("v"))
-        level = level.withColumns({k: F.coalesce(own[k], c(k)) for k in _INHERITED})
-        has_ext = F.schema_of_variant(_get(c("v"), "app_msg_ext_info", "variant")).startswith("OBJECT")
-        is_leaf = F.coalesce(has_ext, F.lit(False)) | _first(c("v"), ALIASES["url"]).isNotNull()
-        found = level.filter(is_leaf).withColumn("_is_group", F.coalesce(has_ext, F.lit(False)))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if step < depth:
-            below = F.posexplode(_children(c("v"), CONTAINERS)).alias("_p", "_child")
-            level = level.filter(~is_leaf).select(*base, *_INHERITED, "_path", below).withColumn(
-                "_path", F.concat("_path", F.array("_p"))).withColumn("v", c("_child")).drop("_p", "_child")
-    return _articles(leaves, base)
+    kept = [*base, *_INHERITED]
+    level = documents.withColumn("v", F.try_parse_json("text")).filter(c("v").isNotNull()).drop("text")
+    level = level.withColumns({k: F.lit(None).cast("string") for k in _INHERITED} | {"_path": F.array().cast("array<int>")})
+    leaf = _is_object(_get(c("v"), "app_msg_ext_info", "variant")) | _first(c("v"), ALIASES["url"], c("_raw")).isNotNull()
+    for _ in range(depth + 1):
+        level = _inherit(level.withColumn("_raw", _get(c("v"), "raw", "variant")))
+        below = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.when(~leaf, _children(c("v"), CONTAINERS)))
+        level = level.select(*kept, "_path", F.posexplode(F.coalesce(below, F.array("v"))).alias("_p", "v"))
+        level = level.withColumn("_path", F.concat("_path", F.array("_p"))).drop("_p")
+    level = _inherit(level.withColumn("_raw", _get(c("v"), "raw", "variant"))).filter(leaf)
+    return _articles(level, base)
 
 
 def _articles(leaves: DataFrame, base: list[str]) -> DataFrame:
-    comm = _get(c("v"), "comm_msg_info", "variant")
-    group_id = F.when(c("_is_group"), _first(comm, ["id", "msgid", "msg_id"]))
+    kept = [*base, *_INHERITED, "group_key", "_path"]
+    leaves = leaves.withColumns({"_ext": _get(c("v"), "app_msg_ext_info", "variant"),
+                                 "_comm": _get(c("v"), "comm_msg_info", "variant")})
+    leaves = leaves.withColumn("_group", _is_object(c("_ext")))
     leaves = leaves.withColumns({
-        "_gid": group_id, "msgid": F.coalesce(group_id, "msgid"),
-        "publish_time": F.coalesce(F.when(c("_is_group"), _first(comm, ["datetime", "create_time", "publish_time"])),
-                                   "publish_time"),
-        "head": F.when(c("_is_group"), _get(c("v"), "app_msg_ext_info", "variant")).otherwise(c("v")),
-        "_item": F.when(c("_is_group"), 1)})
-    own = _own(c("head"))
-    leaves = leaves.withColumns({k: F.coalesce(own[k], c(k)) for k in _INHERITED})
-    seed = F.concat_ws("|", F.coalesce(_first(c("head"), ALIASES["url"]), F.lit("None")),
-                       F.coalesce(c("publish_time"), F.lit("None")),
-                       F.coalesce(_first(c("head"), ["title"]), F.lit("None")))
+        "_gid": F.when(c("_group"), _first(c("_comm"), ["id", "msgid", "msg_id"])),
+        "_time": F.when(c("_group"), _first(c("_comm"), ["datetime", "create_time", "publish_time"])),
+        "v": F.when(c("_group"), c("_ext")).otherwise(c("v")), "_item": F.when(c("_group"), 1)})
+    leaves = leaves.withColumns({"msgid": F.coalesce("_gid", "msgid"), "publish_time": F.coalesce("_time", "publish_time"),
+                                 "_raw": _get(c("v"), "raw", "variant")})
+    leaves = _inherit(leaves)
+    text = lambda col: F.coalesce(col, F.lit("None"))
+    seed = F.concat_ws("|", text(_first(c("v"), ALIASES["url"], c("_raw"))), text(c("publish_time")),
+                       text(_first(c("v"), ["title"], c("_raw"))))
     key = (F.when(c("_gid").isNotNull(), F.concat(F.lit("msgid:"), "_gid"))
-           .when(F.coalesce("msgid", F.lit("")) != "", F.concat(F.lit("msgid:"), "msgid"))
-           .when(F.coalesce("appmsgid", F.lit("")) != "", F.concat(F.lit("appmsgid:"), "appmsgid"))
+           .when(c("msgid").isNotNull(), F.concat(F.lit("msgid:"), "msgid"))
+           .when(c("appmsgid").isNotNull(), F.concat(F.lit("appmsgid:"), "appmsgid"))
            .otherwise(F.concat(F.lit("fallback:"), F.substring(F.sha2(seed, 256), 1, 24))))
-    leaves = leaves.withColumn("group_key", key)
-    heads = leaves.select(*base, *_INHERITED, "group_key", "_path", c("_item").alias("_default_item"), c("head").alias("v"))
-    items = leaves.select(*base, *_INHERITED, "group_key", "_path",
-                          F.posexplode(_children(c("head"), GROUP_ITEMS)).alias("_i", "v"))
-    items = items.withColumns({"_default_item": c("_i") + 2, "_path": F.concat("_path", F.array(c("_i") + 1))}).drop("_i")
-    rows = heads.unionByName(items)
-    own = _own(c("v"))
-    fields = {k: _first(c("v"), names) for k, names in ALIASES.items() if k not in _INHERITED + ["group_key"]}
-    fields["itemidx"] = F.coalesce(fields["itemidx"], c("_default_item").cast("string"))
-    out = rows.select(*base, *[F.coalesce(own[k], c(k)).alias(k) for k in _INHERITED], "group_key", "_path",
-                      *[v.alias(k) for k, v in fields.items()])
-    return out.filter(c("url").isNotNull())
+    nodes = F.concat(F.array("v"), _children(c("v"), GROUP_ITEMS))
+    rows = leaves.withColumn("group_key", key).select(*kept, "_item", F.posexplode(nodes).alias("_i", "v"))
+    rows = rows.withColumns({"_raw": _get(c("v"), "raw", "variant"), "_path": F.concat("_path", F.array("_i")),
+                             "_item": F.when(c("_i") > 0, c("_i") + 1).otherwise(c("_item"))})
+    rows = _inherit(rows)
+    fields = {k: _first(c("v"), names, c("_raw")) for k, names in ALIASES.items() if k not in _INHERITED + ["group_key"]}
+    fields["itemidx"] = F.coalesce(fields["itemidx"], c("_item").cast("string"))
+    return rows.select(*kept, *[v.alias(k) for k, v in fields.items()]).filter(c("url").isNotNull())
 
 
 def unread_documents(documents: DataFrame, articles: DataFrame) -> DataFrame:
