@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import as_column, constant_map, strip
+from factloom.functions.text import as_column, bind, constant_map, strip
 
 SHANGHAI = 8 * 3600
 UTC = 0
@@ -23,10 +23,6 @@ _ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6,
           "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("bigint")
-
-
 def _epoch(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column,
            offset: Column) -> Column:
     date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
@@ -46,28 +42,34 @@ def _zone_offset(zone: Column, naive: int) -> Column:
             .otherwise(F.coalesce(F.try_element_at(named, F.upper(zone)), F.lit(0))))
 
 
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """All groups of a full match as one array, found by one pass of the pattern."""
+    return F.split(F.regexp_replace(text, pattern, "|".join(f"${i}" for i in range(1, count + 1))), "\\|", -1)
+
+
+def _long(text: Column, default: int | None = None) -> Column:
+    number = text.try_cast("bigint")
+    return number if default is None else F.coalesce(number, F.lit(default))
+
+
 def iso_epoch(value: Column | str, naive: int = SHANGHAI) -> Column:
     """Epoch seconds of an ISO date or date-time; ``naive`` is the offset of a text without one."""
     text = as_column(value)
-
-    def part(i: int) -> Column:
-        return F.coalesce(_number(text, _ISO, i), F.lit(0))
-
-    zone = F.regexp_extract(text, _ISO, 7)
-    out = _epoch(_number(text, _ISO, 1), _number(text, _ISO, 2), _number(text, _ISO, 3),
-                 part(4), part(5), part(6), _zone_offset(zone, naive))
+    out = bind(_groups(text, _ISO, 7), lambda g: _epoch(
+        _long(g[0]), _long(g[1]), _long(g[2]), _long(g[3], 0), _long(g[4], 0), _long(g[5], 0), _zone_offset(g[6], naive)))
     return F.when(text.rlike(_ISO), out)
 
 
 def mail_epoch(value: Column | str, naive: int = SHANGHAI) -> Column:
     """Epoch seconds of a mail-style date such as ``Thu, 20 Aug 2026 02:00:00 GMT``."""
     text = as_column(value)
-    spot = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.regexp_extract(text, _RFC, 2)))
-    month = F.when((spot > 0) & ((spot - 1) % 3 == 0), (spot + 2) / 3).cast("bigint")
-    out = _epoch(_number(text, _RFC, 3), month, _number(text, _RFC, 1), _number(text, _RFC, 4),
-                 _number(text, _RFC, 5), F.coalesce(_number(text, _RFC, 6), F.lit(0)),
-                 _zone_offset(F.regexp_extract(text, _RFC, 7), naive))
-    return F.when(text.rlike(_RFC), out)
+
+    def of_groups(g: Column) -> Column:
+        spot = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(g[1]))
+        month = F.when((spot > 0) & ((spot - 1) % 3 == 0), (spot + 2) / 3).cast("bigint")
+        return _epoch(_long(g[2]), month, _long(g[0]), _long(g[3]), _long(g[4]), _long(g[5], 0), _zone_offset(g[6], naive))
+
+    return F.when(text.rlike(_RFC), bind(_groups(F.regexp_extract(text, _RFC, 0), _RFC, 7), of_groups))
 
 
 def number_epoch(value: Column | str) -> Column:
@@ -78,26 +80,25 @@ def number_epoch(value: Column | str) -> Column:
 
 
 def _day_epoch(text: Column, pattern: str, naive: int, default_day: int | None = None) -> Column:
-    day = _number(text, pattern, 3)
-    if default_day is not None:
-        day = F.coalesce(day, F.lit(default_day))
     zero = F.lit(0)
-    return F.when(text.rlike(pattern), _epoch(_number(text, pattern, 1), _number(text, pattern, 2),
-                                              day, zero, zero, zero, F.lit(naive)))
+    out = bind(_groups(F.regexp_extract(text, pattern, 0), pattern, 3), lambda g: _epoch(
+        _long(g[0]), _long(g[1]), _long(g[2], default_day), zero, zero, zero, F.lit(naive)))
+    return F.when(text.rlike(pattern), out)
 
 
 def any_epoch(value: Column | str) -> Column:
     """Epoch seconds of a number, ISO, mail-style or Chinese date text; no zone means Shanghai."""
-    text = strip(as_column(value).cast("string"))
-    return F.coalesce(number_epoch(text), iso_epoch(text), mail_epoch(text),
-                      _day_epoch(text, _DAY, SHANGHAI))
+    return bind(strip(as_column(value).cast("string")), lambda text: F.coalesce(
+        number_epoch(text), iso_epoch(text), mail_epoch(text), _day_epoch(text, _DAY, SHANGHAI)))
 
 
 def stamp_epoch(value: Column | str) -> Column:
     """As :func:`any_epoch`, without the search for a date inside a longer text; positive only."""
-    text = strip(as_column(value).cast("string"))
-    out = F.coalesce(number_epoch(text), iso_epoch(text), mail_epoch(text))
-    return F.when(~text.rlike("^\\d{10,13}$") | (out > 0), out)
+    def read(text: Column) -> Column:
+        number = number_epoch(text)
+        return F.coalesce(F.when(number > 0, number), iso_epoch(text), mail_epoch(text))
+
+    return bind(strip(as_column(value).cast("string")), read)
 
 
 def local_date(epoch: Column, offset: int = SHANGHAI) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def radar_key(value: Column | str) -> Column:
     return _strip_suffixes(F.regexp_replace(text, _NOT_NAME, ""), T.RADAR_SUFFIXES, repeat=True)
 
 
+def _word_key(word: str) -> str:
+    """Radar key of a rule word, so that rule lists are plain values in the plan."""
+    text = re.sub("[^0-9a-z\u4e00-\u9fff]+", "", re.sub("[（(][^）)]{0,40}[）)]", "", word.lower()))
+    return re.sub(f"^(.{{2,}}?)(?:{'|'.join(T.RADAR_SUFFIXES)})+$", r"\1", text)
+
+
 def grounding_key(value: Column | str) -> Column:
     """Token of a company (or of a whole page) for the test whether the page names it."""
     text = F.regexp_replace(F.lower(F.coalesce(as_column(value), F.lit(""))), SPACE + "+", "")
@@ -78,8 +86,7 @@ def tidy_company(value: Column | str) -> Column:
 def is_company(name: Column, rules: R.RadarRules) -> Column:
     """Whether a cleaned name can be a company."""
     key = radar_key(name)
-    listed = [radar_key(F.lit(w)) for w in rules.entity_stopwords + rules.mature_entities]
-    banned = F.array_contains(F.array(*listed), key) if listed else F.lit(False)
+    banned = key.isin(sorted({_word_key(w) for w in rules.entity_stopwords + rules.mature_entities} - {""}))
     return (F.length(key).between(2, 30) & ~banned & ~matches_any(name, rules.generic_entities)
             & ~name.rlike(f"(?:{'|'.join(R.BAD_ENTITY_ENDINGS)})$")
             & ~key.rlike("^\\d+(?:\\.\\d+)?(?:亿|万|元)?$"))

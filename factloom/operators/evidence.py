@@ -11,7 +11,7 @@ from factloom.functions import text as X
 from factloom.functions import url as U
 from factloom.functions.entity import entity_key, is_grounded
 from factloom.functions.numbers import half_even
-from factloom.operators.common import constant_table, indexed, top_per_group, with_columns_default
+from factloom.operators.common import beside, constant_table, indexed, small, top_per_group, with_columns_default
 from factloom.rules import scoring as S
 from factloom.rules import sources as R
 from factloom.rules import text as T
@@ -140,6 +140,7 @@ def ground_quotes(evidence: DataFrame, pages: DataFrame, squashed: bool = False)
 _TOKEN = "[\\u4e00-\\u9fff]|[^\\s\\u4e00-\\u9fff]+"
 _SHINGLE = 3
 _SHORT_GRAM = 4
+SHORT_QUOTES = 1000
 
 
 def _tokens(text: Column) -> Column:
@@ -148,16 +149,19 @@ def _tokens(text: Column) -> Column:
 
 def _shingles(tokens: Column) -> Column:
     """All runs of three tokens."""
-    last = F.size(tokens) - _SHINGLE + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(
-        F.slice(tokens, i, _SHINGLE), " "))).otherwise(F.array().cast("array<string>"))
+    return X.bind(tokens, lambda ts: F.when(F.size(ts) >= _SHINGLE, F.transform(
+        F.sequence(F.lit(1), F.size(ts) - _SHINGLE + 1), lambda i: F.array_join(F.slice(ts, i, _SHINGLE), " ")))
+        .otherwise(F.array().cast("array<string>")))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All substrings of a length."""
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))) \
-        .otherwise(F.array().cast("array<string>"))
+def _grams(text: Column) -> Column:
+    """All substrings of one to four characters."""
+    def of(chars: Column) -> Column:
+        lists = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(
+            F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>")) for n in range(1, _SHORT_GRAM + 1)]
+        return F.flatten(F.array(*lists))
+
+    return X.bind(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), of)
 
 
 def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -165,9 +169,10 @@ def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
     A quote is probed by one run of three of its inner tokens (the longest one, so a rare one); the
     runs of all pages are equi-joined with the probes by hash and every hit is verified by ``contains``.
-    A quote with fewer tokens is probed by its first characters instead.  Only ids and hashes are
-    exploded; texts join again for the few pairs that are left.  ``quotes`` needs quote_id and quote,
-    ``pages`` page_id and page_text.
+    Only ids and hashes are exploded; texts join again for the few pairs that are left.  Quotes with
+    fewer tokens are tested on each page directly while they are at most ``SHORT_QUOTES`` (checked), and
+    probed by their first characters beyond.  ``quotes`` needs quote_id and quote, ``pages`` page_id and
+    page_text.
     """
     pieces = quotes.select("quote_id", "quote").filter(F.col("quote") != "").withColumn("_t", _tokens(F.col("quote")))
     # The first and last token of a quote may be cut, so only the inner ones are probed.
@@ -178,12 +183,24 @@ def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
         "quote_id", F.xxhash64("_probe").alias("key"))
     page_keys = pages.select("page_id", F.explode(F.array_distinct(F.transform(
         _shingles(_tokens(F.col("page_text"))), lambda r: F.xxhash64(r)))).alias("key"))
-    pairs = long_probes.join(page_keys, "key").select("quote_id", "page_id")
-    short = probed.filter(F.col("_probe").isNull()).select(
-        "quote_id", F.xxhash64(F.substring("quote", 1, _SHORT_GRAM)).alias("key"))
-    page_grams = pages.select("page_id", F.explode(F.array_distinct(F.transform(F.flatten(F.array(
-        *[_grams(F.col("page_text"), n) for n in range(1, _SHORT_GRAM + 1)])), lambda g: F.xxhash64(g)))).alias("key"))
-    pairs = pairs.unionByName(short.join(page_grams, "key").select("quote_id", "page_id"))
+    pairs = small(long_probes).join(page_keys, "key").select("quote_id", "page_id")
+    found = _verify(pairs, quotes, pages)
+    short = probed.filter(F.col("_probe").isNull()).select("quote_id", "quote")
+    count = short.limit(SHORT_QUOTES + 1).count()
+    if count == 0:
+        return found
+    if count <= SHORT_QUOTES:
+        listed = short.agg(F.collect_list(F.struct("quote_id", "quote")).alias("_q"))  # at most SHORT_QUOTES rows
+        hits = F.filter("_q", lambda q: F.contains("page_text", q["quote"]))
+        direct = beside(pages.select("page_id", "page_text"), listed).select("page_id", F.explode(hits).alias("q"))
+        return found.unionByName(direct.select("q.quote_id", "page_id"))
+    keys = short.select("quote_id", F.xxhash64(F.substring("quote", 1, _SHORT_GRAM)).alias("key"))
+    grams = pages.select("page_id", F.explode(F.array_distinct(F.transform(
+        _grams(F.col("page_text")), lambda g: F.xxhash64(g)))).alias("key"))
+    return found.unionByName(_verify(keys.join(grams, "key").select("quote_id", "page_id"), quotes, pages))
+
+
+def _verify(pairs: DataFrame, quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return (pairs.join(quotes.select("quote_id", "quote"), "quote_id").join(pages.select("page_id", "page_text"), "page_id")
             .filter(F.contains("page_text", "quote")).select("quote_id", "page_id"))
 

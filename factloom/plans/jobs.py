@@ -311,6 +311,11 @@ def adjusted_weights(t: Tables) -> DataFrame:
     return sectors.join(S.adjusted_weights(t.spark), "sector_type")
 
 
+def _split_entities(t: Tables) -> DataFrame:
+    """The evidence over many small companies, so that all levels and gates occur."""
+    return t.evidence.withColumn("entity", F.concat(F.lit("公司"), F.floor(c("seq") / 4).cast("string"), c("entity")))
+
+
 @query("priority_rank", "K5 K7 K8 K10 K11 K12 K19 W4 W6 F38")
 def priority_rank(t: Tables) -> DataFrame:
     return S.rank_candidates(S.score_companies(t.evidence, NOW, TOPIC).select(*S.REPORT_COLUMNS))
@@ -318,17 +323,17 @@ def priority_rank(t: Tables) -> DataFrame:
 
 @query("dimension_scores", "K3 K4 K5 K7")
 def dimension_scores(t: Tables) -> DataFrame:
-    return S.dimension_rows(S.score_companies(t.evidence, NOW))
+    return S.dimension_rows(S.score_companies(_split_entities(t), NOW))
 
 
 @query("sub_dimension_levels", "K4 A15")
 def sub_dimension_levels(t: Tables) -> DataFrame:
-    return S.sub_dimension_rows(S.score_companies(t.evidence, NOW))
+    return S.sub_dimension_rows(S.score_companies(_split_entities(t), NOW))
 
 
 @query("score_gates", "K8")
 def score_gates(t: Tables) -> DataFrame:
-    return S.gate_rows(S.score_companies(t.evidence, NOW))
+    return S.gate_rows(S.score_companies(_split_entities(t), NOW))
 
 
 # -- radar --------------------------------------------------------------------------------------------

@@ -110,6 +110,8 @@ def with_derived(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import discovery as V
@@ -145,8 +146,10 @@ def test_grounding_and_quote_search(spark):
     assert loose[4] == (None, 5, "宣布完成 A轮")
 
 
-def test_quote_search_equals_contains(spark):
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_quote_search_equals_contains(spark, monkeypatch, limit):
     import random
+    monkeypatch.setattr(E, "SHORT_QUOTES", limit)
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "芯片", "量产", "公司", "x", "y1", "..", "omega,"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "", "\n", "  "]) for _ in range(n))
