@@ -82,11 +82,14 @@ def source_order() -> list[Column]:
 
 def merge_last_non_blank(rows: DataFrame, keys: list[str], order: str = "seq",
                          any_true: list[str] | None = None) -> DataFrame:
-    """One row per key with the last non-blank value of every field; flags in ``any_true`` take the maximum."""
+    """One row per key with the last non-blank value of every field, and the last position.
+
+    Flags in ``any_true`` take the maximum.
+    """
     any_true = any_true or []
     fields = [c for c in rows.columns if c not in keys and c not in any_true and c != order]
     return rows.groupBy(*keys).agg(*[last_non_blank(c, F.col(order)) for c in fields],
-                                   *[F.max(c).alias(c) for c in any_true])
+                                   *[F.max(c).alias(c) for c in any_true], F.max(order).alias(order))
 
 
 def keep_best_page(records: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:

@@ -62,7 +62,9 @@ def normalize_articles(rows: DataFrame, fallback_account: str, fetch_mode: str =
     """
     seq = "seq" if "seq" in rows.columns else "monotonically_increasing_id()"
     v = rows.selectExpr(f"{seq} AS seq", *[f"{alias_value(rows, names)} AS {k}" for k, names in ALIASES.items()])
-    df = v.withColumns({"_u": U.article_url("url"), "account_name": X.clean("account_name", 300),
+    # One element per row: filters on the reason stay above this step, so no URL is read twice.
+    v = v.select("*", F.explode_outer(F.array(U.article_url("url"))).alias("_u"))
+    df = v.withColumns({"account_name": X.clean("account_name", 300),
                         "fakeid": X.clean("fakeid", 300)})
     df = df.withColumn("account_name", F.when((c("account_name") == "") & (c("fakeid") == ""), fallback_account)
                        .otherwise(c("account_name")))
@@ -97,8 +99,7 @@ def _blank_texts(articles: DataFrame) -> DataFrame:
 def merge_import(articles: DataFrame) -> DataFrame:
     """One row per account and URL of an import: the last non-blank value of every field wins."""
     good = articles.filter(c("reject_reason").isNull()).drop("reject_reason")
-    last = good.groupBy(*KEYS).agg(F.max("seq").alias("seq"))
-    merged = _blank_texts(merge_last_non_blank(good, KEYS, any_true=["is_deleted"])).join(last, KEYS)
+    merged = _blank_texts(merge_last_non_blank(good, KEYS, any_true=["is_deleted"]))
     return merged.withColumn("date_status", F.when(c("publish_time").isNull(), "pending").otherwise("known"))
 
 
@@ -278,7 +279,7 @@ def with_accounts(articles: DataFrame, accounts: DataFrame) -> DataFrame:
 def account_rows(articles: DataFrame) -> DataFrame:
     """One row per account: the last non-blank name and id."""
     return merge_last_non_blank(articles.select("account_key", "account_name", "fakeid", c("id").alias("seq")),
-                                ["account_key"])
+                                ["account_key"]).drop("seq")
 
 
 # -- storage --------------------------------------------------------------------------------------
