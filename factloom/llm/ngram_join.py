@@ -352,12 +352,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
 def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, DataFrame]:
     """(sets, edges): a stored row (doc_id, n, a, code) per document, and verified links (p, q) between sets that join
     all similar sets into their components."""
-    shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
+    shared_folder(spark)
     found = stored(entries_and_sets(docs, measure))
-    release(docs.sparkSession)  # the dealt entries, by far the largest shuffle
+    release(spark)  # the dealt entries, by far the largest shuffle
     sets = found.filter("key IS NULL").select("doc_id", "n", "a", "code")
     classes = sets.filter("a IS NOT NULL").groupBy("a").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "code"))["code"].alias("code"))
     members = stored(_members(found, classes, measure))
+    release(spark)
     hubs = (members.groupBy("key").agg(F.max(F.struct("weight", "a", "n")).alias("hub"), F.max("level").alias("level"), F.min("a").alias("low"), F.max("a").alias("high"))
             .filter("level > 0 AND low <> high").select("key", F.col("hub.a").alias("hub"), F.col("hub.n").alias("hub_n")))
     starred = members.join(hubs, "key")
@@ -365,10 +367,13 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
     pair = lambda x, y: [F.least(x, y).alias("p"), F.greatest(x, y).alias("q")]
     stars = starred.filter((F.col("a") != F.col("hub")) & fits("n", "hub_n")).select(*pair("a", "hub")).distinct()
     stars = stored(stars)
+    release(spark)
     # All sets that can still be compared: those of subsets with a probe.
     wanted = starred.select("a").distinct().join(classes, "a").select("a", "code")
     tokens = stored(_candidate_sets(docs, wanted, measure))
+    release(spark)
     first = stored(_verified(stars, tokens, measure))
+    release(spark)
     state = starred.select("*", *pair("a", "hub")).join(first, ["p", "q"], "left").withColumn("out", (F.col("a") != F.col("hub")) & ~F.coalesce("linked", F.lit(False)))
     state = state.select("key", "a", "n", "near", "indexed", "level", "out", "hub")
     outside = state.filter("out").select("key", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "near", "indexed", "level")])
@@ -376,6 +381,8 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
     meets = F.expr(probes.format(p="o_", q="") + " OR " + probes.format(p="", q="o_"))
     rest = (outside.join(state, "key").filter((F.col("a") != F.col("o_a")) & (F.col("a") != F.col("hub")) & fits("n", "o_n") & meets)
             .select(*pair("a", "o_a")).distinct().join(first.select("p", "q"), ["p", "q"], "left_anti"))
+    rest = stored(rest)
+    release(spark)
     second = _verified(rest, tokens, measure)
     return sets, stored(first.unionByName(second).filter("linked").select("p", "q"))
 
