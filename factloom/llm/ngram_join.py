@@ -39,6 +39,8 @@ MEMORY = 1_000_000
 FLUSH, HOT = 2_000_000, 64
 #: Bytes of text for each bucket of subset entries (an entry takes 20 bytes, a text about as many bytes as its entries).
 BUCKET_BYTES = 16_000_000
+#: Members of a subset up to which pairs are joined as rows, and rows of a block beyond it; both ways are exact.
+FEW, BLOCK = 16, 512
 #: Bits of the fixed-size filter that picks the texts of candidates.
 FILTER_BITS = 1 << 27
 BAND = 1.4
@@ -269,7 +271,7 @@ def levels(segment: np.ndarray, near: np.ndarray, subsets: np.ndarray, neighbour
 
 
 def _members(found: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
-    """Entries with the level at which their set probes: (key, a, n, near, indexed, level, weight); weight is the number
+    """Entries with the level at which their set probes: (key, a, n, near, indexed, level, weight, k); weight is the number
     of entries that the set shares, the more the nearer it is to the middle of its copies."""
     entries = found.filter("key IS NOT NULL").select("key", "a", (F.shiftright("place", 26)).alias("k"), (F.shiftright("place", 3).bitwiseAND(F.lit((1 << 23) - 1))).alias("i"),
                                                      (F.col("place").bitwiseAND(F.lit(4)) > 0).alias("near"), (F.col("place").bitwiseAND(F.lit(2)) > 0).alias("indexed"))
@@ -281,7 +283,7 @@ def _members(found: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             c = {name: batch.column(j) for j, name in enumerate(batch.schema.names)}
             for row in range(batch.num_rows):
                 a, n, k = (c[x][row].as_py() for x in ("a", "n", "k"))
@@ -290,15 +292,15 @@ def _members(found: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
                 need = measure.differ(n + min(n, measure.band_start(k + 1) - 1)) + 1
                 level = levels(i, near, subsets, neighbours, measure.segments(k), need)[i]
                 level = np.where(near, np.where(level == 2, 2, 0), level)
-                keep = indexed | (level > 0)
+                keep = indexed | (level > 0) | ~near  # all subsets stay: their number in common bounds a pair's difference
                 size = int(keep.sum())
                 weight = int(np.minimum(subsets, 1 << 32).sum())
-                for to, x in zip(out, (key[keep], np.full(size, a), np.full(size, n), near[keep], indexed[keep], level[keep], np.full(size, weight)), strict=True):
+                for to, x in zip(out, (key[keep], np.full(size, a), np.full(size, n), near[keep], indexed[keep], level[keep], np.full(size, weight), np.full(size, k)), strict=True):
                     to.append(x)
             columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if j in (3, 4) else pa.int64()) for j, x in enumerate(columns)], names=["key", "a", "n", "near", "indexed", "level", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if j in (3, 4) else pa.int64()) for j, x in enumerate(columns)], names=["key", "a", "n", "near", "indexed", "level", "weight", "k"])
 
-    return lists.mapInArrow(run, "key long, a long, n long, near boolean, indexed boolean, level long, weight long")
+    return lists.mapInArrow(run, "key long, a long, n long, near boolean, indexed boolean, level long, weight long, k long")
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
@@ -374,19 +376,66 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
     release(spark)
     first = stored(_verified(stars, tokens, measure))
     release(spark)
-    state = starred.select("*", *pair("a", "hub")).join(first, ["p", "q"], "left").withColumn("out", (F.col("a") != F.col("hub")) & ~F.coalesce("linked", F.lit(False)))
-    state = state.select("key", "a", "n", "near", "indexed", "level", "out", "hub")
-    outside = state.filter("out").select("key", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "near", "indexed", "level")])
+    # Sets that the stars have joined need no further comparison with each other.
+    roots = stored(components(first.filter("linked").select("p", "q")))
+    root_of = lambda name: roots.select(F.col("a").alias(name), F.col("root").alias(f"{name}_root"))
+    state = (starred.join(root_of("a").withColumnRenamed("a_root", "root"), "a", "left").join(root_of("hub"), "hub", "left")
+             .withColumn("root", F.coalesce("root", "a")).withColumn("out", F.col("root") != F.coalesce("hub_root", "hub"))
+             .select("key", "k", "a", "n", "near", "indexed", "level", "root", "out", "hub"))
+    open_keys = state.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.max("out").alias("any_out")).filter("any_out").select("key", "many")
+    state = stored(state.join(open_keys, "key"))
+    release(spark)
+    few, much = state.filter(F.col("many") <= FEW), state.filter(F.col("many") > FEW)
+    outside = few.filter("out").select("key", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "near", "indexed", "level", "root")])
     probes = ("({p}level > 0 AND {q}indexed AND {q}n <= {p}n AND ((NOT {p}near AND NOT {q}near) OR ({p}level = 2 AND {p}near <> {q}near)))")
     meets = F.expr(probes.format(p="o_", q="") + " OR " + probes.format(p="", q="o_"))
-    rest = (outside.join(state, "key").filter((F.col("a") != F.col("o_a")) & (F.col("a") != F.col("hub")) & fits("n", "o_n") & meets)
-            .select(*pair("a", "o_a")).distinct().join(first.select("p", "q"), ["p", "q"], "left_anti"))
+    rest = outside.join(few, "key").filter((F.col("root") != F.col("o_root")) & (F.col("a") != F.col("hub")) & fits("n", "o_n") & meets).select(*pair("a", "o_a"))
+    rest = rest.unionByName(_block_pairs(much, members, measure)).distinct().join(first.select("p", "q"), ["p", "q"], "left_anti")
     rest = stored(rest)
     release(spark)
     second = _verified(rest, tokens, measure)
     return sets, stored(first.unionByName(second).filter("linked").select("p", "q"))
 
 
+def _block_pairs(state: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
+    """Pairs (p, q) of a common subset of many sets that can still be linked: not joined yet, of fitting sizes, and with so
+    many subsets in common that those that differ are within the bound (each holds one differing token at least).
+
+    Members of a subset are cut into blocks by hash; a task compares two blocks and returns the pairs that pass."""
+    own = members.filter("NOT near").groupBy("a", "k").agg(F.sort_array(F.collect_list("key")).alias("subsets"))
+    rows = state.groupBy("key", "k", "a", "n", "root", "many").agg(F.max("near").alias("neighbour")).join(own, ["a", "k"])
+    rows = rows.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = (rows.withColumn("with", other).withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
+            .select("key", "x", "y", "block", "k", "a", "n", "root", "neighbour", "subsets"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        x = table.column("x")[0].as_py()
+        k = table.column("k")[0].as_py()
+        a, n, root, block = (table.column(c).to_numpy() for c in ("a", "n", "root", "block"))
+        sizes = np.array([len(v) for v in table.column("subsets")])
+        flat, codes = np.unique(np.concatenate([v.values.to_numpy() for v in table.column("subsets")]), return_inverse=True)
+        row = np.repeat(np.arange(len(a)), sizes)
+        left = np.flatnonzero(block == x)
+        right = np.arange(len(a)) if table.column("x")[0] == table.column("y")[0] else np.flatnonzero(block != x)
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(flat), 4096):
+            pick = (codes >= lo) & (codes < lo + 4096)
+            has = np.zeros((len(a), min(4096, len(flat) - lo)), np.float32)
+            has[row[pick], codes[pick] - lo] = 1
+            common += has[left] @ has[right].T
+        total = n[left][:, None] + n[right][None, :]
+        bound = (100 - measure.percent) * total // (100 + measure.percent)
+        low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+        open_pair = (root[left][:, None] != root[right][None, :]) & (100 * low >= measure.percent * high) & (a[left][:, None] != a[right][None, :])
+        hit = np.argwhere(open_pair & (common >= measure.segments(k) - bound))
+        i, j = left[hit[:, 0]], right[hit[:, 1]]
+        p, q = np.minimum(a[i], a[j]), np.maximum(a[i], a[j])
+        return pa.table({"p": pa.array(p, pa.int64()), "q": pa.array(q, pa.int64())})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(compare, "p long, q long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) of all nodes with an edge: the smallest node that they reach.
 
