@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import release, shared_folder, stored
 
 #: Words whose hashes a task remembers.
-MEMORY = 1_000_000
+MEMORY = 250_000
 #: Subset entries that a task gathers before it deals them out; entries of one subset beyond which they pass uncounted.
-FLUSH, HOT = 2_000_000, 64
+FLUSH, HOT = 600_000, 64
 #: Bytes of text for each bucket of subset entries (an entry takes 20 bytes, a text about as many bytes as its entries).
 BUCKET_BYTES = 16_000_000
 #: Members of a subset up to which pairs are joined as rows, and rows of a block beyond it; both ways are exact.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 def byte_letters() -> dict[int, str]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 @dataclass(frozen=True)
