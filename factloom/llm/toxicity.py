@@ -15,6 +15,7 @@ repeated row is scored again; of labels that share an id the largest counts; no
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,11 +42,35 @@ class Model:
         return self.embeddings @ (self.weights[1] - self.weights[0])
 
 
-def grams(word: str, table: int, low: int = 3, high: int = 5) -> list[int]:
-    """Table entries of a word and of its character n-grams (with marks at both ends)."""
+def parts_of(word: str, low: int = 3, high: int = 5) -> list[str]:
+    """A word and its character n-grams, with marks at both ends."""
     marked = f"<{word}>"
-    parts = [marked] + [marked[i:i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) % table for p in parts]
+    return [marked] + [marked[i:i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
+
+
+def entry(part: str, table: int) -> int:
+    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) % table
+
+
+def grams(word: str, table: int) -> list[int]:
+    """Table entries of a word and of its n-grams."""
+    return [entry(p, table) for p in parts_of(word)]
+
+
+class Scores(dict):
+    """What each n-gram adds to the logit, remembered on first use."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, part: str) -> float:
+        value = self[part] = float(self.table[entry(part, len(self.table))])
+        return value
+
+    def word(self, word: str) -> float:
+        first, *rest = parts_of(word)  # the whole word is rarely met again
+        return (float(self.table[entry(first, len(self.table))]) + sum(map(self.__getitem__, rest))) / (1 + len(rest))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -78,9 +103,13 @@ def train(sample: list[tuple[str, int]], table: int = 1 << 17, dims: int = 8, wi
         return Model(np.zeros((1, 1)), np.zeros((2, 1)), np.array([50.0, -50.0]), window)
     vocabulary: dict[str, int] = {}
     texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t, _ in sample]
-    entries = [grams(w, table) for w in vocabulary] or [[0]]
-    gram_count = np.array([len(g) for g in entries])
-    gram_of, gram_word = np.concatenate(entries).astype(np.int64), np.repeat(np.arange(len(entries)), gram_count)
+    flat_grams, gram_count = array("i"), array("i")  # packed: the words of thousands of texts have millions of n-grams
+    for w in vocabulary or [""]:
+        found = grams(w, table)
+        flat_grams.extend(found)
+        gram_count.append(len(found))
+    gram_count = np.array(gram_count)
+    gram_of, gram_word = np.array(flat_grams), np.repeat(np.arange(len(gram_count), dtype=np.int32), gram_count)
     y = np.array([label for _, label in sample], float)
     share = np.array([1 / max(1, (y == 0).sum()), 1 / max(1, (y == 1).sum())])[y.astype(int)] * 0.5
     # Windows: the first pass has one per text, the second one for every ``window`` words.
@@ -98,7 +127,7 @@ def train(sample: list[tuple[str, int]], table: int = 1 << 17, dims: int = 8, wi
         for _ in range(count):
             step += 1
             u = weights[1] - weights[0]
-            word = np.bincount(gram_word, weights=(embeddings @ u)[gram_of], minlength=len(entries)) / gram_count
+            word = np.bincount(gram_word, weights=(embeddings @ u)[gram_of], minlength=len(gram_count)) / gram_count
             logit = np.bincount(piece_of, weights=word[flat], minlength=len(text_of)) / held + bias[1] - bias[0]
             order = np.lexsort((-logit, text_of))
             top = order[first_piece]
@@ -107,7 +136,7 @@ def train(sample: list[tuple[str, int]], table: int = 1 << 17, dims: int = 8, wi
             d = np.where(y[text_of] == 0, p * (share * calm / pieces)[text_of], 0)
             d[top] += (p[top] - y) * share
             per_piece = d / held
-            per_word = np.bincount(flat, weights=per_piece[piece_of], minlength=len(entries)) / gram_count
+            per_word = np.bincount(flat, weights=per_piece[piece_of], minlength=len(gram_count)) / gram_count
             per_gram = np.bincount(gram_of, weights=per_word[gram_word], minlength=table)
             grad_u = per_gram @ embeddings
             for x, g, m in zip((embeddings, weights, bias), (per_gram[:, None] * u + decay * embeddings / len(sample), np.stack([-grad_u, grad_u]), np.array([-d.sum(), d.sum()])), moments, strict=True):
@@ -126,14 +155,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias, window = shared.value
         memory: dict[str, float] = {}
+        scores_of = Scores(table)
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
                 if len(memory) > MEMORY:
                     memory.clear()
+                if len(scores_of) > MEMORY:
+                    scores_of.clear()
                 for w in set(words).difference(memory):
-                    memory[w] = float(table[grams(w, len(table))].mean())
+                    memory[w] = scores_of.word(w)
                 x = np.fromiter(map(memory.__getitem__, words), float, len(words))
                 starts = np.arange(0, max(1, len(x)), window)
                 sums = np.add.reduceat(x, starts) if len(x) else np.zeros(1)
