@@ -13,8 +13,10 @@ c = F.col
 
 
 def leak_scan(documents: DataFrame, path: str | None = None, text: str = "text",
-              patterns: list[str] | None = None) -> DataFrame:
-    """One row per document and rule it breaks: forbidden paths, private markers, embedded secrets."""
+              patterns: list[str] | None = None, markers: list[str] | None = None, path_parts: list[str] | None = None) -> DataFrame:
+    """One row per document and rule it breaks: forbidden paths, private markers, embedded secrets.
+
+    ``markers`` and ``path_parts`` name what is private to the user; neutral ones are the default."""
     rules: list[Column] = []
 
     def rule(name: str, test: Column) -> None:
@@ -22,11 +24,11 @@ def leak_scan(documents: DataFrame, path: str | None = None, text: str = "text",
 
     if path:
         parts = F.split(F.lower(path), "/")
-        forbidden = F.arrays_overlap(parts, F.array(*map(F.lit, T.LEAK_PATH_PARTS)))
+        forbidden = F.arrays_overlap(parts, F.array(*map(F.lit, path_parts or T.LEAK_PATH_PARTS)))
         rule("forbidden_path", forbidden)
         rule("internal_artifact", F.element_at(parts, -1).rlike(f"^(?:{X.literal_pattern(T.LEAK_NAME_PREFIXES)})"))
     lowered = F.lower(text)
-    for marker in T.LEAK_MARKERS:
+    for marker in markers if markers is not None else T.LEAK_MARKERS:
         rule(f"private_marker:{marker}", F.contains(lowered, F.lit(marker.lower())))
     for i, pattern in enumerate(patterns or T.LEAK_PATTERNS):
         test = c(text).rlike(pattern)

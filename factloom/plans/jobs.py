@@ -15,7 +15,7 @@ from factloom.operators import joins as J
 from factloom.operators import radar as R
 from factloom.operators import scoring as S
 from factloom.operators.common import indexed
-from factloom.plans.columns import HOST_RULES, HOST_SQL, _rule_values
+from factloom.plans.columns import HOST_RULES, HOST_SQL, _rule_values, _page_text_sql
 from factloom.plans.registry import AS_OF, NOW, Tables, query
 from factloom.rules import radar as RR
 from factloom.rules import scoring as SR
@@ -74,7 +74,8 @@ _RULES_SQL = _rule_values(HOST_RULES)
 
 @query("evidence_rank", "F2 F13 F36 P3 J3 A2 W4", f"""
 WITH rules(domain, rule_tier, ord) AS (VALUES {_RULES_SQL}),
-p AS (SELECT page_id, {HOST_SQL} AS host, regexp_extract({HOST_SQL}, '([^.]+\\.[^.]+)$', 1) AS site FROM pages),
+texts AS ({_page_text_sql()}),
+p AS (SELECT page_id, {HOST_SQL} AS host, regexp_extract({HOST_SQL}, '([^.]+\\.[^.]+)$', 1) AS site FROM pages JOIN texts USING (page_id) WHERE long_enough),
 q AS (SELECT *, (SELECT arg_min(rule_tier, ord) FROM rules WHERE host = domain OR host LIKE '%.' || domain) AS tier FROM p),
 st AS (SELECT site, count(*) AS n, count(DISTINCT host) AS domains, count(*) FILTER (WHERE tier = 'T1') AS t1, count(*) FILTER (WHERE tier = 'T2') AS t2 FROM q GROUP BY 1),
 s2 AS (SELECT *, least(100.0, t1 * 28 + t2 * 16 + domains * 6)::DOUBLE AS authority,
