@@ -39,8 +39,8 @@ MEMORY = 250_000
 FLUSH, HOT = 600_000, 64
 #: Bytes of text for each bucket of subset entries (an entry takes 20 bytes, a text about as many bytes as its entries).
 BUCKET_BYTES = 16_000_000
-#: Members of a subset up to which pairs are joined as rows, and rows of a block beyond it; both ways are exact.
-FEW, BLOCK = 16, 512
+#: Members of a subset up to which pairs are joined as rows, and rows and bytes of a block beyond it; both ways are exact.
+FEW, BLOCK, BLOCK_BYTES = 16, 1024, 8_000_000
 #: Bits of the fixed-size filter that picks the texts of candidates.
 FILTER_BITS = 1 << 27
 BAND = 1.4
@@ -282,8 +282,13 @@ def _members(found: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
     lists = costs.groupBy("a", "k").agg(F.collect_list(F.struct(*fields)).alias("e")).join(classes.select("a", "n"), "a").select("a", "n", "k", *[F.col(f"e.{c}").alias(c) for c in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "a", "n", "near", "indexed", "level", "weight", "k"]
+
+        def gathered(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.bool_() if j in (3, 4) else pa.int64()) for j, x in enumerate(out)], names=names)
+
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(8)]
+            out, held = [[] for _ in names], 0
             c = {name: batch.column(j) for j, name in enumerate(batch.schema.names)}
             for row in range(batch.num_rows):
                 a, n, k = (c[x][row].as_py() for x in ("a", "n", "k"))
@@ -297,8 +302,12 @@ def _members(found: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
                 weight = int(np.minimum(subsets, 1 << 32).sum())
                 for to, x in zip(out, (key[keep], np.full(size, a), np.full(size, n), near[keep], indexed[keep], level[keep], np.full(size, weight), np.full(size, k)), strict=True):
                     to.append(x)
-            columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if j in (3, 4) else pa.int64()) for j, x in enumerate(columns)], names=["key", "a", "n", "near", "indexed", "level", "weight", "k"])
+                held += size
+                if held > 100_000:
+                    yield gathered(out)
+                    out, held = [[] for _ in names], 0
+            if held:
+                yield gathered(out)
 
     return lists.mapInArrow(run, "key long, a long, n long, near boolean, indexed boolean, level long, weight long, k long")
 
@@ -390,47 +399,69 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
     probes = ("({p}level > 0 AND {q}indexed AND {q}n <= {p}n AND ((NOT {p}near AND NOT {q}near) OR ({p}level = 2 AND {p}near <> {q}near)))")
     meets = F.expr(probes.format(p="o_", q="") + " OR " + probes.format(p="", q="o_"))
     rest = outside.join(few, "key").filter((F.col("root") != F.col("o_root")) & (F.col("a") != F.col("hub")) & fits("n", "o_n") & meets).select(*pair("a", "o_a"))
-    rest = rest.unionByName(_block_pairs(much, members, measure)).distinct().join(first.select("p", "q"), ["p", "q"], "left_anti")
-    rest = stored(rest)
+    rest = stored(rest.distinct().join(first.select("p", "q"), ["p", "q"], "left_anti"))
     release(spark)
-    second = _verified(rest, tokens, measure)
-    return sets, stored(first.unionByName(second).filter("linked").select("p", "q"))
+    second = _verified(rest, tokens, measure).filter("linked").select("p", "q")
+    third = _block_links(much, tokens, measure)
+    return sets, stored(first.filter("linked").select("p", "q").unionByName(second).unionByName(third).distinct())
 
 
-def _block_pairs(state: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (p, q) of a common subset of many sets that can still be linked: not joined yet, of fitting sizes, and with so
-    many subsets in common that those that differ are within the bound (each holds one differing token at least).
+def _block_links(state: DataFrame, tokens: DataFrame, measure: Measure) -> DataFrame:
+    """Verified links (p, q) inside common subsets of many sets, as few as join what all links there join.
 
-    Members of a subset are cut into blocks by hash; a task compares two blocks and returns the pairs that pass."""
-    own = members.filter("NOT near").groupBy("a", "k").agg(F.sort_array(F.collect_list("key")).alias("subsets"))
-    rows = state.groupBy("key", "k", "a", "n", "root", "many").agg(F.max("near").alias("neighbour")).join(own, ["a", "k"])
-    rows = rows.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = (rows.withColumn("with", other).withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
-            .select("key", "x", "y", "block", "k", "a", "n", "root", "neighbour", "subsets"))
+    Members that the star left out (``out``) are compared with all others.  Both kinds are cut into blocks by hash, bounded
+    in rows and in bytes; a task holds two blocks with their full sets, counts the tokens in common of all their pairs as
+    products of 0-1 matrices, and returns a spanning forest of the links it finds, so never more rows than it read."""
+    members = state.groupBy("key", "a", "root").agg(F.max("out").alias("out")).join(tokens, "a")
+    cut = lambda out: F.greatest(F.ceil(F.sum(out.cast("long")) / BLOCK), F.ceil(F.sum(F.when(out, F.octet_length("tokens")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    cuts = members.groupBy("key").agg(cut(F.col("out")).alias("outs"), cut(~F.col("out")).alias("others"))
+    place = lambda many: F.pmod(F.xxhash64("a", F.lit(1)), F.greatest(many, F.lit(1))).cast("int")
+    rows = (members.join(cuts, "key").withColumn("block", F.when(F.col("out"), place(F.col("outs"))).otherwise(F.col("outs") + place(F.col("others"))))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("outs") + F.when(F.col("out"), F.col("others")).otherwise(0) - 1)))
+            .select("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "a", "root", "tokens"))
 
     def compare(table: pa.Table) -> pa.Table:
-        x = table.column("x")[0].as_py()
-        k = table.column("k")[0].as_py()
-        a, n, root, block = (table.column(c).to_numpy() for c in ("a", "n", "root", "block"))
-        sizes = np.array([len(v) for v in table.column("subsets")])
-        flat, codes = np.unique(np.concatenate([v.values.to_numpy() for v in table.column("subsets")]), return_inverse=True)
-        row = np.repeat(np.arange(len(a)), sizes)
-        left = np.flatnonzero(block == x)
-        right = np.arange(len(a)) if table.column("x")[0] == table.column("y")[0] else np.flatnonzero(block != x)
+        a, root, block = (table.column(c).to_numpy() for c in ("a", "root", "block"))
+        left = np.flatnonzero(block == table.column("x")[0].as_py())
+        right = np.flatnonzero(block == table.column("y")[0].as_py())
+        if not len(left) or not len(right):
+            return pa.table({"p": pa.array([], pa.int64()), "q": pa.array([], pa.int64())})
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("tokens")]
+        n = np.array([len(v) for v in sets])
+        row, codes = np.repeat(np.arange(len(a)), n), np.concatenate(sets)
+        order = np.argsort(codes, kind="stable")
+        row, codes = row[order], codes[order]
+        fresh = np.concatenate([[True], codes[1:] != codes[:-1]])
+        codes = np.cumsum(fresh) - 1
+        shared = (np.bincount(codes) > 1)[codes]  # tokens of one set only are in no intersection
+        row, codes = row[shared], codes[shared]
+        codes = np.unique(codes, return_inverse=True)[1]
         common = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, len(flat), 4096):
-            pick = (codes >= lo) & (codes < lo + 4096)
-            has = np.zeros((len(a), min(4096, len(flat) - lo)), np.float32)
-            has[row[pick], codes[pick] - lo] = 1
+        width = 1024
+        ends = np.searchsorted(codes, np.arange(0, (codes[-1] if len(codes) else 0) + 1 + width, width))
+        for j in range(len(ends) - 1):
+            has = np.zeros((len(a), width), np.float32)
+            has[row[ends[j]:ends[j + 1]], codes[ends[j]:ends[j + 1]] - j * width] = 1
             common += has[left] @ has[right].T
-        total = n[left][:, None] + n[right][None, :]
-        bound = (100 - measure.percent) * total // (100 + measure.percent)
-        low, high = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        open_pair = (root[left][:, None] != root[right][None, :]) & (100 * low >= measure.percent * high) & (a[left][:, None] != a[right][None, :])
-        hit = np.argwhere(open_pair & (common >= measure.segments(k) - bound))
-        i, j = left[hit[:, 0]], right[hit[:, 1]]
-        p, q = np.minimum(a[i], a[j]), np.maximum(a[i], a[j])
+        both = common.astype(np.int64)
+        union = n[left][:, None] + n[right][None, :] - both
+        hit = np.argwhere((100 * both >= measure.percent * union) & (root[left][:, None] != root[right][None, :]))
+        ids, known = np.unique(root, return_inverse=True)
+        over = np.arange(len(ids))  # union-find over what is joined already
+
+        def top(u: int) -> int:
+            while over[u] != u:
+                over[u] = over[over[u]]
+                u = over[u]
+            return u
+
+        p, q = [], []
+        for i, j in zip(left[hit[:, 0]].tolist(), right[hit[:, 1]].tolist(), strict=True):
+            u, v = top(known[i]), top(known[j])
+            if u != v:
+                over[max(u, v)] = min(u, v)
+                p.append(min(a[i], a[j]))
+                q.append(max(a[i], a[j]))
         return pa.table({"p": pa.array(p, pa.int64()), "q": pa.array(q, pa.int64())})
 
     return rows.groupBy("key", "x", "y").applyInArrow(compare, "p long, q long")
