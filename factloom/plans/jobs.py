@@ -303,7 +303,15 @@ def view_diagnostics(t: Tables) -> DataFrame:
 
 # -- scoring ------------------------------------------------------------------------------------------
 
-@query("adjusted_weights", "K2 F24", "WITH w(sector_type, dimension, weight) AS (VALUES " + _rule_values(S.weight_rows()) + """),
+_BASE_WEIGHTS = _rule_values(list(S.S.DIMENSION_WEIGHTS.items()))
+_WEIGHT_CHANGES = _rule_values([(sector, d, f) for sector, changes in S.S.SECTOR_ADJUSTMENTS.items() for d, f in changes.items()])
+_WEIGHT_SECTORS = _rule_values([(sector,) for sector in S.S.SECTOR_ADJUSTMENTS])
+
+
+@query("adjusted_weights", "K2 F24", f"""
+WITH b(dimension, base) AS (VALUES {_BASE_WEIGHTS}), a(sector_type, dimension, factor) AS (VALUES {_WEIGHT_CHANGES}), s(sector_type) AS (VALUES {_WEIGHT_SECTORS}),
+r AS (SELECT sector_type, dimension, base::DOUBLE * coalesce(factor, 1)::DOUBLE AS raw FROM s CROSS JOIN b LEFT JOIN a USING (sector_type, dimension)),
+w AS (SELECT sector_type, dimension, round_even(raw * 100 / sum(raw) OVER (PARTITION BY sector_type), 2) AS weight FROM r),
 d AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'software' WHEN doc_id % 3 = 1 THEN 'hardware' ELSE 'default' END AS sector_type, count(*) AS n FROM documents GROUP BY 1)
 SELECT sector_type, dimension, weight::DOUBLE AS weight, n FROM d JOIN w USING (sector_type)""")
 def adjusted_weights(t: Tables) -> DataFrame:

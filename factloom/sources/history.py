@@ -64,12 +64,31 @@ def _is_object(node: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(node), F.lit("OBJECT")), F.lit(False))
 
 
-def _children(node: Column, keys: list[str]) -> Column:
-    """Elements of every container of a node, in the order of the keys; a single object counts as one."""
+def _cell(value: Column) -> Column:
+    """A value, or what it holds if it is JSON kept as text."""
+    text = F.try_variant_get(value, "$", "string")
+    is_json = F.coalesce((F.schema_of_variant(value) == "STRING") & text.rlike("^\\s*[\\[{]"), F.lit(False))
+    return F.when(is_json, F.coalesce(F.try_parse_json(text), value)).otherwise(value)
+
+
+def _lists(node: Column, keys: list[str]) -> Column:
+    """The list in each of the named fields of a node that holds one; a single object counts as a list of one."""
     values = F.filter(F.array(*[_get(node, k, "variant") for k in keys]), lambda v: v.isNotNull())
-    return F.flatten(F.transform(values, lambda v: F.coalesce(
-        F.try_variant_get(v, "$", "array<variant>"), F.when(_is_object(v), F.array(v)),
-        F.array().cast("array<variant>"))))
+    lists = F.transform(F.transform(values, _cell), lambda v: F.coalesce(
+        F.try_variant_get(v, "$", "array<variant>"), F.when(_is_object(v), F.array(v))))
+    return F.filter(lists, lambda x: x.isNotNull())
+
+
+def _below(node: Column) -> Column:
+    """Elements of every container of a node, in the order of the keys; without a container, its item lists."""
+    lists = _lists(node, CONTAINERS)
+    return F.flatten(F.when(F.size(lists) > 0, lists).otherwise(_lists(node, GROUP_ITEMS)))
+
+
+def _items(node: Column) -> Column:
+    """Further items (i, v) of an article; each list counts from 2."""
+    return F.flatten(F.transform(_lists(node, GROUP_ITEMS), lambda items: F.transform(
+        items, lambda v, i: F.struct((i + 2).alias("i"), v.alias("v")))))
 
 
 def _inherit(df: DataFrame) -> DataFrame:
@@ -77,32 +96,36 @@ def _inherit(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.coalesce(_first(c("v"), ALIASES[k], c("_raw")), c(k)) for k in _INHERITED})
 
 
-def flatten_history(documents: DataFrame, depth: int = 3) -> DataFrame:
-    """One row per article of nested histories, in document order.
+def flatten_history(documents: DataFrame, levels: int = 4) -> DataFrame:
+    """One row per article of nested histories, in document order (``_path``).
 
-    Containers are opened level by level (at most ``depth`` of them between the document and a publish
-    group); account, message id, publish time and group key pass down to the articles.  The head of a
-    publish group has item 1, its further items count from 2.  A document that is no JSON, or that holds no
-    article, gives no row (see :func:`unread_documents`).
+    Containers are opened level by level, to any depth, and so are items of items; JSON kept as text in a cell is
+    opened, too.  Account, message id, publish time and group key pass down to the articles.  The head of a publish
+    group has item 1, its further items count from 2.  A document that is no JSON, or that holds no article, gives
+    no row (see :func:`unread_documents`).  A look at the data, once for every ``levels`` levels of containers and
+    of items, tells whether something is still closed.
     """
     base = [x for x in documents.columns if x != "text"]
     kept = [*base, *_INHERITED]
     level = documents.withColumn("v", F.try_parse_json("text")).filter(c("v").isNotNull()).drop("text")
     level = level.withColumns({k: F.lit(None).cast("string") for k in _INHERITED} | {"_path": F.array().cast("array<int>")})
-    leaf = _is_object(_get(c("v"), "app_msg_ext_info", "variant")) | _first(c("v"), ALIASES["url"], c("_raw")).isNotNull()
-    for _ in range(depth + 1):
-        level = _inherit(level.withColumn("_raw", _get(c("v"), "raw", "variant")))
-        below = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.when(~leaf, _children(c("v"), CONTAINERS)))
-        level = level.select(*kept, "_path", F.posexplode(F.coalesce(below, F.array("v"))).alias("_p", "v"))
-        level = level.withColumn("_path", F.concat("_path", F.array("_p"))).drop("_p")
-    level = _inherit(level.withColumn("_raw", _get(c("v"), "raw", "variant"))).filter(leaf)
-    return _articles(level, base)
-
-
-def _articles(leaves: DataFrame, base: list[str]) -> DataFrame:
+    group = _is_object(_cell(_get(c("v"), "app_msg_ext_info", "variant")))
+    leaf = F.coalesce(group | _first(c("v"), ALIASES["url"], c("_raw")).isNotNull(), F.lit(False))
+    with_raw = lambda df: _inherit(df.withColumn("_raw", _get(c("v"), "raw", "variant")))
+    while True:
+        for _ in range(levels):
+            below = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.when(~leaf, _below(c("v"))), F.array("v"))
+            level = with_raw(level).select(*kept, "_path", F.posexplode(below).alias("_p", "v"))
+            level = level.withColumn("_path", F.concat("_path", F.array("_p"))).drop("_p")
+        level = with_raw(level)
+        if level.filter(~leaf).isEmpty():
+            return _articles(level, base, levels)
+
+
+def _articles(leaves: DataFrame, base: list[str], levels: int) -> DataFrame:
     kept = [*base, *_INHERITED, "group_key", "_path"]
-    leaves = leaves.withColumns({"_ext": _get(c("v"), "app_msg_ext_info", "variant"),
-                                 "_comm": _get(c("v"), "comm_msg_info", "variant")})
+    leaves = leaves.withColumns({"_ext": _cell(_get(c("v"), "app_msg_ext_info", "variant")),
+                                 "_comm": _cell(_get(c("v"), "comm_msg_info", "variant"))})
     leaves = leaves.withColumn("_group", _is_object(c("_ext")))
     leaves = leaves.withColumns({
         "_gid": F.when(c("_group"), _first(c("_comm"), ["id", "msgid", "msg_id"])),
@@ -118,11 +141,17 @@ def _articles(leaves: DataFrame, base: list[str]) -> DataFrame:
            .when(c("msgid").isNotNull(), F.concat(F.lit("msgid:"), "msgid"))
            .when(c("appmsgid").isNotNull(), F.concat(F.lit("appmsgid:"), "appmsgid"))
            .otherwise(F.concat(F.lit("fallback:"), F.substring(F.sha2(seed, 256), 1, 24))))
-    nodes = F.concat(F.array("v"), _children(c("v"), GROUP_ITEMS))
-    rows = leaves.withColumn("group_key", key).select(*kept, "_item", F.posexplode(nodes).alias("_i", "v"))
-    rows = rows.withColumns({"_raw": _get(c("v"), "raw", "variant"), "_path": F.concat("_path", F.array("_i")),
-                             "_item": F.when(c("_i") > 0, c("_i") + 1).otherwise(c("_item"))})
-    rows = _inherit(rows)
+    rows = leaves.withColumn("group_key", key).select(*kept, "_item", "v", F.lit(True).alias("_open"))
+    while True:
+        for _ in range(max(2, levels // 2)):
+            own = F.array(F.struct(c("_item").alias("i"), c("v").alias("v")))
+            nodes = F.concat(own, F.filter(_items(c("v")), lambda x: c("_open")))
+            rows = rows.select(*kept, F.posexplode(nodes).alias("_p", "_n"))
+            rows = rows.withColumns({"_item": c("_n.i"), "v": c("_n.v"), "_open": c("_p") > 0,
+                                     "_path": F.concat("_path", F.array("_p")), "_raw": _get(c("_n.v"), "raw", "variant")})
+            rows = _inherit(rows)
+        if rows.filter(c("_open") & (F.size(_items(c("v"))) > 0)).isEmpty():
+            break
     fields = {k: _first(c("v"), names, c("_raw")) for k, names in ALIASES.items() if k not in _INHERITED + ["group_key"]}
     fields["itemidx"] = F.coalesce(fields["itemidx"], c("_item").cast("string"))
     return rows.select(*kept, *[v.alias(k) for k, v in fields.items()]).filter(c("url").isNotNull())

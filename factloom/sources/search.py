@@ -61,7 +61,7 @@ def _blank_row(title: Column, url: Column, summary: Column) -> Column:
 
 
 def text_rows(payloads: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of text results: labelled blocks, then Markdown links, then bare URLs; first of each URL."""
+    """Rows of text results: every labelled block, then Markdown links, then bare URLs that were not seen before."""
     base = [x for x in payloads.columns if x != text]
     body = X.strip(F.coalesce(c(text), F.lit("")))
 
@@ -84,9 +84,11 @@ def text_rows(payloads: DataFrame, text: str = "text") -> DataFrame:
                         lambda x: _blank_row(X.clean(x["t"], 300), x["u"], F.lit("")))
     bare = F.transform(F.regexp_extract_all(body, F.lit("(?i)https?://[^\\s<>\"']+"), F.lit(0)),
                        lambda u: _blank_row(F.lit(""), F.regexp_replace(u, _TRAILING, ""), F.substring(body, 1, 1000)))
+    found = F.concat(*[x.cast(f"array<{_ROW}>") for x in (blocks, links, bare)])
     rows = payloads.filter(F.try_parse_json(text).isNull() & body.rlike("(?i)https?://")).select(
-        *base, F.posexplode(F.concat(*[x.cast(f"array<{_ROW}>") for x in (blocks, links, bare)])).alias("row_pos", "_r"))
-    rows = rows.select(*base, "row_pos", "_r.*")
-    kept = [x for x in rows.columns if x not in base + ["url"]]
-    picked = rows.groupBy(*base, "url").agg(F.min_by(F.struct(*kept), "row_pos").alias("_r"))
-    return picked.select(*base, "url", "_r.*")
+        *base, found.alias("_all"), F.size(blocks).alias("_blocks"))
+    rows = rows.withColumn("_urls", F.transform("_all", lambda r: r["url"])).select(
+        *base, "_blocks", "_urls", F.posexplode("_all").alias("row_pos", "_r"))
+    first = (c("row_pos") < c("_blocks")) | (F.array_position("_urls", c("_r.url")) == c("row_pos") + 1)
+    return rows.filter(first).select(*base, c("_r.url").alias("url"), "row_pos", "_r.title", "_r.author",
+                                     "_r.search_published_at", "_r.summary", "_r.provider")

@@ -53,6 +53,23 @@ def test_other_shapes(spark):
     assert [r["source"] for r in left.collect()] == ["f1.json"]
 
 
+def test_histories_of_any_shape(spark):
+    link = lambda n: {"title": n, "url": f"https://mp.weixin.qq.com/s/{n}"}
+    deep = link("deep")
+    for _ in range(7):
+        deep = {"data": [deep]}
+    payloads = [
+        link("a") | {"sub_articles": [link("b") | {"multi_appmsg": link("c") | {"sub_articles": [link("d")]}}]},
+        {"nickname": "N", "list": json.dumps([link("e")])}, {"sub_articles": [link("f"), link("g")]},
+        {"items": [link("h"), deep]}, {"articles": [], "sub_articles": [link("no")]},
+        {"list": [{"app_msg_ext_info": json.dumps(link("i")), "comm_msg_info": json.dumps({"id": 5})}]}]
+    rows = H.flatten_history(documents(spark, *payloads)).orderBy("source", "_path").collect()
+    assert [(r["source"][1], r["title"], r["itemidx"]) for r in rows] == [
+        ("0", "a", None), ("0", "b", "2"), ("0", "c", "2"), ("0", "d", "2"), ("1", "e", None), ("2", "f", None), ("2", "g", None),
+        ("3", "h", None), ("3", "deep", None), ("5", "i", "1")]
+    assert len({r["group_key"] for r in rows[:4]}) == 1 and rows[4]["account_name"] == "N" and rows[-1]["group_key"] == "msgid:5"
+
+
 def test_preview_counts(spark):
     rows = articles(spark, HISTORY)
     empty = P.merge_import(rows).limit(0)

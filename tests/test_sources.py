@@ -99,6 +99,12 @@ def test_search_envelopes(spark):
     assert rows[0]["author"] == "" and rows[0]["search_published_at"] == "2026-08-01" and rows[2]["title"] == "链接"
 
 
+def test_labelled_blocks_all_stay(spark):
+    text = "Title: one\nURL: https://a.cn/1\n---\nTitle: two\nURL: https://a.cn/1\n---\n[x](https://a.cn/1) https://a.cn/2 https://a.cn/2"
+    rows = search.text_rows(spark.createDataFrame([(1, text), (1, text)], "id int, text string")).orderBy("row_pos").collect()
+    assert [(r["title"], r["url"][-1]) for r in rows] == [("one", "1")] * 2 + [("two", "1")] * 2 + [("", "2")] * 2
+
+
 def test_discovery_rollup(spark):
     rows = spark.createDataFrame(
         [(1, 1, "A", ARTICLE + "&utm_source=exa", None, "exa", "query one", "摘要"), (1, 2, "not", "https://example.com/a", None, None, "query one", None),
