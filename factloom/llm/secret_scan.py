@@ -2,8 +2,8 @@
 
 Beside the base patterns, every long token of mixed characters in a sensitive context is a candidate.  Its novelty is
 the number of bytes that it adds to the compressed text around it, with a dictionary of identifiers priming the
-compressor: a random key adds nearly all its bytes, a name or a repeated token next to none.  Tokens that add at least
-``least_ratio`` of their length are reported.
+compressor: a random key adds nearly all its bytes, a name next to none.  A token's own copies are cut out of that text.
+Tokens that add at least ``least_ratio`` of their length are reported at every place where they stand.
 
 Spans are code points, end exclusive.  Defined cases: a null or empty text has no spans; repeated rows are scanned one by
 one; an empty table gives no rows; columns of the input are kept by ``redacted`` and not read elsewhere.
@@ -27,6 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,256}(?![A-Za-z0-9+/_=-])")
+SHORTEST = 20
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|pwd|credential|auth|bearer|private)", re.ASCII | re.IGNORECASE)
 #: Identifiers that prime the compressor.
 IDENTIFIERS = ("access_key secret_key client_secret api_key auth_token password username authorization bearer private_key public_key credentials configuration "
@@ -58,21 +59,70 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
+def value_of(token: str) -> str:
+    """The part of a token that its copies share: the longest between ``=`` and ``/`` if it could be a token itself, else all."""
+    value = max(re.split("[=/]", token), key=len)
+    return value if len(value) >= SHORTEST and mixed(value) else token
+
+
+def without(text: str, start: int, end: int, value: str) -> str:
+    """text[start:end] without the occurrences of ``value``, those that reach over its ends included."""
+    out, at = [], text.find(value, max(0, start - len(value) + 1), end + len(value) - 1)
+    while at >= 0:
+        out.append(text[start:max(start, at)])
+        start = min(end, at + len(value))
+        at = text.find(value, start, end + len(value) - 1)
+    return "".join(out) + text[start:end]
+
+
+def places_of(text: str, runs: list[tuple[int, int]], values: set[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) wherever one of the values stands in the runs, by their first characters."""
+    heads: dict[str, list[str]] = {}
+    for v in values:
+        heads.setdefault(v[:SHORTEST], []).append(v)
+    for start, end in runs:
+        for at in range(start, end - SHORTEST + 1):
+            for v in heads.get(text[at:at + SHORTEST], ()):
+                if text.startswith(v, at, end):
+                    yield at, at + len(v)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, near: int = 48, around: int = 512, least_ratio: float = 0.6) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context that no base span covers and whose compressed bytes are mostly new."""
-    out = []
+    """Tokens that stand in a sensitive context and whose compressed bytes are mostly new, at every place where they stand.
+
+    A token's own copies are no part of its surroundings.  Places that a base span touches are left to it."""
     if not SENSITIVE.search(text):
-        return out
-    for m in CANDIDATE.finditer(text):
-        token, (start, end) = m.group(), m.span()
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
-        if not SENSITIVE.search(text, max(0, start - near), start) or any(s < end and start < e for s, e, _ in base):
+        return []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    found: set[tuple[int, int]] = set()
+    values: set[str] = set()
+    for start, end in runs:
+        token = text[start:end]
+        if not mixed(token) or not SENSITIVE.search(text, max(0, start - near), start):
             continue
-        context = text[max(0, start - around):start] + text[end:end + around]
-        if novelty.added(context, token) >= least_ratio * len(token):
-            out.append((start, end, "novel"))
-    return out
+        value = value_of(token)
+        if value not in values:
+            context = without(text, max(0, start - around), start, value) + without(text, end, end + around, value)
+            head, _, tail = token.partition(value)
+            once = head + value + tail.replace(value, "")
+            if novelty.added(context, once) < least_ratio * len(once):
+                continue
+            values.add(value)
+        found.add((start, end))
+    if values:
+        last = -1
+        for start, end in sorted(found | set(places_of(text, runs, values)), key=lambda x: (x[0], -x[1])):
+            if end <= last:
+                found.discard((start, end))
+            else:
+                found.add((start, end))
+                last = end
+    ends = sorted((s, e) for s, e, _ in base)
+    return [(s, e, "novel") for s, e in sorted(found) if not any(a < e and s < b for a, b in ends)]
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:

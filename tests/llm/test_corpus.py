@@ -229,6 +229,19 @@ def test_secrets(spark, odd, none):
     assert secret_scan.redacted(odd).columns == odd.columns
 
 
+def test_secrets_that_stand_twice(spark):
+    key, far = "zQ8rT2mVx9Lk4WbN7yHs3PdC", "word " * 200
+    texts = {1: f"private credential {key}\nuse the private credential {key} here", 2: f"bearer {key}\n" * 5, 3: f"auth {key} then load({key}) {far} and {key}.",
+             4: f"bearer x={key} then bearer {key}, bearer y/{key}", 5: f"credential {key} {'ab ' * 161}cdef {key}", 6: f"just {key} and {key} here"}
+    rows = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [rows[i]["n_novel"] for i in range(1, 7)] == [2, 5, 3, 3, 2, 0]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert not any(key in clean[i] for i in range(1, 6)) and clean[6] == texts[6]
+    for i in range(len(texts[1]) - 60):
+        assert secret_scan.without(texts[1], i, i + 60, key) == "".join(texts[1][j] for j in range(i, i + 60) if not any(m.start() <= j < m.end() for m in re.finditer(key, texts[1])))
+
+
 def test_warc_splits_and_revisits(spark):
     big = "<p>" + "x y z " * 400
     rows = [(i, f"http://e.org/{i}", big if i % 3 == 0 else f"<p>{i}</p>" * (i % 5)) for i in range(60)] + [(100, None, None), (None, "u", big), (57, "http://e.org/57", big)]
