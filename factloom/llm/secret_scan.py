@@ -26,8 +26,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,256}(?![A-Za-z0-9+/_=-])")
-SHORTEST = 20
+#: Whole runs of at least the length that counts for assign; longer ones than PIECE are measured in pieces.
+SHORTEST, PIECE = 12, 256
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|pwd|credential|auth|bearer|private)", re.ASCII | re.IGNORECASE)
 #: Identifiers that prime the compressor.
 IDENTIFIERS = ("access_key secret_key client_secret api_key auth_token password username authorization bearer private_key public_key credentials configuration "
@@ -46,6 +47,17 @@ class Novelty:
         context = around.encode("utf-8", "surrogatepass")
         return len(self.compressor.compress(context + token.encode())) - len(self.compressor.compress(context))
 
+    def is_new(self, before: str, token: str, after: str, around: int, least_ratio: float) -> bool:
+        """Whether one of the even pieces of a token adds ``least_ratio`` of its length to what stands before it and after the token."""
+        pieces = -(-len(token) // PIECE)
+        cuts = [i * len(token) // pieces for i in range(pieces + 1)]
+        known = before + token
+        for a, b in zip(cuts, cuts[1:]):
+            at = len(before) + a
+            if self.added(known[max(0, at - around):at] + after, token[a:b]) >= least_ratio * (b - a):
+                return True
+        return False
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by the base patterns, leftmost and apart per kind, failing lengths dropped."""
@@ -102,14 +114,16 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, n
     values: set[str] = set()
     for start, end in runs:
         token = text[start:end]
-        if not mixed(token) or not SENSITIVE.search(text, max(0, start - near), start):
+        if not mixed(token):
             continue
         value = value_of(token)
+        named = token.rfind("=", 0, token.find(value)) + 1
+        if not SENSITIVE.search(text, max(0, start + named - near), start + named):
+            continue
         if value not in values:
-            context = without(text, max(0, start - around), start, value) + without(text, end, end + around, value)
-            head, _, tail = token.partition(value)
-            once = head + value + tail.replace(value, "")
-            if novelty.added(context, once) < least_ratio * len(once):
+            before, after = without(text, max(0, start - around), start, value), without(text, end, end + around, value)
+            head, _, tail = token[named:].partition(value)
+            if not novelty.is_new(before, head + value + tail.replace(value, ""), after, around, least_ratio):
                 continue
             values.add(value)
         found.add((start, end))

@@ -242,6 +242,16 @@ def test_secrets_that_stand_twice(spark):
         assert secret_scan.without(texts[1], i, i + 60, key) == "".join(texts[1][j] for j in range(i, i + 60) if not any(m.start() <= j < m.end() for m in re.finditer(key, texts[1])))
 
 
+def test_secrets_of_any_length(spark):
+    rng, letters = random.Random(11), "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    keys = {n: "".join(rng.choice(letters) for _ in range(n)) for n in (12, 16, 19, 20, 256, 257, 700, 5000)}
+    lead = "set the private_key "
+    texts = {n: f"{lead}{k} and go" for n, k in keys.items()} | {1: "bearer " + "abcdefgh1234" * 100, 2: f"private_key={keys[19]}", 3: f"pwd: {keys[12][:11]}"}
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {n: rows[n] for n in keys} == {n: f"novel:{len(lead)}:{len(lead) + n}" for n in keys}
+    assert (rows[1], rows[2], rows[3]) == ("", f"novel:0:{len(texts[2])}", "")
+
+
 def test_warc_splits_and_revisits(spark):
     big = "<p>" + "x y z " * 400
     rows = [(i, f"http://e.org/{i}", big if i % 3 == 0 else f"<p>{i}</p>" * (i % 5)) for i in range(60)] + [(100, None, None), (None, "u", big), (57, "http://e.org/57", big)]
