@@ -25,16 +25,18 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Own templates: label -> wording with markup.
-TEMPLATES = {
+#: Own templates: label -> wording with markup, or several wordings.
+TEMPLATES: dict[str, str | tuple[str, ...]] = {
     "mit-notice": "released under the [[terms of the]] mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0 [[the license you may not use this file except in compliance with the license]]",
-    "gpl-3-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 3 [[of the license]] [[or at your option any later version]]",
-    "gpl-2-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 2 [[of the license]] [[or at your option any later version]]",
-    "cc-by-nc": "licensed under [[a]] [[creative commons]] cc by nc [[4 0]]",
-    "cc-by-sa": "licensed under [[a]] [[creative commons]] cc by sa [[4 0]]",
-    "cc-by-nd": "licensed under [[a]] [[creative commons]] cc by nd [[4 0]]",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {{6}} to deal in the software without restriction including "
+    "gpl-3-notice": tuple(f"{begin} gnu general public license [[as published by the free software foundation [[either]]]] version 3 [[of the license]] [[or at your option any later version]]"
+                          for begin in ("licensed under the [[terms of the]]", "under the terms of the")),
+    "gpl-2-notice": tuple(f"{begin} gnu general public license [[as published by the free software foundation [[either]]]] version 2 [[of the license]] [[or at your option any later version]]"
+                          for begin in ("licensed under the [[terms of the]]", "under the terms of the")),
+    "cc-by-nc": ("licensed under [[a]] [[creative commons]] cc by nc [[4 0]]", "licensed under [[a]] [[the]] creative commons attribution noncommercial [[4 0]] [[international]] [[license]]"),
+    "cc-by-sa": ("licensed under [[a]] [[creative commons]] cc by sa [[4 0]]", "licensed under [[a]] [[the]] creative commons attribution sharealike [[4 0]] [[international]] [[license]]"),
+    "cc-by-nd": ("licensed under [[a]] [[creative commons]] cc by nd [[4 0]]", "licensed under [[a]] [[the]] creative commons attribution noderivatives [[4 0]] [[international]] [[license]]"),
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {{12}} to deal in the software without restriction including "
                 "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
                 "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission "
                 "notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is]]",
@@ -42,7 +44,7 @@ TEMPLATES = {
                 "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
                 "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
                 "documentation and or other materials provided with the distribution",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+    "isc-text": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above "
                 "copyright notice and this permission notice appear in all copies",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
@@ -143,20 +145,30 @@ def scan(text: str | None, phrases: dict[bytes, str], automata: list[Automaton])
         if start in joined:
             plain = plain or [w.decode("utf-8", "surrogatepass") for w in words]
             accepted += [(at, end, a.label) for at in places(joined, start) if (end := a.end(plain, at)) is not None]
-    return len(words), base, accepted
+    return len(words), base, outermost(accepted)
+
+
+def outermost(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that lie in no other span of their label: wordings of one label may share words."""
+    out, last = [], {}
+    for start, end, label in sorted(set(spans), key=lambda x: (x[0], -x[1])):
+        if end > last.get(label, -1):
+            out.append((start, end, label))
+            last[label] = end
+    return out
 
 
 SCANNED = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
            "templates array<struct<start: long, end: long, label: string>>")
 
 
-def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str | tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """Base counts and labels of every text, and the spans (in words) of the templates that it holds.
 
     score: 1 where a template is accepted, 0.5 where base phrases alone stand, else 0.
     """
     base = {p.encode(): label for p, label in phrases.items()}
-    automata = [compiled(label, t) for label, t in templates.items()]
+    automata = [compiled(label, t) for label, wordings in templates.items() for t in ([wordings] if isinstance(wordings, str) else wordings)]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
