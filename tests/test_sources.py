@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,51 @@ def test_search_envelopes(spark):
     assert rows[0]["author"] == "" and rows[0]["search_published_at"] == "2026-08-01" and rows[2]["title"] == "链接"
 
 
+def reference_rows(payload):
+    """What the search envelopes hold, one payload at a time."""
+    if isinstance(payload, str):
+        try:
+            return reference_rows(json.loads(payload))
+        except json.JSONDecodeError:
+            out = []
+            for title, url in re.findall(r"\[([^\]]*)\]\((https?://[^)\s]+)\)", payload) + [("", u) for u in re.findall(r"https?://[^\s)]+", payload)]:
+                out += [(title, url)] if url not in [u for _, u in out] else []
+            return out
+    if isinstance(payload, dict):
+        if any(payload.get(k) not in (None, "") for k in search.URL_KEYS):
+            return [(payload.get("title"), next(payload[k] for k in search.URL_KEYS if payload.get(k)))]
+        children = [payload.get(k) for k in search.CONTAINERS] + [v for k in search.TEXT_KEYS if isinstance(v := payload.get(k), str)]
+        return next((rows for v in children if v not in (None, "") and (rows := reference_rows(v))), [])
+    return [row for x in payload for row in reference_rows(x)] if isinstance(payload, list) else []
+
+
+def test_search_envelopes_of_any_depth(spark):
+    leaf = {"title": "A", "url": "https://a.cn/1"}
+    deep = leaf
+    for i in range(13):
+        deep = {search.CONTAINERS[i % 6]: [deep] if i % 2 else deep}
+    payloads = [{"data": {"output": {"records": {"items": [leaf, {"title": "B", "link": "https://a.cn/2"}]}}}}, deep,
+                {"results": [{"note": 1}], "items": [], "data": {"records": [leaf]}}, {"results": [{"name": "x"}], "data": [3, None, "plain"], "output": leaf, "content": leaf},
+                {"text": "see [one](https://a.cn/3) and https://a.cn/4 https://a.cn/3"}, [{"summary": "no link"}, {"content": [{"type": "text", "text": "https://a.cn/5"}]}],
+                json.dumps(json.dumps({"results": [leaf]})), {"results": json.dumps([leaf, "https://a.cn/6"]), "items": [leaf]}, ["https://a.cn/7", [["https://a.cn/8"], leaf]],
+                [{"results": [], "items": [leaf]}, {"results": [leaf], "items": [leaf]}], 5, None, {"text": "none", "snippet": "https://a.cn/9"}]
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return [None, f"text {rng.randrange(9)}", f"https://t.cn/{rng.randrange(99)}", {"title": "T", rng.choice(search.URL_KEYS): f"https://u.cn/{rng.randrange(99)}"}][kind]
+        if kind == 4:
+            return [made(depth - 1) for _ in range(rng.randrange(4))]
+        return {k: made(depth - 1) for k in rng.sample([*search.CONTAINERS, *search.TEXT_KEYS, "other"], rng.randrange(1, 5))}
+    payloads += [made(7) for _ in range(300)]
+    frame = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "id int, text string")
+    got = {}
+    for r in search.json_rows(frame).orderBy("id", "row_pos", "_sub").collect():
+        got.setdefault(r["id"], []).append((r["title"], r["url"]))
+    assert got == {i: rows for i, p in enumerate(payloads) if (rows := reference_rows(p))}
+
+
 def test_labelled_blocks_all_stay(spark):
     text = "Title: one\nURL: https://a.cn/1\n---\nTitle: two\nURL: https://a.cn/1\n---\n[x](https://a.cn/1) https://a.cn/2 https://a.cn/2"
     rows = search.text_rows(spark.createDataFrame([(1, text), (1, text)], "id int, text string")).orderBy("row_pos").collect()
