@@ -361,9 +361,8 @@ SELECT doc_id, 'secret:2' FROM d WHERE regexp_matches(x, '(?i)\\b(?:{T.SECRET_KE
 SELECT doc_id, 'secret:0' FROM d WHERE regexp_matches(x, '-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----')""")
 def leak_scan(t: Tables) -> DataFrame:
     text = F.when(c("doc_id") % 50 == 0, F.concat("text", F.lit(" /home/me"))).otherwise(c("text"))
-    found = Q.leak_scan(t.documents.select("doc_id", text.alias("text")), patterns=Q.secret_patterns())
-    # The quoted-secret pattern needs a look-ahead, which the twin's pattern language lacks.
-    return found.filter("violation <> 'secret:1'").select("doc_id", "violation")
+    # The twin does not state rule secret:1 (quoted secrets); a test compares it with brute force.
+    return Q.leak_scan(t.documents.select("doc_id", text.alias("text")), patterns=Q.secret_patterns()).select("doc_id", "violation")
 
 
 @query("demo_quarantine", "F53", """

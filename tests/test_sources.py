@@ -1,6 +1,7 @@
 import json
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from factloom.operators import quality as Q
 from factloom.operators import report as R
 from factloom.operators import dedupe as U
 from factloom.operators import evidence as E
+from factloom.plans import stores
 from factloom.sources import files, search
 
 ARTICLE = "https://mp.weixin.qq.com/s?__biz=MzA1&mid=100&idx=1&sn=abc"
@@ -243,6 +245,16 @@ def test_quality(spark):
     assert Q.synthetic_violations(ev, ["source_url"]).count() == 2
 
 
+def test_leak_scan_query_returns_every_rule(spark):
+    key = "abcdefghijklmnopqrst"
+    texts = {1: f'api_key = "{key}"', 2: f'password: "{key}" and more', 3: 'api_key = "short"', 4: f'cookie="example-{key}"', 5: f'token = "{key}"', 6: "-----BEGIN RSA PRIVATE KEY-----",
+             7: None, 8: f"see auth-key: '{key}' in /home/me", 50: "plain"}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["violation"]) for r in stores.leak_scan(SimpleNamespace(documents=documents)).collect()}
+    want = {(i, f"secret:{n}") for i, t in texts.items() for n, p in enumerate(Q.secret_patterns()) if t and re.search(p, t)}
+    assert got == want | {(8, "private_marker:/home/"), (50, "private_marker:/home/")} and {(1, "secret:1"), (2, "secret:1"), (2, "secret:2"), (8, "secret:1")} <= got
+
+
 def test_report_rules(spark, tmp_path):
     runs = spark.createDataFrame([("s1", "2026-08-21", "2026-08-21T01:00:00+08:00"), ("s2", "2026-08-19", "2026-08-19T01:00:00+08:00"),
                                   ("s3", None, None), ("s4", "2026-09-01", "2026-08-21"), ("s5", "2026-08-21", None)], "id string, window_end string, generated_at string")
