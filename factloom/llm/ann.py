@@ -142,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     if index is None:
         return spark.createDataFrame([], out)
     half, regions = index.left.shape[1], index.region
-    wanted = index.share * index.rows.sum()
+    wanted = max(index.share * index.rows.sum(), k + 1)  # k rows and the query's own
     queries = rows.filter(is_query)
     turns = max(1, -(-queries.count() // query_block))
 

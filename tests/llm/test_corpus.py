@@ -201,6 +201,14 @@ def test_levels_reach_the_bound():
         assert level.sum() >= m and level.max() <= 2 and (level[ngram_join.Measure.with_deletions(m):] <= 1).all()
 
 
+def test_sparse_queries_among_copies_get_k_rows(spark):
+    rng = np.random.default_rng(4)
+    sparse = rng.normal(0, 30, (14, 8))
+    rows = [(i, [1.0] * 8) for i in range(1500)] + [(2000 + i, [float(x) for x in v]) for i, v in enumerate(sparse)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 2000, 10).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {2000 + i: 10 for i in range(14)}
+
+
 def test_license_templates_and_base(spark, odd, none):
     texts = {1: "Released under the MIT License.", 2: "licensed under the terms of the GNU General Public License, version 3, or (at your option) any later version",
              3: "licensed under the GNU General Public License draft version 3", 4: "CC BY, cc by-nc; (cc  BY)", 5: None}
