@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, license_scan, mix, ngram_join, packing, quality_rules, secret_scan, token_counts, toxicity, warc
+from factloom.llm import ann, license_scan, line_dedup, mix, ngram_join, packing, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_source_mix, op2_nearest_vectors, op3_best_fit_packing, op4_toxicity, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_warc, op9_quality_rules, op10_token_counts)}
+    op1_source_mix, op2_nearest_vectors, op3_best_fit_packing, op4_toxicity, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_warc, op9_quality_rules, op10_token_counts, op11_line_dedup)}
 
 ORACLES = {
     "op5_ngram_jaccard_join": r"""
@@ -93,4 +97,12 @@ ORACLES = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words AND n_symbols <= 0.3::DOUBLE * n_words AND n_dup_lines <= 0.35::DOUBLE * n_lines
             AND n_stop >= 0.04::DOUBLE * n_words AS kept FROM f""",
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        x AS (SELECT r, doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM d),
+        y AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM x),
+        g AS (SELECT k, max(doc_id) AS top FROM y WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+        z AS (SELECT y.*, g.k IS NOT NULL AND y.doc_id IS DISTINCT FROM g.top AS gone FROM y LEFT JOIN g ON g.k = y.k)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM z GROUP BY r, doc_id""",
 }
