@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, license_scan, line_dedup, mix, ngram_join, packing, quality_rules, secret_scan, token_counts, toxicity, warc
+from factloom.llm import ann, license_scan, line_dedup, mix, ngram_join, packing, quality_rules, secret_scan, spelling, token_counts, toxicity, vector_codes, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,8 +61,36 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digests(table(spark, folder, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.digests(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_source_mix, op2_nearest_vectors, op3_best_fit_packing, op4_toxicity, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_warc, op9_quality_rules, op10_token_counts, op11_line_dedup)}
+    op1_source_mix, op2_nearest_vectors, op3_best_fit_packing, op4_toxicity, op5_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_warc, op9_quality_rules, op10_token_counts, op11_line_dedup, op12_spelling_variants, op13_vector_codes)}
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Integer vectors, then rounds of nearest entries (e = entries, a = assignments), then codes and their errors."""
+    near = """a{k} AS (SELECT r, p, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT x.r, x.p, e.c, list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            FROM x JOIN e{k} e ON e.p = x.p) GROUP BY r, p),
+        """
+    move = """m{k} AS (SELECT a.p, a.c, i, sum(x.v[i]) AS t, count(*) AS n FROM a{j} a JOIN x ON x.r = a.r AND x.p = a.p, (SELECT unnest([1, 2, 3, 4]) AS i) GROUP BY ALL),
+        n{k} AS (SELECT p, c, list((t - ((t % n) + n) % n) // n ORDER BY i) AS v FROM m{k} GROUP BY p, c),
+        e{k} AS (SELECT e.p, e.c, coalesce(n.v, e.v) AS v FROM e{j} e LEFT JOIN n{k} n ON n.p = e.p AND n.c = e.c),
+        """
+    steps = "".join(near.format(k=k) + move.format(k=k + 1, j=k) for k in range(rounds)) + near.format(k=rounds)
+    return f"""
+        WITH u AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS (SELECT r, p, w[4 * p + 1:4 * p + 4] AS v FROM u, (SELECT unnest(range(16)) AS p)),
+        e0 AS (SELECT p, r - 1 AS c, v FROM x WHERE r <= 64),
+        {steps}h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) AS s FROM e{rounds}),
+        k AS (SELECT r, string_agg(lpad(lower(to_hex(c)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.s AS codebooks_sha256 FROM k JOIN u ON u.r = k.r, h"""
+
 
 ORACLES = {
     "op5_ngram_jaccard_join": r"""
@@ -105,4 +133,5 @@ ORACLES = {
         z AS (SELECT y.*, g.k IS NOT NULL AND y.doc_id IS DISTINCT FROM g.top AS gone FROM y LEFT JOIN g ON g.k = y.k)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM z GROUP BY r, doc_id""",
+    "op13_vector_codes": _codes_sql(),
 }
