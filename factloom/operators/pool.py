@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
@@ -96,10 +96,13 @@ def _blank_texts(articles: DataFrame) -> DataFrame:
     return articles.fillna("", subset=[n for n, t in articles.dtypes if t == "string" and n not in KEYS])
 
 
-def merge_import(articles: DataFrame) -> DataFrame:
-    """One row per account and URL of an import: the last non-blank value of every field wins."""
+def merge_import(articles: DataFrame, also_max: list[str] | None = None) -> DataFrame:
+    """One row per account and URL of an import: the last non-blank value of every field wins.
+
+    Columns of ``also_max`` take their largest value.
+    """
     good = articles.filter(c("reject_reason").isNull()).drop("reject_reason")
-    merged = _blank_texts(merge_last_non_blank(good, KEYS, any_true=["is_deleted"]))
+    merged = _blank_texts(merge_last_non_blank(good, KEYS, any_true=["is_deleted", *(also_max or [])]))
     return merged.withColumn("date_status", F.when(c("publish_time").isNull(), "pending").otherwise("known"))
 
 
@@ -282,79 +285,8 @@ def account_rows(articles: DataFrame) -> DataFrame:
                                 ["account_key"]).drop("seq")
 
 
-# -- storage --------------------------------------------------------------------------------------
-
-_VERSIONS = "version bigint, path string, fingerprint string"
-
-
-class ArticlePool:
-    """Articles in Parquet snapshots with a commit log; one writer at a time.
-
-    An import writes a whole new snapshot and then appends its version to the log, so a reader always sees
-    a complete pool, and an import that fails leaves nothing behind that is read.
-    """
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_VERSIONS).json(f"{self.root}/versions")
-        except Exception as error:  # the log does not exist before the first import
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-
-    def current(self) -> tuple[int, str | None]:
-        """Version and path of the newest snapshot."""
-        log = self._log()
-        row = None if log is None else log.agg(F.max(F.struct("version", "path")).alias("v")).first()["v"]
-        return (row["version"], row["path"]) if row else (0, None)
-
-    def articles(self) -> DataFrame | None:
-        """Stored articles, or None before the first import."""
-        path = self.current()[1]
-        return self.spark.read.option("mergeSchema", True).parquet(path) if path else None
-
-    def imports(self) -> DataFrame:
-        """The audit log of imports."""
-        return self.spark.read.json(f"{self.root}/import_runs")
-
-    def latest_import(self) -> DataFrame:
-        """Last import run (no rows before the first)."""
-        return self.imports().orderBy(F.desc("run_id")).limit(1)
-
-    def import_rows(self, articles: DataFrame, source_name: str, fingerprint: str, expected: str | None,
-                    imported_at: str) -> DataFrame:
-        """Apply a previewed import; ``expected`` must be the fingerprint the preview showed."""
-        if not expected or expected.lower() != fingerprint.lower():
-            raise ValueError("preview fingerprint does not match the import")
-        version, _ = self.current()
-        incoming = merge_import(articles)
-        if incoming.isEmpty():
-            raise ValueError("import contains no valid article URLs")
-        stored = self.articles()
-        if stored is None:
-            schema = incoming.withColumn("id", F.lit(None).cast("bigint")).drop("seq").schema
-            stored = self.spark.createDataFrame([], schema)
-        counts = beside(import_counts(stored, incoming), preview_import(articles, stored).drop(
-            "added_count", "existing_count", "date_start", "date_end"))
-        path = f"{self.root}/snapshots/v{version + 1}"
-        upsert(stored, incoming).write.mode("overwrite").parquet(path)
-        run = counts.withColumns({"run_id": F.lit(version + 1), "source_name": X.redact(F.lit(source_name)),
-                                  "source_fingerprint": F.lit(fingerprint), "imported_at": F.lit(imported_at)})
-        run.write.mode("append").json(f"{self.root}/import_runs")
-        scopes = scope_counts(incoming, ["account_key"]).withColumn("run_id", F.lit(version + 1))
-        scopes.write.mode("append").json(f"{self.root}/import_account_scopes")
-        log = self.spark.createDataFrame([(version + 1, path, fingerprint)], _VERSIONS)
-        log.write.mode("append").json(f"{self.root}/versions")
-        return self.imports().filter(c("run_id") == version + 1)
-
-
 def credential_key_count(json_text: Column | str) -> Column:
     """Number of credential-like keys in a JSON text (they are never stored)."""
     keys = F.regexp_extract_all(X.as_column(json_text), F.lit('"([^"\\\\]+)"\\s*:'), F.lit(1))
     normal = F.transform(keys, lambda k: F.regexp_replace(F.regexp_replace(F.lower(k), "[^a-z0-9]+", "_"), "^_+|_+$", ""))
     return F.size(F.filter(normal, lambda k: k.isin(T.CREDENTIAL_KEYS)))
-
-

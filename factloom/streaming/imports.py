@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.functions import dates as D
-from factloom.operators.pool import ArticlePool, normalize_articles
+from factloom.operators.pool import normalize_articles
+from factloom.operators.pool_store import ArticlePool, SharedFolder
 
 
 def stream_imports(spark: SparkSession, source: str, schema: str, pool_root: str, checkpoint: str,
-                   fallback_account: str = "待识别:history", interval: str | None = None) -> StreamingQuery:
-    """Import every new JSON-lines file below ``source`` into the pool.
-
-    A batch is applied by key, so a file that arrives twice, or a batch that is run again, changes nothing.
-    Without an interval all waiting files are read and the query ends.
+                   fallback_account: str = "待识别:history", interval: str | None = None, imported_at: str = "",
+                   files_per_batch: int | None = None, buckets: int = 64) -> StreamingQuery:
+    """Import every new JSON-lines file below ``source`` into the pool, each exactly once.
+
+    The pool's manifest keeps the last batch of the stream, committed together with its rows and its audit, so a batch that
+    is run again after a failure changes nothing.  The stream's name is the id in its checkpoint: a new checkpoint is
+    a new stream.  Rows carry their order in ``seq`` or arrive in the order of the batch.  Without an interval all waiting
+    files are read and the query ends.
     """
-    pool = ArticlePool(spark, pool_root)
+    pool = ArticlePool(spark, pool_root, buckets)
+    place = SharedFolder(spark, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        stream = json.loads(place.read("metadata"))["id"]
         fingerprint = f"{batch_id:064x}"
         rows = normalize_articles(batch, fallback_account, "json_import")
-        pool.import_rows(rows, f"stream batch {batch_id}", fingerprint, fingerprint, "")
+        pool.import_rows(rows, f"stream batch {batch_id}", fingerprint, fingerprint, imported_at, stream=stream, batch=batch_id)
 
-    writer = (spark.readStream.schema(schema).json(source).writeStream.foreachBatch(apply)
-              .option("checkpointLocation", checkpoint))
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    writer = reader.json(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

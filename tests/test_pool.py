@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
 from factloom.operators import pool as P
+from factloom.operators.pool_store import ArticlePool
 from factloom.sources import history as H
 
 HISTORY = {
@@ -80,15 +81,15 @@ def test_preview_counts(spark):
 
 
 def test_import_is_idempotent_and_needs_the_fingerprint(spark, tmp_path):
-    pool = P.ArticlePool(spark, str(tmp_path / "pool"))
+    pool = ArticlePool(spark, str(tmp_path / "pool"), buckets=4)
     rows = articles(spark, HISTORY)
     with pytest.raises(ValueError):
         pool.import_rows(rows, "history.json", "a" * 64, "0" * 64, "now")
     assert pool.articles() is None
     first = pool.import_rows(rows, "history.json", "a" * 64, "A" * 64, "now").first()
     second = pool.import_rows(rows, "history.json", "a" * 64, "a" * 64, "later").first()
-    assert (first["added"], first["existing"]) == (3, 0) and (second["added"], second["existing"]) == (0, 3)
-    assert second["updated"] == 0 and pool.latest_import().first()["run_id"] == 2
+    assert (first["added_articles"], first["existing_articles"]) == (3, 0) and (second["added_articles"], second["existing_articles"]) == (0, 3)
+    assert second["updated_articles"] == 0 and pool.latest_import().first()["run_id"] == 2
     stats = P.pool_stats(pool.articles()).first()
     assert (stats["stored_article_rows"], stats["publish_groups"], stats["original_articles"]) == (3, 2, 2)
     assert sorted(r["id"] for r in pool.articles().collect()) == [1, 2, 3]
@@ -144,21 +145,6 @@ def test_upsert_and_global_owner(spark):
     assert (stats["discovered_total"], stats["discovered_accounts"]) == (1, 1)
 
 
-def test_stream_import(spark, tmp_path):
-    from factloom.streaming.imports import stream_imports
-    src = tmp_path / "in"
-    src.mkdir()
-    schema = "account_name string, title string, url string, publish_time string"
-    row = {"account_name": "号", "title": "t", "url": "https://mp.weixin.qq.com/s/1", "publish_time": "1787184000"}
-    root, check = str(tmp_path / "pool"), str(tmp_path / "check")
-    for name, title in [("a.json", "t"), ("b.json", "t2"), ("c.json", "t2")]:
-        (src / name).write_text(json.dumps({**row, "title": title}, ensure_ascii=False) + "\n", encoding="utf-8")
-        stream_imports(spark, str(src), schema, root, check).awaitTermination()
-    rows = P.ArticlePool(spark, root).articles().collect()
-    assert [(r["title"], r["id"]) for r in rows] == [("t2", 1)]
-    assert P.ArticlePool(spark, root).imports().count() == 3
-
-
 def test_refresh_due(spark):
     from factloom.streaming.imports import refresh_due
     runs = spark.createDataFrame([("a", "ok", "2026-08-20T12:00:00Z"), ("b", "error", "2026-08-21T09:00:00Z"),
