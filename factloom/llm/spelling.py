@@ -43,6 +43,8 @@ MIN_LETTERS, MIN_COUNT, FORM_FACTOR = 7, 2, 10
 DELETE_EVERY = 31
 #: Words that a task counts before it hands them on, and words of one partition.
 COUNTED_WORDS, MOST_WORDS = 200_000, 2_000
+#: Rows of partitions that one task composes.
+TASK_ROWS = 20_000
 RANGE = ["m", "low", "high", "head", "tail"]
 
 
@@ -225,7 +227,10 @@ def near_pairs(words: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
         if found[0]:
             yield flush()
 
-    dealt = partitions(words, most_words).select(*RANGE, "word", "n").repartition(*RANGE).sortWithinPartitions(*RANGE)
+    rows = partitions(words, most_words).select(*RANGE, "word", "n")
+    # Composing costs far more than its rows' bytes, by which few tasks would do.
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    dealt = rows.repartition(tasks, *RANGE).sortWithinPartitions(*RANGE)
     return dealt.mapInArrow(compose, "a string, n_a long, b string, n_b long")
 
 
