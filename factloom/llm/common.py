@@ -41,6 +41,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def apart(df: DataFrame, own: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Give all columns but ``own`` names that no operator uses; the new name of every column, in the input's order."""
+    names = {c: c if c in own else f"in_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def together(names: dict[str, str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of the input under their own names again (but for those ``without``)."""
+    return [F.col(new).alias(old) for old, new in names.items() if old not in without]
+
+
 def word_count(text: str | Column) -> Column:
     return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD)).cast("long")
 

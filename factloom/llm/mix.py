@@ -10,7 +10,8 @@ block of a source comes at the end of each pass.  Passes are whole except for th
 ``ceil(target / size)`` times.
 
 Defined cases: a null text has no words; a null source is a source, ordered last; empty tables give no rows; repeated rows
-are separate stretches of the stream; other columns are carried along by ``mixed_documents`` and ignored elsewhere.
+are separate stretches of the stream; other columns are carried along whatever their names (``taken_words`` replaces those
+that are named like its results).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD, buckets_for, running_start, word_count
+from factloom.llm.common import WORD, apart, buckets_for, running_start, together, word_count
 
 MASK = (1 << 64) - 1
 #: Weights are given per source, so the table of sources is of the driver's size; beyond this many the mix refuses.
@@ -34,11 +35,13 @@ MAX_SOURCES = 1_000_000
 @dataclass(frozen=True)
 class Mix:
     """``placed``: input rows with _source, _start, _size; ``slots``: shard, slot, source, pass_no, block, words (what the
-    slot takes from the block's start); ``targets``: source, index, size, weight, target, words (one row per source)."""
+    slot takes from the block's start); ``targets``: source, index, size, weight, target, words (one row per source);
+    ``names``: the names of the input's columns in ``placed``."""
     placed: DataFrame
     slots: DataFrame
     targets: pd.DataFrame
     block_words: int
+    names: dict[str, str]
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5,
@@ -95,6 +98,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
                 block_words: int = 256, shard_blocks: int = 1024, seed: int = 20240101) -> Mix:
     """Plan the mix of a table with doc_id, text and source; see the module's text for the method."""
     spark = docs.sparkSession
+    docs, columns = apart(docs, ["doc_id", "text", "source", "n_chars"])
     sized = docs.withColumn("_size", word_count("text"))
     found = sized.groupBy("source").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -152,7 +156,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
                                 "_source": source.astype(np.int32), "pass_no": pass_no, "block": block, "words": np.minimum(length, left)})
 
     slots = numbered.select("shard", "_source", "drawn", "first").mapInPandas(fill, "shard long, slot long, _source int, pass_no long, block long, words long")
-    return Mix(placed, slots, targets, block_words)
+    return Mix(placed, slots, targets, block_words, columns)
 
 
 def taken_stretches(mix: Mix) -> DataFrame:
@@ -178,7 +182,8 @@ def taken_words(mix: Mix) -> DataFrame:
     keyed = mix.placed.withColumn("_key", F.when(F.col("_size") > 0, F.col("_start")))
     taken = taken.select(F.col("_source").alias("_s"), F.col("_start").alias("_k"), "taken")
     out = keyed.join(taken, (F.col("_source") == F.col("_s")) & (F.col("_key") == F.col("_k")), "left").join(sources, "_source")
-    return out.withColumns({"size": F.col("_size"), "taken": F.coalesce("taken", F.lit(0).cast("long"))}).drop("_s", "_k", "_key", "_start", "_size", "_source")
+    results = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.coalesce("taken", F.lit(0).cast("long"))}
+    return out.select(*together(mix.names, tuple(results)), *[v.alias(k) for k, v in results.items()])
 
 
 def mixed_documents(mix: Mix) -> DataFrame:
@@ -189,7 +194,6 @@ def mixed_documents(mix: Mix) -> DataFrame:
     """
     stretches = (taken_stretches(mix).groupBy("_source", "_start", "pass_no")
                  .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_parts")))
-    columns = [c for c in mix.placed.columns if not c.startswith("_")]
     rows = mix.placed.filter("_size > 0").join(stretches, ["_source", "_start"])
 
     @F.pandas_udf("array<string>")
@@ -197,9 +201,9 @@ def mixed_documents(mix: Mix) -> DataFrame:
         return pd.Series([_stretch_texts(t, n, p) for t, n, p in zip(text, size, parts, strict=True)])
 
     out = rows.withColumn("text", F.explode(cut("text", "_size", "_parts")))
-    if "n_chars" in columns:
+    if "n_chars" in mix.names:
         out = out.withColumn("n_chars", F.length("text").cast(mix.placed.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return out.select(*together(mix.names))
 
 
 def _stretch_texts(text: str, size: int, parts: list) -> list[str]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import release, shared_folder, stored
+from factloom.llm.common import apart, release, shared_folder, stored, together
 
 #: Words whose hashes a task remembers.
 MEMORY = 250_000
@@ -502,6 +502,7 @@ def classified(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
 def one_per_group(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """The documents with one of each component left: that with the component's id, or of repeated rows the first by text.
     Documents without words stay."""
+    docs, names = apart(docs, ["doc_id", "text"])
     sets, edges = links(docs, measure)
     roots = components(edges)
     rooted = sets.filter("a IS NOT NULL").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
@@ -510,4 +511,4 @@ def one_per_group(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     coded = docs.withColumn("_code", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     blank = F.length(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
     kept = coded.filter(~blank).join(picks, "_code", "left_semi").dropDuplicates(["_code"])
-    return kept.unionByName(coded.filter(blank)).select(*docs.columns)
+    return kept.unionByName(coded.filter(blank)).select(*together(names))

@@ -4,7 +4,8 @@
 compiles the table into one struct of failed rules.  No user functions, joins or shuffles: each row is judged alone.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged one by one; an empty
-table gives no rows; columns of the input are kept, and measures are returned in one struct column, so names cannot clash.
+table gives no rows; columns of the input are kept whatever their names, but for _m and _verdict, which ``judged`` returns (``kept``
+keeps even those).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import apart, together
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent words of the languages in the corpus.
@@ -85,13 +88,16 @@ def measured(df: DataFrame, text: str = "text", name: str = "_m") -> DataFrame:
 
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """Add _m (the measures) and _verdict: base_failed, failed (names of the failed rules), kept."""
+    inner, names = apart(df, [text])
     m = F.col("_m")
     base = (m["n_words"] < min_words) | (m["n_repeat_words"] > max_repeat * m["n_words"])
     failed = F.array_compact(F.array(*[F.when(r.failed(m), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
-    out = measured(df, text).withColumn("_failed", failed)
-    return out.withColumn("_verdict", F.struct(base.alias("base_failed"), F.col("_failed").alias("failed"), (~base & (F.size("_failed") == 0)).alias("kept"))).drop("_failed")
+    out = measured(inner, text).withColumn("_failed", failed)
+    verdict = F.struct(base.alias("base_failed"), F.col("_failed").alias("failed"), (~base & (F.size("_failed") == 0)).alias("kept"))
+    return out.select(*together(names, ("_m", "_verdict")), "_m", verdict.alias("_verdict"))
 
 
 def kept(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass, with the columns of the input."""
-    return judged(df, rules, text).filter("_verdict.kept").select(*df.columns)
+    inner, names = apart(df, [text])
+    return judged(inner, rules, text).filter("_verdict.kept").select(*together(names))

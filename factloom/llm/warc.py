@@ -12,11 +12,16 @@ Paths are opened through Arrow's file systems (local, hdfs, s3, gs), so archives
 Defined cases: a null html is an empty payload; a null page_id is written and read as null; of equal payloads of at least
 ``least`` bytes all rows with the largest page_id are responses (repeated rows keep theirs), nulls being the smallest; an
 empty table gives no archives and no rows; columns other than page_id, url and html are not read.
+
+Archives of other writers are read as well: header names in any case, record ids of any form (page_id is null unless it is
+one of ours), records of any type (warcinfo, request and metadata too), payloads behind the header of an HTTP message, and revisits
+without a length (payload_bytes is null) or digest (null).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,8 +35,11 @@ from factloom.llm.common import shared_folder, stored
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+OUR_ID = re.compile(r"<urn:page:(-?\d+)>")
 LEAST = 1000
 SPLIT_BYTES = 8_000_000
+#: Tasks that read at most; each then takes several ranges.
+MOST_READERS = 20_000
 HEAD = 1 << 16
 
 
@@ -84,14 +92,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     return stored(rows.mapInArrow(run, "path string, size long, records long"))
 
 
-READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string"
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
     """Records of archives (path, size) by byte ranges, each by the range in which it starts."""
     ranges = (files.filter("size > 0").withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))))
               .select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("size")).alias("end")))
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +116,9 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    return ranges.repartition(F.xxhash64("path", "begin")).mapInArrow(run, READ)
+    # A number of its own: by their bytes the ranges themselves would all go to one task.
+    readers = max(1, min(ranges.count(), MOST_READERS))
+    return ranges.repartition(readers, F.xxhash64("path", "begin")).mapInArrow(run, READ)
 
 
 def records_of(file, begin: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -175,18 +185,29 @@ def _member(reader: _Bytes, at: int) -> tuple[dict[str, str], bytes, int] | None
         return None
     data = b"".join(parts)
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    if not fields.get("Content-Length", "").isdigit() or "WARC-Type" not in fields:
+    pairs = [line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]]
+    fields = {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         return None
-    return fields, rest[:int(fields["Content-Length"])], place - len(inflate.unused_data)
+    return fields, rest[:int(fields["content-length"])], place - len(inflate.unused_data)
 
 
 def _row(fields: dict[str, str], payload: bytes, with_payload: bool) -> tuple:
-    number = lambda urn: None if urn is None or urn.endswith(":null>") else int(urn.rsplit(":", 1)[1].rstrip(">"))
-    revisit = fields["WARC-Type"] == "revisit"
-    size = int(fields["X-Payload-Length"]) if revisit else len(payload)
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest()
-    return (number(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), fields["WARC-Type"], size, digest, number(fields.get("WARC-Refers-To")), payload if with_payload else None)
+    kind, size = fields["warc-type"], fields.get("x-payload-length", "")
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        payload = payload.partition(b"\r\n\r\n")[2]
+    if kind == "revisit":
+        length, digest = int(size) if size.isdigit() else None, fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    else:
+        length, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    return (_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, length, digest, _page(fields.get("warc-refers-to")), payload if with_payload else None,
+            fields.get("warc-record-id"))
+
+
+def _page(urn: str | None) -> int | None:
+    """The page_id in a record id of ours."""
+    ours = OUR_ID.fullmatch(urn or "")
+    return int(ours[1]) if ours else None
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out rows, with the defined edge cases."""
 
 import collections
+import gzip
 import itertools
 import random
 import re
@@ -308,16 +309,66 @@ def test_warc_splits_and_revisits(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), warc.archive_folder(spark))).count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hello"
+    heads = [(b"WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nContent-Type: application/warc-fields", b"software: x\r\n"),
+             (b"warc-type: response\r\nwarc-record-id: <urn:uuid:aa>\r\nwarc-target-uri: http://e.org/\r\ncontent-type: application/http; msgtype=response", http),
+             (b"WARC-Type: request\r\nWARC-Record-ID: <urn:uuid:bb>\r\nContent-Type: application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n"),
+             (b"WARC-Type:revisit\r\nWARC-Record-ID:<urn:uuid:cc>\r\nWARC-Refers-To:<urn:uuid:aa>\r\nWARC-Payload-Digest: sha1:ABC", b""),
+             (b"WARC-Type: metadata", b"x: y")]
+    data = b"".join(gzip.compress(b"WARC/1.0\r\n" + h + b"\r\nContent-Length: %d\r\n\r\n" % len(p) + p + b"\r\n\r\n") for h, p in heads) + b"\x1f\x8b\x08 no member"
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(data))], "path string, size long")
+    want = [("warcinfo", "<urn:uuid:1-2>", b"software: x\r\n", 13), ("response", "<urn:uuid:aa>", b"<p>hello", 8), ("request", "<urn:uuid:bb>", b"", 0), ("revisit", "<urn:uuid:cc>", b"", None),
+            ("metadata", None, b"x: y", 4)]
+    for split in (50, 10_000):
+        read = warc.read_archives(files, split, with_payload=True)
+        rows = [(r["record_type"], r["record_id"], bytes(r["payload"]), r["payload_bytes"]) for r in read.collect()]
+        assert sorted(rows, key=repr) == sorted(want, key=repr) and all(r["page_id"] is None for r in read.collect())
+        assert read.rdd.getNumPartitions() == -(-len(data) // split)
+
+
 def test_quality_rules(spark, odd, none):
-    text = "\n".join("the word of line %d is here and that was it for now" % i for i in range(12))
-    docs = spark.createDataFrame([(1, text), (2, "spam spam spam " * 40), (3, "short"), (4, None)], "doc_id long, text string").withColumn("_words", F.lit(1))
-    rows = {r["doc_id"]: r for r in quality_rules.judged(docs.drop("_words")).collect()}
-    assert rows[1]["_verdict"]["kept"] and rows[2]["_verdict"]["base_failed"] and rows[2]["_m"]["n_repeat_words"] == 120 and rows[4]["_m"]["n_words"] == 0
-    plan = quality_rules.kept(docs.drop("_words"))._jdf.queryExecution().executedPlan().toString()
+    repeats = "\n".join("the word of line %d is here and that was it for now" % i for i in range(12))
+    plain = "\n".join(" ".join(f"the {w}{i} of {w}{i + 1}" for w in WORDS[i:i + 3]) for i in range(10))
+    docs = spark.createDataFrame([(1, repeats), (2, "spam spam spam " * 40), (3, "short"), (4, None), (5, plain)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    # 144 of the 156 words of the first text are in repeated windows.
+    assert rows[1]["_verdict"]["base_failed"] and rows[1]["_m"]["n_repeat_words"] == 144 and not rows[1]["_verdict"]["kept"]
+    assert rows[2]["_verdict"]["base_failed"] and rows[2]["_m"]["n_repeat_words"] == 120 and rows[4]["_m"]["n_words"] == 0
+    assert rows[5]["_verdict"]["kept"] and rows[5]["_m"]["n_words"] == 120
+    assert [r["doc_id"] for r in quality_rules.kept(docs).collect()] == [5]
+    plan = quality_rules.kept(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert quality_rules.judged(odd).count() == odd.count() and quality_rules.kept(none).count() == 0
 
 
+#: Names that operators use inside, and names of their results.
+INSIDE = ["_words", "_lines", "_places", "_windows", "_arrays", "_failed", "_m", "_verdict", "_code", "_pick", "_source", "_start", "_size", "_parts", "_bucket", "_key", "pass_no", "taken",
+          "size", "target", "source_size", "a", "n", "in_0", "a.b"]
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")).alias(x) for i, x in enumerate(INSIDE)])
+
+    def whole(rows):
+        assert rows.columns == wide.columns
+        found = rows.collect()
+        assert found and all(r[len(docs.columns) + i] == f"{i}:{r['doc_id']}" for r in found for i in range(len(INSIDE)))
+        return found
+    assert len(whole(quality_rules.kept(wide))) == quality_rules.kept(docs).count()
+    assert len(whole(ngram_join.one_per_group(wide))) == ngram_join.one_per_group(docs).count()
+    whole(secret_scan.redacted(wide))
+    whole(mix.mixed_documents(mix.mix_sources(wide)))
+    plan = mix.mix_sources(wide)
+    taken = mix.taken_words(plan)
+    assert taken.columns == [x for x in wide.columns if x not in ("taken", "size", "target", "source_size")] + ["size", "source_size", "target", "taken"]
+    mine, plain = taken.select("doc_id", "size", "target", "taken"), mix.taken_words(mix.mix_sources(docs)).select("doc_id", "size", "target", "taken")
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, plain.collect()))
+    assert packing.pack(wide).count() == packing.pack(docs).count()
+
+
 def test_token_counts_are_greedy(spark, odd, none):
     pieces = {b"a", b"ab", b"abc", b"bcd", b"d", b"cde", b" ", b" ab", b"b", b"xyz"}
     machine = token_counts.Automaton(pieces)
