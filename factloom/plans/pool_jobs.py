@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import pool as P
-from factloom.operators.common import beside, shared_folder
+from factloom.operators.common import beside, checkpointed, shared_folder
 from factloom.operators.pool_store import ArticlePool
 from factloom.plans.registry import Tables, query
 from factloom.plans.stores import _ARTICLES, _ORIGINAL
+from factloom.sources import history as H
 from factloom.streaming.imports import stream_imports
 
 c = F.col
@@ -109,3 +110,24 @@ def stream_import(t: Tables) -> DataFrame:
     stream_imports(t.spark, f"{root}/in", t.imports.schema, f"{root}/pool", f"{root}/marks", "待识别:orders", buckets=16).awaitTermination()
     rows = pool.articles().agg(F.count(F.lit(1)).alias("pool_rows"), F.max("id").alias("last_id"))
     return beside(pool.imports(), rows).select("run_id", "batch", "raw_records", "rejected_records", "accepted_records", "added_articles", "existing_articles", "updated_articles", "pool_rows", "last_id")
+
+
+@query("mixed_histories", "S1 S2", r"""
+SELECT seq, CASE seq % 4 WHEN 3 THEN 'json_import' ELSE 'csv_import' END AS fetch_mode, nullif(account_name, '') AS account_name, nullif(fakeid, '') AS fakeid, url,
+  title || '；"引" ,' || chr(9) || '; ' || seq || CASE WHEN seq % 8 < 4 THEN chr(10) || '次行' ELSE '' END AS title, publish_time FROM imports""")
+def mixed_histories(t: Tables) -> DataFrame:
+    """Rows of the imports written as files of three delimiters and as JSON lines, in two encodings, and read from one folder."""
+    root = new_folder(t.spark, "histories")
+    title = F.concat("title", F.lit('；"引" ,\t; '), c("seq").cast("string"), F.when(c("seq") % 8 < 4, "\n次行").otherwise(""))
+    rows = t.imports.select("seq", "account_name", "fakeid", "url", title.alias("title"), "publish_time")
+    with H.any_charset(t.spark):
+        for k, (sep, charset) in enumerate([(",", "UTF-8"), (";", "GB18030"), ("\t", "UTF-8"), (None, "GB18030")]):
+            part = rows.filter(c("seq") % 4 == k).write.mode("append").option("encoding", charset)
+            if sep:
+                part.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(root)
+            else:
+                part.json(root)
+    docs = checkpointed(H.read_histories(t.spark, root).filter(c("reject_reason").isNull()))
+    seq = F.try_variant_get(F.parse_json("text"), "$.seq", "bigint")
+    articles = H.flatten_history(docs.select("text", "source", c("fetch_mode").alias("mode"), seq.alias("seq")))
+    return articles.select("seq", c("mode").alias("fetch_mode"), "account_name", "fakeid", "url", "title", "publish_time")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.common import checkpointed, small
 from factloom.operators.pool import ALIASES, credential_key_count
 
 c = F.col
@@ -48,6 +52,138 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return rows.select(F.input_file_name().alias("source"), text.alias("text"))
 
 
+# -- folders of mixed files -----------------------------------------------------------------------
+
+_LINE = ["block", "place"]
+
+
+@contextmanager
+def any_charset(spark: SparkSession) -> Iterator[None]:
+    """While a plan is made, let it name any charset of the JVM; bytes that it cannot read become U+FFFD."""
+    names = ["spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "true")
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def history_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all files below ``path`` as they are in bytes: source, block (start of the split), place (order in it), value.
+
+    Spark splits the files; a line feed is never part of another character in UTF-8 or GB18030.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    return rows.select(c("_metadata.file_path").alias("source"), c("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("place"), "value")
+
+
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Per file, in one scan: utf8 (all its lines are), bytes, head (its first line), delimited, quoted (a quote is open at a line's end)."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    facts = lines.groupBy("source").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"),
+        F.min_by("value", F.struct(*_LINE)).alias("head"), F.bool_or(quotes % 2 == 1).alias("quoted"),
+        F.count_if(F.trim("value") != "").alias("filled"))
+    return facts.withColumn("delimited", F.lower("source").rlike("\\.(csv|tsv)$"))
+
+
+def _decoded(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A text of bytes read as UTF-8 where the whole file is, else as GB18030; without byte-order mark and carriage return."""
+    with any_charset(spark):
+        text = F.when(c("utf8"), c(name)).otherwise(F.decode(c(name).cast("binary"), "GB18030"))
+        return df.withColumn(name, F.regexp_replace(text, "^\ufeff|\r$", ""))
+
+
+def _with_columns(spark: SparkSession, facts: DataFrame) -> DataFrame:
+    """Add sep, the one of , tab and ; that stands most often in the header (none: by the name), and its columns (null: not the last of its name)."""
+    head = _decoded(spark, facts, "head")
+    bare = F.regexp_replace("head", '"[^"]*"', "")
+    count = lambda d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))
+    tsv = F.lower("source").endswith(".tsv")
+    best = F.array_max(F.array(*[F.struct(count(d).alias("n"), (tsv if d == "\t" else ~tsv & F.lit(d == ",")).alias("first"), F.lit(d).alias("d")) for d in (",", "\t", ";")]))
+    head = head.withColumn("sep", best["d"])
+    cells = F.split(bare, c("sep"))
+    parsed = F.when(F.contains("head", F.lit('"')), _cells(c("head"), c("sep"))).otherwise(cells)
+    head = head.withColumn("_names", parsed)
+    later = lambda x, i: F.exists(F.slice("_names", i + 2, F.greatest(F.size("_names") - i - 1, F.lit(0))), lambda y: y == x)
+    return head.withColumn("names", F.transform("_names", lambda x, i: F.when(~later(x, i), x))).drop("_names", "head")
+
+
+def _cells(record: Column, sep: Column) -> Column:
+    """Cells of one delimited record (quotes doubled inside quotes), without a schema: pieces joined again while a quote is open."""
+    pieces = F.split(record, sep, -1)
+    odd = lambda x: (F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))) % 2 == 1
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def add(state: Column, piece: Column) -> Column:
+        whole = F.when(state["open"].isNull(), piece).otherwise(F.concat(state["open"], sep, piece))
+        closed = ~odd(whole)
+        return F.struct(F.when(closed, F.concat(state["done"], F.array(whole))).otherwise(state["done"]).alias("done"), F.when(~closed, whole).alias("open"))
+    state = F.aggregate(pieces, start, add)
+    cells = F.concat(state["done"], F.when(state["open"].isNotNull(), F.array(state["open"])).otherwise(F.array().cast("array<string>")))
+    plain = lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(cells, plain)
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines of delimited files joined to records where a quote is open at a line's end; ordered by (block, place) of their first line.
+
+    Quotes are summed in a split, then over the splits of a file, so no file is read by one task.
+    """
+    quotes = lines.withColumn("_q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    inside = Window.partitionBy("source", "block").orderBy("place")
+    blocks = quotes.groupBy("source", "block").agg(F.sum("_q").alias("_sum"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = blocks.select("source", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_open"))
+    rows = quotes.join(opened, ["source", "block"])
+    before = c("_open") + F.coalesce(F.sum("_q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_start", F.when(before % 2 == 0, F.struct(*_LINE)))
+    rows = rows.withColumn("_own", F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # A record may have begun in an earlier split.
+    lasts = rows.groupBy("source", "block").agg(F.max("_start").alias("_last"))
+    carried = lasts.select("source", "block", F.max("_last").over(earlier).alias("_carried"))
+    rows = rows.join(carried, ["source", "block"]).withColumn("_key", F.coalesce("_own", "_carried"))
+    joined = rows.groupBy("source", "_key").agg(F.array_sort(F.collect_list(F.struct(*_LINE, "value"))).alias("_l"))
+    return joined.select("source", c("_key.block").alias("block"), c("_key.place").alias("place"), F.array_join(F.transform("_l", lambda x: x["value"]), "\n").alias("value"))
+
+
+def read_histories(spark: SparkSession, path: str, largest: int = 256_000_000) -> DataFrame:
+    """Histories of a folder of mixed files: source, text (one JSON document), fetch_mode and reject_reason, in order of block and place.
+
+    Every file is read as UTF-8 if all of it is, else as GB18030.  Files named .csv and .tsv are delimited by what their header
+    says; a row is a document.  In other files, a line that is a document by itself is one; a file whose first line is not, is
+    one document.  Lines and rows are split by Spark, however large the file.  A file that is one document of more than
+    ``largest`` bytes gives a row with reject_reason 'size', a text that neither encoding reads one with 'encoding'.
+    """
+    lines = history_lines(spark, path)
+    facts = checkpointed(_with_columns(spark, file_facts(lines).withColumn("by_line", F.try_parse_json(F.regexp_replace("head", "^\ufeff", "")).isNotNull())))
+    # One row per file.
+    rows = _decoded(spark, lines.join(small(facts), "source"), "value")
+    delimited = rows.filter("delimited")
+    records = delimited.filter("not quoted").select("source", *_LINE, "value").unionByName(_records(delimited.filter("quoted").select("source", *_LINE, "value")))
+    first = records.groupBy("source").agg(F.min(F.struct(*_LINE)).alias("_head"))
+    records = records.join(small(first), "source").filter((F.struct(*_LINE) != c("_head")) & (c("value") != "")).drop("_head").join(small(facts.select("source", "names", "sep")), "source")
+    pairs = F.filter(F.arrays_zip("names", _cells(c("value"), c("sep")).alias("cells")), lambda x: x["names"].isNotNull() & x["cells"].isNotNull())
+    as_json = F.to_json(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["names"], x["cells"]))))
+    tables = records.select("source", *_LINE, as_json.alias("text"), F.lit("csv_import").alias("fetch_mode"))
+    plain = rows.filter("not delimited")
+    # A document by itself in every line; a blank one is none.
+    singles = plain.filter(c("by_line") & (F.trim("value") != "")).select("source", *_LINE, c("value").alias("text"), F.lit("json_import").alias("fetch_mode"))
+    whole = plain.filter(~c("by_line") & (c("bytes") <= largest)).groupBy("source").agg(F.array_sort(F.collect_list(F.struct(*_LINE, "value"))).alias("_l"))
+    whole = whole.select("source", c("_l")[0]["block"].alias("block"), c("_l")[0]["place"].alias("place"), F.array_join(F.transform("_l", lambda x: x["value"]), "\n").alias("text"), F.lit("json_import").alias("fetch_mode"))
+    bad = F.when(F.contains("text", F.lit("\ufffd")) & ~c("utf8"), "encoding")
+    good = tables.unionByName(singles).unionByName(whole).join(small(facts.select("source", "utf8")), "source").withColumn("reject_reason", bad).drop("utf8")
+    large = facts.filter(~c("delimited") & ~c("by_line") & (c("bytes") > largest)).select(
+        "source", F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("place"), F.lit(None).cast("string").alias("text"), F.lit("json_import").alias("fetch_mode"), F.lit("size").alias("reject_reason"))
+    return good.unionByName(large)
+
+
+# -- nested documents -----------------------------------------------------------------------------
+
 def _get(node: Column, key: str, kind: str = "string") -> Column:
     return F.try_variant_get(node, f"$.{key}", kind)
 
