@@ -11,7 +11,7 @@ from factloom.functions import text as X
 from factloom.functions import url as U
 from factloom.functions.entity import entity_key, is_grounded
 from factloom.functions.numbers import half_even
-from factloom.operators.common import beside, constant_table, indexed, small, top_per_group, with_columns_default
+from factloom.operators.common import beside, checkpointed, constant_table, indexed, small, top_per_group, with_columns_default
 from factloom.rules import scoring as S
 from factloom.rules import sources as R
 from factloom.rules import text as T
@@ -136,73 +136,90 @@ def ground_quotes(evidence: DataFrame, pages: DataFrame, squashed: bool = False)
             .drop("_url"))
 
 
-# A Han character or a run of other visible characters.
-_TOKEN = "[\\u4e00-\\u9fff]|[^\\s\\u4e00-\\u9fff]+"
-_SHINGLE = 3
-_SHORT_GRAM = 4
-SHORT_QUOTES = 1000
+#: Lengths of anchors in characters: a quote has the longest that it can fill.
+ANCHORS = (1, 2, 4, 8)
+#: Anchors of a quote whose pages are counted, spread over it; any of them finds all its places.
+CANDIDATES = 32
+#: Quotes, and bytes of them, that one scan of the pages looks for.
+SCAN_QUOTES, SCAN_BYTES = 200_000, 64_000_000
+#: Bits of the filter that a scan tests grams with: sixteen per key, within these bounds (32 kB to 8 MB).
+FILTER_BITS = (1 << 18, 1 << 26)
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-
+def _gram_keys(text: Column, size: int, starts: Column | None = None) -> Column:
+    """Hashes of the substrings of ``size`` characters (those at the given starts, counted from 0)."""
+    def of(chars: Column) -> Column:
+        every = F.when(F.size(chars) >= size, F.sequence(F.lit(0), F.size(chars) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(every if starts is None else starts, lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(size)]))
+    return X.bind(F.split(text, ""), of)
 
-def _shingles(tokens: Column) -> Column:
-    """All runs of three tokens."""
-    return X.bind(tokens, lambda ts: F.when(F.size(ts) >= _SHINGLE, F.transform(
-        F.sequence(F.lit(1), F.size(ts) - _SHINGLE + 1), lambda i: F.array_join(F.slice(ts, i, _SHINGLE), " ")))
-        .otherwise(F.array().cast("array<string>")))
 
+def _key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """One row with the words of a bitmap of the keys, and its number of bits."""
+    low, high = FILTER_BITS
+    bits = min(high, max(low, 1 << max(0, 16 * keys.count() - 1).bit_length()))
+    slot = F.pmod("key", F.lit(bits))
+    words = keys.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) % 64 as int))")).alias("bits"))
+    held = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))  # at most bits / 64 words
+    gaps = lambda w: F.flatten(F.transform(w, lambda x, i: F.concat(
+        F.array_repeat(F.lit(0).cast("bigint"), x["word"] - F.coalesce(F.get(w, i - 1)["word"], F.lit(-1)) - 1), F.array(x["bits"]))))
+    return held.select(gaps(F.col("w")).alias("_words")), bits
 
-def _grams(text: Column) -> Column:
-    """All substrings of one to four characters."""
-    def of(chars: Column) -> Column:
-        lists = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(
-            F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>")) for n in range(1, _SHORT_GRAM + 1)]
-        return F.flatten(F.array(*lists))
 
-    return X.bind(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), of)
+def _page_keys(pages: DataFrame, keys: DataFrame, sizes: list[int], *columns: str) -> DataFrame:
+    """Distinct keys of every page that may be among ``keys``, found inside the scan: (columns, key)."""
+    words, bits = _key_filter(keys)
+    slot = lambda k: F.pmod(k, F.lit(bits))
+    may = lambda k: F.coalesce(F.getbit(F.get("_words", F.floor(slot(k) / 64).cast("int")), (slot(k) % 64).cast("int")), F.lit(0)) == 1
+    found = F.flatten(F.array(*[F.filter(_gram_keys(F.col("page_text"), n), may) for n in sizes]))
+    return beside(pages.select("page_id", "page_text"), words).select(*columns, F.explode(F.array_distinct(found)).alias("key"))
 
 
 def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that hold a quote when its URL is unknown: exact containment over the whole corpus.
 
-    A quote is probed by one run of three of its inner tokens (the longest one, so a rare one); the
-    runs of all pages are equi-joined with the probes by hash and every hit is verified by ``contains``.
-    Only ids and hashes are exploded; texts join again for the few pairs that are left.  Quotes with
-    fewer tokens are tested on each page directly while they are at most ``SHORT_QUOTES`` (checked), and
-    probed by their first characters beyond.  ``quotes`` needs quote_id and quote, ``pages`` page_id and
-    page_text.
+    A quote is looked for by one anchor: of up to ``CANDIDATES`` of its substrings of 8 (4, 2, 1) characters, the one that the fewest
+    pages hold.  A first scan counts the pages of the candidates, a second one tests ``contains`` where a page has an
+    anchor; both drop all other substrings by a bitmap before they leave the row, and no page is shuffled.  A quote with a
+    candidate that no page holds is nowhere.  More than ``SCAN_QUOTES`` quotes take more scans, so what is broadcast is
+    bounded.  ``quotes`` needs quote_id and quote, ``pages`` page_id and page_text; a pair of quote and page row comes once.
     """
-    pieces = quotes.select("quote_id", "quote").filter(F.col("quote") != "").withColumn("_t", _tokens(F.col("quote")))
-    # The first and last token of a quote may be cut, so only the inner ones are probed.
-    inner = F.slice("_t", 2, F.greatest(F.lit(0), F.size("_t") - 2))
-    runs = F.transform(_shingles(inner), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
-    probed = pieces.withColumn("_probe", F.array_max(runs)["r"]).drop("_t")
-    long_probes = probed.filter(F.col("_probe").isNotNull()).select(
-        "quote_id", F.xxhash64("_probe").alias("key"))
-    page_keys = pages.select("page_id", F.explode(F.array_distinct(F.transform(
-        _shingles(_tokens(F.col("page_text"))), lambda r: F.xxhash64(r)))).alias("key"))
-    pairs = small(long_probes).join(page_keys, "key").select("quote_id", "page_id")
-    found = _verify(pairs, quotes, pages)
-    short = probed.filter(F.col("_probe").isNull()).select("quote_id", "quote")
-    count = short.limit(SHORT_QUOTES + 1).count()
-    if count == 0:
-        return found
-    if count <= SHORT_QUOTES:
-        listed = short.agg(F.collect_list(F.struct("quote_id", "quote")).alias("_q"))  # at most SHORT_QUOTES rows
-        hits = F.filter("_q", lambda q: F.contains("page_text", q["quote"]))
-        direct = beside(pages.select("page_id", "page_text"), listed).select("page_id", F.explode(hits).alias("q"))
-        return found.unionByName(direct.select("q.quote_id", "page_id"))
-    keys = short.select("quote_id", F.xxhash64(F.substring("quote", 1, _SHORT_GRAM)).alias("key"))
-    grams = pages.select("page_id", F.explode(F.array_distinct(F.transform(
-        _grams(F.col("page_text")), lambda g: F.xxhash64(g)))).alias("key"))
-    return found.unionByName(_verify(keys.join(grams, "key").select("quote_id", "page_id"), quotes, pages))
-
-
-def _verify(pairs: DataFrame, quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    return (pairs.join(quotes.select("quote_id", "quote"), "quote_id").join(pages.select("page_id", "page_text"), "page_id")
-            .filter(F.contains("page_text", "quote")).select("quote_id", "page_id"))
+    given = quotes.select("quote_id", "quote").filter(F.col("quote") != "")
+    wanted = checkpointed(given.withColumn("_batch", F.xxhash64("quote")))
+    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("quote").cast("bigint")), F.lit(0)).alias("b")).first()
+    scans = max(1, -(-total["n"] // SCAN_QUOTES), -(-total["b"] // SCAN_BYTES))
+    out = None
+    for k in range(scans):
+        part = wanted.filter(F.pmod("_batch", F.lit(scans)) == k).drop("_batch")
+        found = _search_once(part, pages)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search_once(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    length = F.length("quote")
+    size = F.lit(ANCHORS[0])
+    for n in ANCHORS[1:]:
+        size = F.when(length >= n, n).otherwise(size)
+    quotes = quotes.withColumn("_size", size)
+    # At most one row per length of anchors.
+    sizes = sorted(r[0] for r in quotes.select("_size").distinct().collect())
+    if not sizes:
+        return quotes.crossJoin(pages.select("page_id").limit(0)).select("quote_id", "page_id")
+    spread = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda i: F.floor(
+        i * (F.length("quote") - n) / (CANDIDATES - 1)).cast("int")))
+    keys = F.lit(None).cast("array<bigint>")
+    for n in sizes:
+        keys = F.when(F.col("_size") == n, _gram_keys(F.col("quote"), n, spread(n))).otherwise(keys)
+    candidates = checkpointed(quotes.select("quote_id", "quote", F.explode(F.array_distinct(keys)).alias("key")))
+    distinct = candidates.select("key").distinct()
+    counts = _page_keys(pages, distinct, sizes, "page_id").groupBy("key").agg(F.count(F.lit(1)).alias("pages"))
+    rated = candidates.join(counts, "key", "left").groupBy("quote_id", "quote").agg(
+        F.count_if(F.col("pages").isNull()).alias("nowhere"), F.min_by("key", F.struct("pages", "key")).alias("key"))
+    # Its bounds were checked: SCAN_QUOTES rows and SCAN_BYTES bytes.
+    anchors = checkpointed(rated.filter("nowhere = 0").select("quote_id", "quote", "key"))
+    near = _page_keys(pages, anchors.select("key").distinct(), sizes, "page_id", "page_text").join(F.broadcast(anchors), "key")
+    return near.filter(F.contains("page_text", "quote")).select("quote_id", "page_id")
 
 
 # -- per-entity counters ---------------------------------------------------------------------------
@@ -394,7 +411,7 @@ def claim_counts(items: DataFrame) -> DataFrame:
 
 
 SIGNALS = (["positive_importance", "negatives", "momentum_tenths", "hit_financing", "hit_risk"]
-           + [f"hit_{k}" for k in list(S.HIT_GROUPS)[:17]])
+           + [f"hit_{k}" for k in S.HIT_GROUPS])
 
 
 def signal_profile(items: DataFrame) -> DataFrame:

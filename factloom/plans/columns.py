@@ -307,13 +307,11 @@ def meaningful(t: Tables) -> DataFrame:
 
 
 @query("focus_terms", "F32 F57", r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents),
-p AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(line, '[,，、/]+'), lambda x: trim(x))) AS term, generate_subscripts(regexp_split_to_array(line, '[,，、/]+'), 1) AS i FROM l),
+WITH p AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[,，、/\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS term, generate_subscripts(regexp_split_to_array(text, '[,，、/\n]+'), 1) AS i FROM documents),
 f AS (SELECT doc_id, arg_min(term, i) AS term, min(i) AS i FROM p WHERE term <> '' GROUP BY doc_id, lower(term))
 SELECT doc_id, count(*) AS terms, arg_min(term, i) AS first_term FROM f GROUP BY doc_id""")
 def focus_terms(t: Tables) -> DataFrame:
-    line = F.element_at(F.split("text", "\n"), 1)
-    rows = t.documents.select("doc_id", X.focus_terms(line).alias("x"))
+    rows = t.documents.select("doc_id", X.focus_terms("text").alias("x"))
     return rows.filter(F.size("x") > 0).select("doc_id", F.size("x").cast("bigint").alias("terms"), c("x")[0].alias("first_term"))
 
 

@@ -224,7 +224,7 @@ _EVENT_TEXT = "lower(claim_type || ' ' || source_title || ' ' || quote)"
 WITH {_ITEMS}, b AS (SELECT *, lower(entity || ' ' || source_title || ' ' || trim(quote) || '  ' || claim_type || ' ' || stance) AS blob FROM pts)
 SELECT entity_key, sum(CASE WHEN stance <> 'negative' THEN greatest(1, importance) ELSE 0 END)::BIGINT AS positive_importance, count(*) FILTER (WHERE negative) AS negatives,
   sum(CASE WHEN negative OR age IS NULL OR age > 90 THEN 0 {' '.join(f"WHEN regexp_matches({_EVENT_TEXT}, '{'|'.join(w)}') THEN {int(v * 10)}" for _, v, w in SR.MOMENTUM)} ELSE 0 END)::BIGINT AS momentum_tenths,
-  {_hit("financing")}, {_hit("risk", False)}, {", ".join(_hit(g) for g in list(SR.HIT_GROUPS)[:17])} FROM b GROUP BY 1""")
+  {_hit("financing")}, {_hit("risk", False)}, {", ".join(_hit(g) for g in SR.HIT_GROUPS)} FROM b GROUP BY 1""")
 def signal_profile(t: Tables) -> DataFrame:
     return E.signal_profile(_items(t))
 
@@ -401,7 +401,7 @@ def radar_order(t: Tables) -> DataFrame:
     return ranked.select((c("rank") + 1).alias("rank"), "seq", "company")
 
 
-@query("radar_top5", "D4 J8 W3 P4 U2 F28", f"""
+_TOP = f"""
 WITH RECURSIVE {_ranked_sql()[1:] if _ranked_sql().startswith(chr(10)) else _ranked_sql()},
 g AS (SELECT 0::BIGINT AS rn, []::STRUCT(c VARCHAR, k VARCHAR, u VARCHAR, t VARCHAR, s BIGINT)[] AS p
   UNION ALL SELECT r.rn, CASE WHEN length(g.p) >= 5 OR len(list_filter(g.p, lambda x: x.u = r.uk OR x.t = r.tk)) > 0 THEN g.p
@@ -409,11 +409,39 @@ g AS (SELECT 0::BIGINT AS rn, []::STRUCT(c VARCHAR, k VARCHAR, u VARCHAR, t VARC
       THEN struct_pack(c := r.company, k := r.ck, u := x.u, t := x.t, s := x.s) ELSE x END)
     ELSE list_append(g.p, struct_pack(c := r.company, k := r.ck, u := r.uk, t := r.tk, s := r.seq)) END FROM g JOIN cand r ON r.rn = g.rn + 1),
 f AS (SELECT p FROM g ORDER BY rn DESC LIMIT 1)
-SELECT CAST(i AS INT) AS rank, p[i].s AS seq, p[i].c AS company FROM f, (SELECT unnest(range(1, 6)) AS i) WHERE i <= length(p)""")
+SELECT CAST(i AS INT) AS rank, p[i].s AS seq, p[i].c AS company FROM f, (SELECT unnest(range(1, 6)) AS i) WHERE i <= length(p)"""
+
+
+@query("radar_top5", "D4 J8 W3 P4 F28", _TOP)
 def radar_top5(t: Tables) -> DataFrame:
     return R.weekly_radar(t.records, AS_OF).select("rank", "seq", "company")
 
 
+_ROOM = R.ORIGIN_ROOM
+_MIXED = f"""mixed AS (SELECT *, 'feed' AS origin FROM records WHERE seq % 3 = 0 UNION ALL
+  SELECT * REPLACE (seq + {_ROOM} AS seq), 'pool' FROM (SELECT * FROM records WHERE seq % 3 = 1 QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1) UNION ALL
+  SELECT * REPLACE (seq + {2 * _ROOM} AS seq, NULL AS summary), 'followup' FROM records WHERE seq % 3 = 2)"""
+
+
+def _mixed_records(t: Tables) -> DataFrame:
+    """The records as three origins; follow-ups have no summary."""
+    rows = t.records
+    return R.union_records(rows.filter("seq % 3 = 0"), rows.filter("seq % 3 = 1"), rows.filter("seq % 3 = 2").drop("summary"))
+
+
+@query("record_union", "U2", f"WITH {_MIXED} SELECT seq, seq % {_ROOM} AS origin_seq, origin, company, url, summary FROM mixed")
+def record_union(t: Tables) -> DataFrame:
+    return _mixed_records(t).select("seq", "origin_seq", "origin", "company", "url", "summary")
+
+
+_MIXED_TOP = _TOP.replace("FROM records r JOIN events e ON e.event_id = r.seq", f"FROM mixed r JOIN events e ON e.event_id = r.seq % {_ROOM}").replace("r.summary AS text", "coalesce(r.summary, '') AS text")
+
+
+@query("union_radar", "U2 D4 W3", _MIXED_TOP.replace("WITH RECURSIVE ", f"WITH RECURSIVE {_MIXED}, ", 1))
+def union_radar(t: Tables) -> DataFrame:
+    return R.weekly_radar(_mixed_records(t), AS_OF).select("rank", "seq", "company")
+
+
 @query("radar_replay", "D4 T3 J8")
 def radar_replay(t: Tables) -> DataFrame:
     return R.weekly_radar(t.records, AS_OF, first_as_of="2024-01-08").select("as_of", "rank", "seq", "company", "entry_reason",

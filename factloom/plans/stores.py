@@ -223,12 +223,12 @@ EVENTS = [("secret", ["token", "password"]), ("plain", ["the", "que"]), ("german
 def _cells() -> str:
     return " UNION ALL ".join(
         f"SELECT {i * 3 + j + 1} AS cell, '{s}' AS sector, '{e}' AS event, count(*) FILTER (WHERE regexp_matches(lower(text), '{'|'.join(sw)}') AND regexp_matches(lower(text), '{'|'.join(ew)}')) AS n FROM documents"
-        for i, (s, sw) in enumerate(SECTORS) for j, (e, ew) in enumerate(EVENTS) if i * 3 + j < 8)
+        for i, (s, sw) in enumerate(SECTORS) for j, (e, ew) in enumerate(EVENTS))
 
 
 @query("coverage_matrix", "J11", _cells())
 def coverage_matrix(t: Tables) -> DataFrame:
-    return J.coverage_matrix(t.documents, SECTORS, EVENTS, budget=8)
+    return J.coverage_matrix(t.documents, SECTORS, EVENTS, budget=len(SECTORS) * len(EVENTS))
 
 
 @query("search_text_rows", "S8", """

@@ -201,22 +201,32 @@ def test_grounding_and_quote_search(spark):
     assert loose[4] == (None, 5, "宣布完成 A轮")
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_quote_search_equals_contains(spark, monkeypatch, limit):
-    import random
-    monkeypatch.setattr(E, "SHORT_QUOTES", limit)
+@pytest.mark.parametrize("per_scan", [200_000, 120])
+def test_quote_search_equals_contains(spark, monkeypatch, per_scan):
+    monkeypatch.setattr(E, "SCAN_QUOTES", per_scan)
     rng = random.Random(5)
-    words = ["alpha", "beta", "gamma", "delta", "芯片", "量产", "公司", "x", "y1", "..", "omega,"]
+    words = ["alpha", "beta", "gamma", "delta", "芯片", "量产", "公司", "x", "y1", "..", "omega,", "😀", "aaaa"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "", "\n", "  "]) for _ in range(n))
-    pages = [(i, text(rng.randint(1, 60))) for i in range(60)]
-    quotes = []
-    for i in range(200):
-        body = rng.choice(pages)[1]
+    pages = [(i, text(rng.randint(1, 120))) for i in range(60)] + [(60, ""), (61, None), (3, "alpha")]
+    quotes = [(900, ""), (901, None), (5, "alpha"), (902, "a" * 4), (903, "no such words")]
+    for i in range(300):
+        body = rng.choice(pages[:60])[1]
         a = rng.randint(0, max(0, len(body) - 1))
-        quotes.append((i, body[a:a + rng.choice([1, 2, 4, 9, 30, 80])] if rng.random() < 0.8 else text(4)))
-    got = {(r["quote_id"], r["page_id"]) for r in E.search_quotes(
-        spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(pages, "page_id int, page_text string")).collect()}
-    assert got == {(q, p) for q, t in quotes for p, b in pages if t and t in b}
+        quotes.append((i, body[a:a + rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 30, 80, 300])] if rng.random() < 0.8 else text(4)))
+    frames = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(pages, "page_id int, page_text string")
+    found = E.search_quotes(*frames)
+    got = sorted((r["quote_id"], r["page_id"]) for r in found.collect())
+    assert got == sorted((q, p) for q, t in quotes for p, b in pages if t and b and t in b)
+    assert E.search_quotes(frames[0].limit(0), frames[1]).count() == 0 and E.search_quotes(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_quote_search_moves_no_page(spark):
+    pages = spark.createDataFrame([(1, "some text of a page")], "page_id int, page_text string")
+    plan = E.search_quotes(spark.createDataFrame([(1, "text of")], "quote_id int, quote string"), pages)._jdf.queryExecution().executedPlan().toString()
+    # Only the words of the bitmap are grouped; pages meet broadcasts.
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+    assert all("_groupingexpression" in line for line in moved) and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_keyword_join_and_matrix(spark):
