@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import columns, jobs, pool_jobs, stores  # noqa: F401  (they register their queries)
+from factloom.plans import columns, jobs, pool_jobs, scores, stores  # noqa: F401  (they register their queries)
 from factloom.plans.registry import REGISTRY, Tables
 
 
