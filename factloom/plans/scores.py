@@ -24,13 +24,25 @@ def _spread(i: int, most: int) -> str:
     return f"CAST((c_custkey * {2 * i + 3} + {7 * i + 1} + CAST(floor(c_custkey / {i % 5 + 2}) AS BIGINT)) % {most + 1} AS INT)"
 
 
+#: Every fourth company is a strong one: well covered, with most good signs and none of the bad ones.
+_STRONG = "c_custkey % 4 = 0"
+_BAD_FLAGS = ["listed_words", "abandoned", "regional", "single_product", "single_word", "functional_part", "customer_concentration", "team_mismatch", "thin_margin", "overvalued", "compliance", "fraud"]
+_BAD_COUNTS = ["hit_project", "hit_assembly", "hit_consumable", "hit_channel_dependency", "hit_risk"]
+
+
+def _either(strong: str, other: str) -> str:
+    return f"CASE WHEN {_STRONG} THEN {strong} ELSE {other} END"
+
+
 def _facts_sql() -> str:
-    counts = [f"{_spread(i, 1 + i % 6)} AS {name}" for i, name in enumerate(_COUNTS)]
-    flags = [f"CASE WHEN {_spread(i, 30)} < {[9, 5, 14][i % 3]} THEN 1 ELSE 0 END AS text_{name}" for i, name in enumerate(R.TEXT_FLAGS, 40)]
+    counts = [f"{_either('0' if name in _BAD_COUNTS else f'2 + {_spread(i, 4)}', _spread(i, 5))} AS {name}" for i, name in enumerate(_COUNTS)]
+    sign = lambda i, few: f"CASE WHEN {_spread(i, 30)} < {few} THEN 1 ELSE 0 END"
+    flags = [f"{_either('0' if name in _BAD_FLAGS else sign(i, 24), sign(i, [9, 5, 14][i % 3]))} AS text_{name}" for i, name in enumerate(R.TEXT_FLAGS, 40)]
     sectors = [f"CASE WHEN {_spread(i, 12)} = 0 THEN 1 ELSE 0 END AS sector_{name}" for i, (name, _) in enumerate(T.SECTOR_RULES, 5)]
-    rows = [f"{_spread(i + 9 * j, 5 if name == 'n' else 4)} AS {d}__{name}" for i, d in enumerate(R.DIMENSION_KEYS) for j, name in enumerate(_DIMENSION_COUNTS)]
+    rows = [f"{_either('2', '0')} + {_spread(i + 9 * j, 5 if name == 'n' else 4)} AS {d}__{name}" for i, d in enumerate(R.DIMENSION_KEYS) for j, name in enumerate(_DIMENSION_COUNTS)]
     social = [f"CASE WHEN {_spread(i, 3)} = 0 THEN {_spread(i, 5)} ELSE 0 END AS {d}__social" for i, d in enumerate(R.DIMENSION_KEYS)]
-    tenths = [f"CAST({_spread(i, 1000)} AS DOUBLE) / 10 AS {name}" for i, name in enumerate(["traceability_score", "authority", "reliability", "chain", "strength"], 70)]
+    tenths = [f"{_either(f'70 + CAST({_spread(i, 300)} AS DOUBLE) / 10', f'CAST({_spread(i, 1000)} AS DOUBLE) / 10')} AS {name}"
+              for i, name in enumerate(["traceability_score", "authority", "reliability", "chain", "strength"], 70)]
     text = lambda name, i, *values: f"split_part('{'|'.join(values)}', '|', {_spread(i, len(values) - 1)} + 1) AS {name}"
     texts = [text("latest_round", 80, "", "种子轮", "天使轮", "pre-a轮", "a轮", "b轮", "c轮", "d轮", "pre-ipo", "成长期", "seed"),
              text("gross_margin_text", 81, "", "毛利率45%", "毛利率12.5%", "毛利率20%", "毛利率61%", "毛利率30%", "高毛利", "毛利稳定", "毛利率3%"),
@@ -38,11 +50,11 @@ def _facts_sql() -> str:
              text("funding_total", 84, "", "1亿元", "2亿美元"), text("latest_valuation", 85, "", "10亿元", "估值过高", "30x", ""),
              text("rival_text", 86, "", "甲公司", "甲公司，;乙公司", "：;丙;丁;戊", "")]
     return f"""
-        SELECT concat('c', CAST(c_custkey AS STRING)) AS entity_key, concat('公司', CAST(c_custkey AS STRING)) AS entity, n, least(n, {_spread(61, 6)}) AS domains, least(n, {_spread(62, 5)}) AS recent_90,
+        SELECT concat('c', CAST(c_custkey AS STRING)) AS entity_key, concat('公司', CAST(c_custkey AS STRING)) AS entity, n, least(n, {_either(f"3 + {_spread(61, 4)}", _spread(61, 6))}) AS domains, least(n, {_spread(62, 5)}) AS recent_90,
           least(n, {_spread(62, 5)} + {_spread(63, 4)}) AS recent_180, least(n, {_spread(64, 4)}) AS authoritative, least(n, {_spread(65, 2)}) AS official, least(n, {_spread(66, 6)}) AS traceable,
-          least(n, {_spread(67, 2)}) AS negatives, CASE WHEN n = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(least(n, {_spread(68, 9)}) AS DOUBLE) / n END AS social_ratio, {_spread(69, 45)} AS momentum_tenths,
-          {_spread(75, 3)} AS highs, {_spread(76, 2)} AS mediums, {_spread(77, 3)} AS lows, {', '.join(counts + flags + sectors + rows + social + tenths + texts)}
-        FROM (SELECT *, {_spread(60, 9)} AS n FROM {{customer}}) x"""
+          least(n, {_either("0", _spread(67, 2))}) AS negatives, CASE WHEN n = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(least(n, {_either(_spread(68, 2), _spread(68, 9))}) AS DOUBLE) / n END AS social_ratio,
+          {_spread(69, 45)} AS momentum_tenths, {_either("0", _spread(75, 3))} AS highs, {_either("0", _spread(76, 2))} AS mediums, {_spread(77, 3)} AS lows, {', '.join(counts + flags + sectors + rows + social + tenths + texts)}
+        FROM (SELECT *, {_either(f"4 + {_spread(60, 5)}", _spread(60, 9))} AS n FROM {{customer}}) x"""
 
 
 DERIVED["company_facts"] = _facts_sql()
