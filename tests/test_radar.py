@@ -15,6 +15,12 @@ SCHEMA = ("seq bigint, company string, title string, url string, published_at st
           "source_type string, discovery_only boolean, fit_tags array<string>")
 
 
+def one_name(a, b):
+    """Equal keys, or a key of four letters or more that gained one to four at one of its ends."""
+    gained = lambda short, full: len(short) >= 4 and any(short in (full[k:], full[:len(full) - k]) for k in range(1, 5))
+    return a == b or gained(a, b) or gained(b, a)
+
+
 def record(seq, company, published, keyword="量产", **kw):
     row = dict(seq=seq, company=company, title=f"{company}芯片{keyword}取得新进展{seq}", url=f"https://news.example.com/{seq}",
                published_at=published, event_date=None, publisher="测试来源", source_type="google_news_rss",
@@ -78,7 +84,7 @@ def greedy(rows, limit):
     for r in rows:
         if not r["company_key"] or any(r["url_key"] == p["url"] or r["title_key"] == p["title"] for p in picks):
             continue
-        hit = next((p for p in picks if R._python_alias(r["company_key"], p["key"])), None)
+        hit = next((p for p in picks if one_name(r["company_key"], p["key"])), None)
         if hit:
             hit["aliases"].add(r["company"])
             if len(r["company"]) > len(hit["company"]):
