@@ -182,11 +182,13 @@ def count_meaningful(*values: Column | str) -> Column:
 
 
 def distinct_ignoring_case(items: Column) -> Column:
-    """Ordered distinct of an array of texts, comparing without case; the first spelling stays."""
-    keyed = F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
-    kept = F.filter(keyed, lambda s: ~F.exists(
-        keyed, lambda o: (o["k"] == s["k"]) & (o["i"] < s["i"])))
-    return F.transform(kept, lambda s: s["v"])
+    """Ordered distinct of an array of texts, comparing without case; the first spelling stays.
+
+    Equal spellings are neighbours after a sort, so a long list costs n log n.
+    """
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v"))))
+    kept = bind(keyed, lambda s: F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["k"] != e["k"])))
+    return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
 
 
 def focus_terms(value: Column | str) -> Column:
