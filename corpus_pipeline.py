@@ -34,7 +34,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("secret_scan", secrets), ("source_mix", source_mix), ("best_fit_packing", sequences)]
-#: The mix draws pseudorandomly and the secrets stage compresses; a brute-force version in the tests stands in for SQL.
+#: The mix draws pseudorandomly and the secrets stage compresses, which SQL cannot say; the tests check it stage by stage.
 ORACLE_SQL = None
 
 
