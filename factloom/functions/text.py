@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from html.entities import html5
@@ -13,14 +14,18 @@ from factloom.rules import text as T
 
 # Unicode white space as one character class.
 SPACE = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-_ENTITY = "&#?[0-9A-Za-z]{1,32};"
-# Entities that pages and feeds use; the rest of the HTML list is rare enough to stay as it is.
-_NAMED = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "hellip", "mdash",
-          "ndash", "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "middot", "bull", "times",
-          "divide", "deg", "plusmn", "euro", "pound", "yen", "cent", "sect", "para", "ensp", "emsp",
-          "thinsp", "zwj", "zwnj", "shy", "auml", "ouml", "uuml", "Auml", "Ouml", "Uuml", "szlig",
-          "eacute", "egrave", "ecirc", "agrave", "aacute", "acirc", "ccedil", "ntilde", "iacute",
-          "oacute", "uacute", "iquest", "iexcl", "rarr", "larr", "check", "star"]
+# A character reference, as HTML reads it: the semicolon may be missing, a name may run into what follows.
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that pages and feeds use most; they stand first in the table, whose look-up ends at the name.
+_COMMON = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "hellip", "mdash", "ndash", "lsquo", "rsquo", "ldquo", "rdquo", "middot"]
+# All names of the HTML list, with and without semicolon, as the text of one map.
+_NAMES = dict.fromkeys([n + ";" for n in _COMMON] + sorted(html5))
+_PAIR, _NEXT = "\u0003", "\u0002"
+_TABLE = _NEXT.join(f"{n}{_PAIR}{html5[n]}" for n in _NAMES)
+# Names that need no semicolon, longest first.
+_OPEN = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+# References to the code points 128 to 159 mean the characters of those bytes in windows-1252, where it has one.
+_C1 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
 def as_column(value: Column | str) -> Column:
@@ -63,34 +68,50 @@ def strip(value: Column | str) -> Column:
 
 
 def unescape(value: Column | str) -> Column:
-    """Decode HTML entities: numeric ones and the named ones in common use."""
-    col = as_column(value)
-    named = constant_map([(f"&{n};", html5[n + ";"]) for n in _NAMED])
+    """Decode HTML character references: numeric ones and all named ones, a longest known name winning."""
+    tokens = F.regexp_extract_all(as_column(value), F.lit(f"{_ENTITY}|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(as_column(value), F.lit("&")), F.array_join(F.transform(tokens, _decoded), "")).otherwise(as_column(value))
+
+
+def _decoded(token: Column) -> Column:
+    """What one token of :func:`unescape` stands for."""
+    table = F.str_to_map(F.lit(_TABLE), F.lit(_NEXT), F.lit(_PAIR))
+
+    def number(code: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        unknown = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        return F.when(unknown, "\ufffd").when(code.between(128, 159), F.substring(F.lit(_C1), code.cast("int") - 127, F.lit(1))).when(dropped, "").otherwise(char)
 
-    def decode(token: Column) -> Column:
-        digits = F.regexp_extract(token, "^&#([0-9]{1,7});$", 1)
-        hexa = F.regexp_extract(token, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-        code = F.when(digits != "", F.hex(digits.try_cast("bigint"))).when(hexa != "", hexa)
-        valid = F.conv(code, 16, 10).try_cast("bigint").between(1, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        return (F.when(code.isNotNull() & valid, char)
-                .otherwise(F.coalesce(F.try_element_at(named, token), token)))
+    def name(text: Column) -> Column:
+        start = F.regexp_extract(text, _OPEN, 0)
+        whole = F.when(F.endswith(text, F.lit(";")), F.try_element_at(table, text))
+        return F.coalesce(whole, F.when(start != "", F.concat(F.try_element_at(table, start), F.substring(text, F.length(start) + 1, F.length(text)))), token)
 
-    tokens = F.regexp_extract_all(col, F.lit(f"{_ENTITY}|[^&]+|&"), F.lit(0))
-    return F.when(col.rlike(_ENTITY), F.array_join(F.transform(tokens, decode), "")).otherwise(col)
+    digits, hexa = F.regexp_extract(token, "^&#0*([0-9]*);?$", 1), F.regexp_extract(token, "^&#[xX]0*([0-9A-Fa-f]*);?$", 1)
+    code = (F.when(token.rlike("^&#[0-9]"), F.when(F.length(digits) < 8, F.concat(F.lit("0"), digits).cast("bigint")).otherwise(F.lit(0x110000)))
+            .when(F.length(hexa) < 7, F.conv(F.concat(F.lit("0"), hexa), 16, 10).cast("bigint")).otherwise(F.lit(0x110000)))
+    named = bind(F.substring(token, 2, 40), name)
+    return F.when(token.rlike("^&#"), bind(code, number)).when(token.rlike("^&."), named).otherwise(token)
 
 
+@functools.cache
 def _clean_sql() -> str:
     """SQL of :func:`clean` for the lambda variable ``x``; one text, so that plans stay small."""
-    named = ", ".join(f"{sql_text(f'&{n};')}, {sql_text(html5[n + ';'])}" for n in _NAMED)
-    code = ("CASE WHEN t RLIKE '^&#[0-9]{1,7};$' THEN hex(bigint(regexp_extract(t, '([0-9]+)', 1))) "
-            "WHEN t RLIKE '^&#[xX][0-9A-Fa-f]{1,6};$' THEN regexp_extract(t, '^&#[xX](.*);$', 1) END")
-    valid = f"try_cast(conv({code}, 16, 10) AS BIGINT) BETWEEN 1 AND 1114111"
-    token = (f"CASE WHEN {valid} THEN decode(unhex(lpad({code}, 8, '0')), 'UTF-32') "
-             f"ELSE coalesce(try_element_at(map({named}), t), t) END")
-    decoded = (f"CASE WHEN x RLIKE {sql_text(_ENTITY)} THEN array_join(transform(regexp_extract_all(x, "
-               f"{sql_text(_ENTITY + '|[^&]+|&')}, 0), t -> {token}), '') ELSE x END")
-    return f"trim(regexp_replace({decoded}, {sql_text(SPACE + '+')}, ' '))"
+    q = sql_text
+    table = f"str_to_map({q(_TABLE)}, {q(_NEXT)}, {q(_PAIR)})"
+    number = (f"CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '\ufffd' WHEN n BETWEEN 128 AND 159 THEN substring({q(_C1)}, int(n) - 127, 1) "
+              "WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR (n & 65534) = 65534 THEN '' "
+              "ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END")
+    code = ("CASE WHEN t RLIKE '^&#[0-9]' THEN coalesce(try_cast(regexp_extract(t, '^&#0*([0-9]{1,7});?$', 1) AS BIGINT), if(t RLIKE '^&#0+;?$', 0, 1114112)) "
+            "WHEN length(regexp_extract(t, '^&#[xX]0*([0-9A-Fa-f]*);?$', 1)) < 7 THEN bigint(conv('0' || regexp_extract(t, '^&#[xX]0*([0-9A-Fa-f]*);?$', 1), 16, 10)) ELSE 1114112 END")
+    name = (f"CASE WHEN w RLIKE ';$' AND map_contains_key({table}, w) THEN element_at({table}, w) "
+            f"WHEN w RLIKE {q(_OPEN)} THEN element_at({table}, regexp_extract(w, {q(_OPEN)}, 0)) || regexp_replace(w, {q(_OPEN)}, '') ELSE t END")
+    token = (f"CASE WHEN t RLIKE '^&#' THEN transform(array({code}), n -> {number})[0] "
+             f"WHEN t RLIKE '^&.' THEN transform(array(substring(t, 2)), w -> {name})[0] ELSE t END")
+    decoded = (f"CASE WHEN contains(x, '&') THEN array_join(transform(regexp_extract_all(x, "
+               f"{q(_ENTITY + '|[^&]+|&')}, 0), t -> {token}), '') ELSE x END")
+    return f"trim(regexp_replace({decoded}, {q(SPACE + '+')}, ' '))"
 
 
 def clean(value: Column | str, limit: int | None = None) -> Column:

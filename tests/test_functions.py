@@ -1,4 +1,6 @@
+import html
 import re
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,12 +15,27 @@ from factloom.functions import url as U
 from factloom.rules import text as T
 from factloom.rules.radar import RadarRules
 
+X_SPACE = re.compile(r"\s+")
+
 
 def test_clean_text(evaluate):
     got = evaluate(X.clean, [" a　 b\n&amp;&#20013;&#x56fd; ", None, "&zzz; x&y"])
     assert got == ["a b &中国", "", "&zzz; x&y"]
 
 
+@pytest.mark.parametrize("decode", [X.unescape, X.clean], ids=["unescape", "clean"])
+def test_every_character_reference(evaluate, decode):
+    """All names of the HTML list, and numbers at all borders, against Python's table."""
+    texts = [f"&{n}" for n in html5] + [f"a&{n}b &{n.rstrip(';')}{n.rstrip(';')}; &{n[:-1]}=1" for n in html5]
+    borders = [0, 1, 8, 9, 10, 11, 13, 14, 31, 32, 65, 126, 127, 128, 129, 150, 159, 160, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000]
+    texts += [form % n + tail for n in [*borders, 10**6, 10**8, 10**30] for form in ("&#%d", "&#x%X", "&#X000%x", "&#0000%d") for tail in ("", ";", ";;", "z", "&")]
+    texts += ["&", "&&", "&;", "&#;", "&#x;", "&#xg;", "& amp;", "&amp;lt;", "&ampé", "&notit;", "&" + "n" * 40 + ";", "x&T y&lt", "&\U0001f600;", "&amp\u3000;", "&#12&#13;"]
+    want = [html.unescape(t) for t in texts]
+    if decode is X.clean:
+        want = [X_SPACE.sub(" ", t).strip(" ") for t in want]
+    assert evaluate(decode, texts) == want
+
+
 def test_title_key(evaluate):
     assert evaluate(X.title_key, ["起点 Photonics：量产-2!"]) == ["起点photonics量产2"]
 
