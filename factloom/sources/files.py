@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from factloom.functions import html as H
 from factloom.functions import text as X
 from factloom.functions import url as U
-from factloom.operators.common import keep_first, top_per_group
+from factloom.operators.common import indexed, keep_first, top_per_group
 
 c = F.col
 MAX_BODY_BYTES = 2 * 1024 * 1024
 MAX_HTML_BYTES = 4 * 1024 * 1024
 DATE_SUFFIX = "\\s*[-–—]\\s*(20\\d{2}-\\d{2}-\\d{2})\\s*$"
 
+# Start tag of a feed item that is not empty; fields of an item, of which the first of each name counts.
+ITEM_START = r"<item(?:\s(?:[^>]*[^/>])?)?>"
+ITEM_SCHEMA = ("title array<string>, link array<string>, pubDate array<string>, source array<struct<_VALUE: string, _url: string>>, "
+               "description array<string>, _corrupt string")
+
 META_SCHEMA = ("canonical_url string, source_url string, resolved_url string, article_url string, url string, "
                "title string, account_name string, account string, publisher string, author string, "
                "publish_time string, published_at string, publish_date string, raw_html_path string, "
@@ -92,33 +97,61 @@ def dated_links(rows: DataFrame) -> DataFrame:
         F.lit("not_stored").alias("credential_status")).filter(c("url").isNotNull())
 
 
-def read_feed(spark: SparkSession, path: str, per_feed: int = 50) -> DataFrame:
-    """Saved RSS feeds as lead records; the first ``per_feed`` items of each file, in order."""
-    raw = spark.read.format("binaryFile").load(path).select(
-        c("path").alias("feed"), F.decode("content", "UTF-8").alias("xml"))
-    items = raw.select("feed", F.posexplode(F.regexp_extract_all(
-        "xml", F.lit("(?is)<item\\b[^>]*>(.*?)</item>"), F.lit(1))).alias("pos", "item"))
-    return feed_records(items.filter(c("pos") < per_feed))
+def read_feed(spark: SparkSession, path: str, per_feed: int | None = 50, charset: str = "UTF-8") -> DataFrame:
+    """Saved RSS feeds as lead records; the first ``per_feed`` items of each file, in order (all with None)."""
+    return feed_records(feed_items(spark, path, per_feed, charset))
 
 
-def feed_records(items: DataFrame) -> DataFrame:
-    """Records of feed items (feed, pos, item XML); without title, link or date an item is dropped."""
-    def element(name: str) -> Column:
-        inner = F.regexp_extract("item", f"(?is)<{name}\\b[^>]*>(.*?)</{name}>", 1)
-        return F.regexp_replace(inner, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")
+def feed_items(spark: SparkSession, path: str, per_feed: int | None = 50, charset: str = "UTF-8") -> DataFrame:
+    """Items of saved feeds: feed (file), pos (from 0) and item (the XML inside of it).
 
-    publisher = X.clean(X.unescape(element("source")))
-    title = X.clean(X.unescape(element("title")))
+    Files are cut at the items' end tags by the text reader, so that the tasks share a large file and none holds more than
+    an item.  What has no item (head, tail, an item that a comment hides) is passed by; an item that another one or the
+    file's end breaks off stays, for :func:`feed_rejects`.  An end tag inside CDATA breaks its item off as well.
+    """
+    raw = spark.read.option("lineSep", "</item>").option("encoding", charset).text(path).select(
+        c("_metadata.file_path").alias("feed"), c("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    start = F.regexp_extract("value", ITEM_START, 0)
+    cut = raw.filter(start != "").withColumn("_at", F.instr("value", start))
+    hidden = F.substring("value", F.lit(1), c("_at") - 1).rlike("(?s)<!--(?!.*-->)")
+    items = cut.filter(~hidden).select("feed", "_block", "_row", F.substring("value", c("_at") + F.length(start), F.length("value")).alias("item"))
+    if per_feed is None:
+        placed = indexed(items, [c("feed"), c("_block"), c("_row")], "_index")
+        firsts = placed.groupBy(c("feed").alias("_feed")).agg(F.min("_index").alias("_first"))
+        return placed.join(firsts, c("feed") == c("_feed")).select("feed", (c("_index") - c("_first")).alias("pos"), "item")
+    return top_per_group(items, ["feed"], [c("_block"), c("_row")], per_feed).select("feed", (c("_rank") - 1).cast("long").alias("pos"), "item")
+
+
+def _parsed(items: DataFrame) -> DataFrame:
+    """Items with the fields of their XML; ``_broken`` marks those that are none."""
+    item = F.from_xml(F.concat(F.lit("<item>"), "item", F.lit("</item>")), ITEM_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = items.select("feed", "pos", "item", item.alias("_x"))
+
+    def first(name: str) -> Column:
+        return F.coalesce(F.try_element_at(f"_x.{name}", F.lit(1)), F.lit(""))
+
+    source = F.try_element_at("_x.source", F.lit(1))
+    publisher = X.clean(source["_VALUE"])
+    title = X.clean(first("title"))
     tail = F.concat(F.lit(" - "), publisher)
     short = F.when((publisher != "") & F.endswith(title, tail), X.strip(
         F.substring(title, F.lit(1), F.length(title) - F.length(tail)))).otherwise(title)
-    rows = items.select(
-        "feed", "pos", short.alias("title"), X.clean(element("link")).alias("url"),
-        X.clean(element("pubDate")).alias("published_at"), publisher.alias("publisher"),
-        X.clean(F.regexp_extract("item", "(?is)<source\\b[^>]*\\burl=[\"']([^\"']*)", 1)).alias("publisher_url"),
-        X.clean(F.regexp_replace(X.unescape(element("description")), "<[^>]+>", " ")).alias("summary"),
-        F.lit("google_news_rss").alias("source_type"), F.lit(True).alias("discovery_only"))
-    return rows.filter((c("title") != "") & (c("url") != "") & (c("published_at") != ""))
+    return rows.select(
+        "feed", "pos", "item", short.alias("title"), X.clean(first("link")).alias("url"), X.clean(first("pubDate")).alias("published_at"),
+        publisher.alias("publisher"), X.clean(source["_url"]).alias("publisher_url"),
+        X.clean(F.regexp_replace(first("description"), "<[^>]+>", " ")).alias("summary"), F.lit("google_news_rss").alias("source_type"),
+        F.lit(True).alias("discovery_only"), (c("_x").isNull() | c("_x._corrupt").isNotNull()).alias("_broken"))
+
+
+def feed_records(items: DataFrame) -> DataFrame:
+    """Records of feed items (feed, pos, item XML); a broken one, or one without title, link or date, is dropped."""
+    return _parsed(items).filter(~c("_broken") & (c("title") != "") & (c("url") != "") & (c("published_at") != "")).drop("item", "_broken")
+
+
+def feed_rejects(items: DataFrame) -> DataFrame:
+    """The items that give no record: feed, pos, item and reject_reason."""
+    reason = F.when(c("_broken"), "broken_xml").when(c("title") == "", "no_title").when(c("url") == "", "no_link").when(c("published_at") == "", "no_date")
+    return _parsed(items).select("feed", "pos", "item", reason.alias("reject_reason")).filter(c("reject_reason").isNotNull())
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:

@@ -28,6 +28,38 @@ def test_feed(spark, tmp_path):
     assert rows[0]["publisher_url"] == "https://某报.cn"
 
 
+def test_feed_of_any_form(spark, tmp_path):
+    """Namespaces, CDATA, attributes, comments, repeated fields and broken items, whatever the splits."""
+    items = ['<item><title type="html">一 &amp;amp; 1 - 报</title><link>https://e/1?a=1&amp;b=2</link><media:title>no</media:title><pubDate>Mon</pubDate><source url="https://d">报</source>'
+             "<description><![CDATA[<b>x</b> & y]]></description></item>",
+             "<item>\n<title><![CDATA[two <3]]></title><title>second</title><link>https://e/2</link><pubDate>Tue</pubDate><source>Desk</source></item>",
+             "<item><title>broken <b> </title><link>https://e/3</link><pubDate>Wed</pubDate></item>", "<item/>", "<item />",
+             "<!-- <item><title>hidden</title><link>https://e/h</link><pubDate>Wed</pubDate></item> -->",
+             '<item a="1/2"><title> five\n x </title><link>https://e/5</link><pubDate>Thu</pubDate><source url="https://z"/></item>',
+             "<item><link>https://e/6</link><pubDate>Thu</pubDate></item>", "<item><title>t</title><pubDate>Thu</pubDate></item>", "<item><title>t</title><link>https://e/7</link></item>"]
+    head = '<?xml version="1.0"?><rss xmlns:media="http://m"><channel><title>c</title><itemx>no</itemx>'
+    (tmp_path / "a.xml").write_text(head + "".join(items) + "</channel></rss>", encoding="utf-8")
+    (tmp_path / "b.xml").write_text(head + items[0] + "<item><title>cut", encoding="utf-8")
+    (tmp_path / "empty.xml").write_text("")
+    (tmp_path / "other.xml").write_text("no feed")
+    want = {("a", 0, "一 & 1", "https://e/1?a=1&b=2", "报", "https://d", "x & y"), ("a", 1, "two <3", "https://e/2", "Desk", "", ""), ("a", 3, "five x", "https://e/5", "", "https://z", ""),
+            ("b", 0, "一 & 1", "https://e/1?a=1&b=2", "报", "https://d", "x & y")}
+    reasons = {("a", 2): "broken_xml", ("a", 4): "no_title", ("a", 5): "no_link", ("a", 6): "no_date", ("b", 1): "broken_xml"}
+    name = F.regexp_extract("feed", "([^/.]*)[.]xml$", 1).alias("feed")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("64", "300", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            for per_feed in (50, None):
+                found = files.feed_items(spark, str(tmp_path), per_feed)
+                got = files.feed_records(found).select(name, "pos", "title", "url", "publisher", "publisher_url", "summary").collect()
+                assert {tuple(r) for r in got} == want and len(got) == len(want)
+                assert {(r[0], r[1]): r[2] for r in files.feed_rejects(found).select(name, "pos", "reject_reason").collect()} == reasons
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert files.read_feed(spark, str(tmp_path / "a.xml"), per_feed=2).count() == 2
+
+
 def test_archive(spark, tmp_path):
     root = tmp_path / "archive"
     a = root / "one"
