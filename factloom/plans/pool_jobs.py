@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import pool as P
@@ -12,6 +12,7 @@ from factloom.operators.common import beside, checkpointed, shared_folder
 from factloom.operators.pool_store import ArticlePool
 from factloom.plans.registry import Tables, query
 from factloom.plans.stores import _ARTICLES, _ORIGINAL
+from factloom.sources import files
 from factloom.sources import history as H
 from factloom.streaming.imports import stream_imports
 
@@ -131,3 +132,28 @@ def mixed_histories(t: Tables) -> DataFrame:
     seq = F.try_variant_get(F.parse_json("text"), "$.seq", "bigint")
     articles = H.flatten_history(docs.select("text", "source", c("fetch_mode").alias("mode"), seq.alias("seq")))
     return articles.select("seq", c("mode").alias("fetch_mode"), "account_name", "fakeid", "url", "title", "publish_time")
+
+
+@query("saved_feeds", "S6 F13", r"""
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'broken_xml' WHEN page_id % 13 = 0 THEN 'no_date' END AS reject_reason, CASE WHEN page_id % 11 > 0 AND page_id % 13 > 0 THEN 'Page ' || page_id || ' & co' END AS title,
+  CASE WHEN page_id % 11 > 0 AND page_id % 13 > 0 THEN url END AS url, CASE WHEN page_id % 11 > 0 AND page_id % 13 > 0 THEN 'Desk ' || page_id % 7 END AS publisher,
+  CASE WHEN page_id % 11 > 0 AND page_id % 13 > 0 THEN trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'),
+    '&amp;?', '&', 'g'), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) END AS summary FROM pages""")
+def saved_feeds(t: Tables) -> DataFrame:
+    """The pages written as items of feeds, every eleventh one broken and every thirteenth without a date, and read back."""
+    root = new_folder(t.spark, "feeds")
+
+    def escaped(value: str) -> Column:
+        return F.replace(F.replace(c(value), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    number = c("page_id").cast("string")
+    desk = F.concat(F.lit("Desk "), (c("page_id") % 7).cast("string"))
+    page = F.when(c("page_id") % 2 == 0, F.concat(F.lit("<![CDATA["), "html", F.lit("]]>"))).otherwise(escaped("html"))
+    item = F.concat(F.lit("<item><guid>"), number, F.lit("</guid><media:title>other</media:title><title>Page "), number, F.lit(" &amp;amp; co - "), desk, F.lit("</title><link>"), escaped("url"), F.lit("</link>"),
+                    F.when(c("page_id") % 13 > 0, "<pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate>").otherwise(""), F.lit('<source url="https://d.example">'), desk, F.lit("</source><description>"), page,
+                    F.lit("</description>"), F.when(c("page_id") % 11 == 0, "<b>").otherwise(""), F.lit("</item>"))
+    t.pages.select(F.concat(F.when(c("page_id") % 3 == 0, "<!-- old <item><title>x</title></item> -->").otherwise(""), item)).write.text(root)
+    items = checkpointed(files.feed_items(t.spark, root, per_feed=None))
+    rows = files.feed_records(items).select(F.regexp_extract("title", "([0-9]+)", 1).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("reject_reason"), "title", "url", "publisher", "summary")
+    rejects = files.feed_rejects(items).select(F.regexp_extract("item", "<guid>([0-9]+)", 1).cast("bigint").alias("page_id"), "reject_reason")
+    return rows.unionByName(rejects, allowMissingColumns=True)
