@@ -3,6 +3,7 @@
 A word is the mean of the embeddings of itself and of its character n-grams (hashed into a fixed table), so that a
 misspelling that was never seen shares most vectors with the word it comes from.  Vectors are averaged over a window of
 words and go to a linear softmax; a text scores as its most toxic window, so that a long text does not dilute an insult.
+The window moves by one word, so that a verdict does not depend on where in the text an insult stands.
 Embeddings and softmax are trained together: first on averages over whole texts, then on the windows that decide.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows`` per class, whole texts); scoring covers every
@@ -77,6 +78,14 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def most_toxic(x: np.ndarray, window: int) -> float:
+    """Largest mean over ``window`` consecutive words, at every word (over all words of a shorter text)."""
+    if len(x) <= window:
+        return float(x.mean()) if len(x) else 0.0
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    return float((sums[window:] - sums[:-window]).max() / window)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
@@ -112,31 +121,36 @@ def train(sample: list[tuple[str, int]], table: int = 1 << 17, dims: int = 8, wi
     gram_of, gram_word = np.array(flat_grams), np.repeat(np.arange(len(gram_count), dtype=np.int32), gram_count)
     y = np.array([label for _, label in sample], float)
     share = np.array([1 / max(1, (y == 0).sum()), 1 / max(1, (y == 1).sum())])[y.astype(int)] * 0.5
-    # Windows: the first pass has one per text, the second one for every ``window`` words.
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    # Windows: the first pass has one per text, the second one at every word; their sums are differences of running sums.
+    flat = np.concatenate(texts).astype(np.int32)
     sizes = np.array([len(t) for t in texts])
+    begin_of_text = np.cumsum(sizes) - sizes
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (embeddings, weights, bias)]
     step = 0
     for width, count in ((max(1, int(sizes.max(initial=1))), turns[0]), (window, turns[1])):
-        pieces = np.maximum(1, -(-sizes // width))
-        text_of = np.repeat(np.arange(len(sizes)), pieces)
+        pieces = np.maximum(1, sizes - width + 1)
         first_piece = np.cumsum(pieces) - pieces
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        piece_of = np.repeat(first_piece, sizes) + place // width
-        held = np.maximum(np.bincount(piece_of, minlength=len(text_of)), 1)
+        begin = (np.arange(pieces.sum()) + np.repeat(begin_of_text - first_piece, pieces)).astype(np.int32)
+        end = np.minimum(begin + width, np.repeat(begin_of_text + sizes, pieces)).astype(np.int32)
+        held = np.maximum(end - begin, 1)
+        # What a window of a text of class 0 counts; in a text of class 1 only the top one does.
+        calm_share = np.repeat(np.where(y == 0, share * calm / pieces, 0), pieces)
         for _ in range(count):
             step += 1
             u = weights[1] - weights[0]
             word = np.bincount(gram_word, weights=(embeddings @ u)[gram_of], minlength=len(gram_count)) / gram_count
-            logit = np.bincount(piece_of, weights=word[flat], minlength=len(text_of)) / held + bias[1] - bias[0]
-            order = np.lexsort((-logit, text_of))
-            top = order[first_piece]
-            p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+            sums = np.concatenate([[0], np.cumsum(word[flat])])
+            logit = (sums[end] - sums[begin]) / held + bias[1] - bias[0]
+            hits = np.flatnonzero(logit == np.repeat(np.maximum.reduceat(logit, first_piece), pieces))
+            top = hits[np.searchsorted(hits, first_piece)]
+            d = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             # A text of class 1 has one such window at least; in a text of class 0 every window is of class 0.
-            d = np.where(y[text_of] == 0, p * (share * calm / pieces)[text_of], 0)
-            d[top] += (p[top] - y) * share
+            p_top = d[top]
+            d *= calm_share
+            d[top] += (p_top - y) * share
             per_piece = d / held
-            per_word = np.bincount(flat, weights=per_piece[piece_of], minlength=len(gram_count)) / gram_count
+            steps = np.bincount(begin, weights=per_piece, minlength=len(flat) + 1) - np.bincount(end, weights=per_piece, minlength=len(flat) + 1)
+            per_word = np.bincount(flat, weights=np.cumsum(steps)[:-1], minlength=len(gram_count)) / gram_count
             per_gram = np.bincount(gram_of, weights=per_word[gram_word], minlength=table)
             grad_u = per_gram @ embeddings
             for x, g, m in zip((embeddings, weights, bias), (per_gram[:, None] * u + decay * embeddings / len(sample), np.stack([-grad_u, grad_u]), np.array([-d.sum(), d.sum()])), moments, strict=True):
@@ -167,10 +181,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 for w in set(words).difference(memory):
                     memory[w] = scores_of.word(w)
                 x = np.fromiter(map(memory.__getitem__, words), float, len(words))
-                starts = np.arange(0, max(1, len(x)), window)
-                sums = np.add.reduceat(x, starts) if len(x) else np.zeros(1)
-                logit = (sums / np.maximum(1, np.minimum(window, len(x) - starts))).max() + bias
-                scores[i] = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+                scores[i] = 1 / (1 + np.exp(-np.clip(most_toxic(x, window) + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

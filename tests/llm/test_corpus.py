@@ -143,13 +143,31 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     rows = toxicity.scored(docs.join(labels, "doc_id"), model).join(labels, "doc_id").filter("held_out").select("toxic", "predicted").collect()
     caught = sum(r["predicted"] for r in rows if r["toxic"]) / max(1, sum(r["toxic"] for r in rows))
     false = sum(r["predicted"] for r in rows if not r["toxic"]) / sum(not r["toxic"] for r in rows)
-    assert caught > 0.6 and false < 0.05  # some 700 texts to learn from; tables of the usual size give over 0.95
+    assert caught > 0.7 and false < 0.05  # some 700 texts to learn from; tables of the usual size give over 0.95
     out = toxicity.scored(odd, model).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
     assert max(r["score"] for r in toxicity.toxicity(odd, labels.limit(0)).collect()) < 1e-9
     assert toxicity.scored(none, model).count() == 0
 
 
+def test_scores_are_those_of_the_most_toxic_window(spark):
+    """Brute force over all windows, with a score that does not move with what stands before an insult."""
+    rng = random.Random(5)
+    clean = ["we like " + " ".join(rng.choices(WORDS, k=rng.randint(0, 30))) for _ in range(60)]
+    sample = [(t, 0) for t in clean] + [(f"{t} you stupid fool {t}", 1) for t in clean] + [("", 0)]
+    model = toxicity.train(sample, table=1 << 12)
+    texts = [None, "", "fool", " ".join(WORDS)] + [" ".join(["and"] * k + ["you", "stupid", "fool"] + WORDS) for k in range(20)] + [t for t, _ in sample]
+    table, bias = model.word_scores(), model.bias[1] - model.bias[0]
+    rows = toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = [float(np.mean(table[toxicity.grams(w, len(table))])) for w in toxicity.words_of(texts[r["doc_id"]])]
+        best = max((sum(x[i:i + model.window]) / min(len(x), model.window) for i in range(max(1, len(x) - model.window + 1))), default=0) if x else 0
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(best + bias, -50, 50))), abs=1e-4) and r["predicted"] == (r["score"] >= 0.5)
+    moved = [r["score"] for r in rows if 4 + model.window <= r["doc_id"] < 24]
+    assert max(moved) - min(moved) < 1e-6 and min(moved) > 0.5
+
+
 @pytest.mark.parametrize("few", [1000, 1])
 def test_jaccard_components(spark, odd, monkeypatch, few):
     monkeypatch.setattr(ngram_join, "FEW", few)
