@@ -25,7 +25,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources at their targets, as documents (a document that is taken twice comes twice)."""
-    return mix.mixed_documents(mix.mix_sources(docs))
+    return mix.mixed_documents(mix.mix_sources(docs, block_words=256, shard_blocks=1024))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
