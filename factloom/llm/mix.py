@@ -4,10 +4,10 @@ The words of a source form one stream (documents in a fixed hashed order), cut i
 shards draw the number of their slots per source from a multinomial; slot j of a source is block ``permutation(j)`` of
 the source's current pass, and blocks are joined by (source, index).  No text moves before a block is known to be taken.
 
-Draws alone would miss small targets, so slots that a source draws beyond its target are handed to sources that drew too
-few, and the last slot of a source is cut to the words left: a source gives exactly its rounded target.  A shorter last
-block of a source comes at the end of each pass.  Passes are whole except for the last, so no document is taken more than
-``ceil(target / size)`` times.
+A shard gives each source the whole slots of its share and draws the slots that are left from the multinomial of the
+fractions, so that small sources come near their targets as well; what is drawn is what the mix takes.  Only slots beyond
+the last allowed pass are left out.  A shorter last block of a source comes at the end of each pass.  Passes are whole except
+for the last, so no document is taken more than ``ceil(most)`` times.
 
 Defined cases: a null text has no words; a null source is a source, ordered last; empty tables give no rows; repeated rows
 are separate stretches of the stream; other columns are carried along whatever their names (``taken_words`` replaces those
@@ -34,9 +34,8 @@ MAX_SOURCES = 1_000_000
 
 @dataclass(frozen=True)
 class Mix:
-    """``placed``: input rows with _source, _start, _size; ``slots``: shard, slot, source, pass_no, block, words (what the
-    slot takes from the block's start); ``targets``: source, index, size, weight, target, words (one row per source);
-    ``names``: the names of the input's columns in ``placed``."""
+    """``placed``: input rows with _source, _start, _size; ``slots``: shard, slot, source, pass_no, block, words (of the
+    block); ``targets``: source, index, size, weight, target, words (one row per source); ``names``: the names of the input's columns in ``placed``."""
     placed: DataFrame
     slots: DataFrame
     targets: pd.DataFrame
@@ -95,7 +94,7 @@ def mixed64(x: np.ndarray) -> np.ndarray:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-                block_words: int = 256, shard_blocks: int = 1024, seed: int = 20240101) -> Mix:
+                block_words: int = 64, shard_blocks: int = 4096, seed: int = 20240101) -> Mix:
     """Plan the mix of a table with doc_id, text and source; see the module's text for the method."""
     spark = docs.sparkSession
     docs, columns = apart(docs, ["doc_id", "text", "source", "n_chars"])
@@ -113,26 +112,24 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     sizes, words = targets["size"].to_numpy(np.int64), targets["words"].to_numpy(np.int64)
     full, tail = sizes // block_words, sizes % block_words
     blocks = full + (tail > 0)
-    whole, rest = np.divmod(words, np.maximum(sizes, 1))
-    # Slots: those of whole passes, then full blocks of the last pass (the last one cut), then its tail.
-    wanted = whole * blocks + np.minimum(-(-rest // block_words), blocks)
-    total = int(wanted.sum())
+    # Slots that the target asks for (fractions count) and slots that the passes hold.
+    asked = words / np.maximum(sizes, 1) * blocks
+    held = int(np.ceil(most)) * blocks
+    total = int(np.ceil(asked.sum()))
     shards = -(-total // shard_blocks)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        share_of = wanted / max(1, total)
         for batch in batches:
             for shard in batch["id"]:
-                count = np.random.default_rng([seed, int(shard)]).multinomial(min(shard_blocks, total - int(shard) * shard_blocks), share_of)
+                share = asked / asked.sum() * min(shard_blocks, total - int(shard) * shard_blocks)
+                count = np.floor(share).astype(np.int64)
+                rest = share - count
+                if rest.sum() > 0:
+                    count += np.random.default_rng([seed, int(shard)]).multinomial(round(rest.sum()), rest / rest.sum())
                 hit = np.flatnonzero(count)
-                yield pd.DataFrame({"shard": np.int64(shard), "_source": hit.astype(np.int32), "drawn": count[hit].astype(np.int64)})
+                yield pd.DataFrame({"shard": np.int64(shard), "_source": hit.astype(np.int32), "drawn": count[hit]})
 
     drawn = spark.range(0, shards, 1, max(1, -(-shards // 256))).mapInPandas(draw, "shard long, _source int, drawn long")
-    got = np.zeros(len(targets), np.int64)
-    for r in drawn.groupBy("_source").agg(F.sum("drawn").alias("n")).collect():
-        got[r["_source"]] = r["n"]
-    over, under = np.maximum(got - wanted, 0), np.maximum(wanted - got, 0)
-    over_from, under_to = np.concatenate([[0], np.cumsum(over)[:-1]]), np.cumsum(under)
     numbered = running_start(drawn, "_source", [F.col("shard")], F.col("drawn"), "first", buckets_for(shards))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,19 +138,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
             source = np.repeat(batch["_source"].to_numpy(np.int64), n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             j = np.repeat(batch["first"].to_numpy(np.int64), n) + place
-            spare = j >= wanted[source]
-            if spare.any():  # beyond its target: handed to the sources that drew too few
-                rank = over_from[source[spare]] + j[spare] - wanted[source[spare]]
-                to = np.searchsorted(under_to, rank, side="right")
-                source[spare], j[spare] = to, wanted[to] - under_to[to] + rank
             pass_no, i = np.divmod(j, blocks[source])
             with np.errstate(over="ignore"):
                 key = mixed64(np.uint64(seed & MASK) + mixed64(source.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + pass_no.astype(np.uint64)))
             block = np.where(i < full[source], permuted(np.minimum(i, np.maximum(full[source] - 1, 0)), full[source], key), full[source])
             length = np.where(block < full[source], block_words, tail[source])
-            left = np.where(pass_no < whole[source], length, rest[source] - i * block_words)
-            yield pd.DataFrame({"shard": np.repeat(batch["shard"].to_numpy(np.int64), n), "slot": mixed64(key ^ j.astype(np.uint64)).astype(np.int64),
-                                "_source": source.astype(np.int32), "pass_no": pass_no, "block": block, "words": np.minimum(length, left)})
+            rows = pd.DataFrame({"shard": np.repeat(batch["shard"].to_numpy(np.int64), n), "slot": mixed64(key ^ j.astype(np.uint64)).astype(np.int64),
+                                 "_source": source.astype(np.int32), "pass_no": pass_no, "block": block, "words": length})
+            yield rows[j < held[source]]
 
     slots = numbered.select("shard", "_source", "drawn", "first").mapInPandas(fill, "shard long, slot long, _source int, pass_no long, block long, words long")
     return Mix(placed, slots, targets, block_words, columns)

@@ -58,7 +58,8 @@ def test_mix_meets_targets_and_repeats(spark, odd, none):
     for r in rows:
         taken[r["source"]] += r["taken"]
         targets[r["source"]] = r["target"]
-    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+    shards = 1 + plan.slots.agg(F.max("shard")).first()[0]
+    assert all(abs(taken[s] - t) <= 64 * (1 + 4 * shards ** 0.5) for s, t in targets.items())
     again = mix.taken_words(mix.mix_sources(docs.repartition(3), block_words=64, shard_blocks=32)).collect()
     key = lambda r: (r["doc_id"] or -1, r["size"], r["taken"], r["source"] or "")
     assert sorted(map(key, rows)) == sorted(map(key, again))
@@ -70,6 +71,38 @@ def test_mix_meets_targets_and_repeats(spark, odd, none):
     assert mix.taken_words(mix.mix_sources(none)).count() == 0 and mix.mixed_documents(mix.mix_sources(none)).count() == 0
 
 
+def test_mix_takes_what_it_draws(spark, odd):
+    """Brute force over the words of each source; another draw takes other words, near the same targets."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").unionByName(odd)
+    results = []
+    for seed, shard_blocks in ((1, 64), (2, 64), (1, 100_000)):
+        plan = mix.mix_sources(docs, block_words=32, shard_blocks=shard_blocks, seed=seed)
+        placed = [r for r in plan.placed.select("_source", "_start", "_size", F.col(plan.names["doc_id"]).alias("doc_id")).collect() if r["_size"]]
+        stream = collections.defaultdict(dict)
+        for r in placed:
+            for k in range(r["_size"]):
+                assert stream[r["_source"]].setdefault(r["_start"] + k, (r["doc_id"], r["_start"])) == (r["doc_id"], r["_start"])
+        want, seen, count = collections.Counter(), set(), collections.Counter()
+        slots = plan.slots.collect()
+        for r in slots:
+            assert (r["_source"], r["pass_no"], r["block"]) not in seen and r["pass_no"] < 2
+            seen.add((r["_source"], r["pass_no"], r["block"]))
+            count[r["_source"], r["pass_no"]] += 1
+            for k in range(r["words"]):
+                want[r["_source"], stream[r["_source"]][r["block"] * 32 + k][1]] += 1
+        blocks = {s: -(-len(words) // 32) for s, words in stream.items()}
+        assert all(n <= blocks[s] and (p == 0 or count[s, 0] == blocks[s]) for (s, p), n in count.items())
+        got = {(r["_source"], r["_start"]): r["n"] for r in mix.taken_stretches(plan).groupBy("_source", "_start").agg(F.sum(F.col("end") - F.col("begin")).alias("n")).collect()}
+        assert got == dict(want)
+        rows = {(r["doc_id"], r["size"]): r["taken"] for r in mix.taken_words(plan).collect()}
+        assert sum(want.values()) == sum(r["taken"] for r in mix.taken_words(plan).collect())
+        for s, target in zip(plan.targets["index"], plan.targets["target"], strict=True):
+            shards = -(-len(slots) // shard_blocks)
+            assert abs(sum(n for (x, _), n in want.items() if x == s) - target) <= 32 * (2 + 4 * shards ** 0.5)
+        results.append((rows, count))
+    assert results[0][0] != results[1][0] and results[0][1] != results[1][1] and results[0][0] != results[2][0]
+
+
 def test_vectors_recall_and_exact_scores(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [None] * 64), (None, rows[3][1]), (2004, [1.0])]
