@@ -153,14 +153,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 def taken_stretches(mix: Mix) -> DataFrame:
     """What each slot takes of each document: _source, _start (of the document), shard, slot, pass_no, begin, end
-    (words of the document, end exclusive)."""
+    (words of the document, end exclusive).  Both sides grow with the documents, so neither is broadcast."""
     size = F.lit(mix.block_words)
     block = F.col("block") * size
     pieces = (mix.placed.filter("_size > 0").select("_source", "_start", "_size")
               .withColumn("block", F.explode(F.sequence((F.col("_start") / size).cast("long"), ((F.col("_start") + F.col("_size") - 1) / size).cast("long")))))
     begin: Column = F.greatest(F.col("_start"), block)
     end = F.least(F.col("_start") + F.col("_size"), block + F.col("words"))
-    return (pieces.join(mix.slots, ["_source", "block"]).select("_source", "_start", "shard", "slot", "pass_no", (begin - F.col("_start")).alias("begin"), (end - F.col("_start")).alias("end"))
+    return (pieces.join(mix.slots.hint("merge"), ["_source", "block"]).select("_source", "_start", "shard", "slot", "pass_no", (begin - F.col("_start")).alias("begin"), (end - F.col("_start")).alias("end"))
             .filter("end > begin"))
 
 
@@ -173,7 +173,7 @@ def taken_words(mix: Mix) -> DataFrame:
     # Rows without words have no stretch; they must not meet that of the row which starts at the same word.
     keyed = mix.placed.withColumn("_key", F.when(F.col("_size") > 0, F.col("_start")))
     taken = taken.select(F.col("_source").alias("_s"), F.col("_start").alias("_k"), "taken")
-    out = keyed.join(taken, (F.col("_source") == F.col("_s")) & (F.col("_key") == F.col("_k")), "left").join(sources, "_source")
+    out = keyed.join(taken.hint("merge"), (F.col("_source") == F.col("_s")) & (F.col("_key") == F.col("_k")), "left").join(sources, "_source")
     results = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.coalesce("taken", F.lit(0).cast("long"))}
     return out.select(*together(mix.names, tuple(results)), *[v.alias(k) for k, v in results.items()])
 
