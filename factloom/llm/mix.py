@@ -5,8 +5,9 @@ shards draw the number of their slots per source from a multinomial; slot j of a
 the source's current pass, and blocks are joined by (source, index).  No text moves before a block is known to be taken.
 
 A shard gives each source the whole slots of its share and draws the slots that are left from the multinomial of the
-fractions, so that small sources come near their targets as well; what is drawn is what the mix takes.  Only slots beyond
-the last allowed pass are left out.  A shorter last block of a source comes at the end of each pass.  Passes are whole except
+fractions, so that small sources come near their targets as well.  With ``exact=False`` what is drawn is what the mix takes;
+only slots beyond the last allowed pass are left out.  With ``exact`` slots drawn beyond a target go to sources that drew too
+few and the last slot is cut, so that a source gives exactly its rounded target.  A shorter last block of a source comes at the end of each pass.  Passes are whole except
 for the last, so no document is taken more than ``ceil(most)`` times.
 
 Defined cases: a null text has no words; a null source is a source, ordered last; empty tables give no rows; repeated rows
@@ -94,7 +95,7 @@ def mixed64(x: np.ndarray) -> np.ndarray:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-                block_words: int = 64, shard_blocks: int = 4096, seed: int = 20240101) -> Mix:
+                block_words: int = 256, shard_blocks: int = 1024, seed: int = 20240101, exact: bool = True) -> Mix:
     """Plan the mix of a table with doc_id, text and source; see the module's text for the method."""
     spark = docs.sparkSession
     docs, columns = apart(docs, ["doc_id", "text", "source", "n_chars"])
@@ -113,7 +114,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     full, tail = sizes // block_words, sizes % block_words
     blocks = full + (tail > 0)
     # Slots that the target asks for (fractions count) and slots that the passes hold.
-    asked = words / np.maximum(sizes, 1) * blocks
+    whole, rest_words = np.divmod(words, np.maximum(sizes, 1))
+    wanted = whole * blocks + np.minimum(-(-rest_words // block_words), blocks)
+    asked = wanted if exact else words / np.maximum(sizes, 1) * blocks
     held = int(np.ceil(most)) * blocks
     total = int(np.ceil(asked.sum()))
     shards = -(-total // shard_blocks)
@@ -130,6 +133,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
                 yield pd.DataFrame({"shard": np.int64(shard), "_source": hit.astype(np.int32), "drawn": count[hit]})
 
     drawn = spark.range(0, shards, 1, max(1, -(-shards // 256))).mapInPandas(draw, "shard long, _source int, drawn long")
+    over, over_from, under_to = np.zeros(0), np.zeros(0), np.zeros(0)
+    if exact:
+        got = np.zeros(len(targets), np.int64)
+        for r in drawn.groupBy("_source").agg(F.sum("drawn").alias("n")).collect():
+            got[r["_source"]] = r["n"]
+        over, under_to = np.maximum(got - wanted, 0), np.cumsum(np.maximum(wanted - got, 0))
+        over_from = np.cumsum(over) - over
     numbered = running_start(drawn, "_source", [F.col("shard")], F.col("drawn"), "first", buckets_for(shards))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,11 +148,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
             source = np.repeat(batch["_source"].to_numpy(np.int64), n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             j = np.repeat(batch["first"].to_numpy(np.int64), n) + place
+            spare = j >= wanted[source] if exact else np.zeros(len(j), bool)
+            if spare.any():  # beyond its target: handed to the sources that drew too few
+                rank = over_from[source[spare]] + j[spare] - wanted[source[spare]]
+                to = np.searchsorted(under_to, rank, side="right")
+                source[spare], j[spare] = to, wanted[to] - under_to[to] + rank
             pass_no, i = np.divmod(j, blocks[source])
             with np.errstate(over="ignore"):
                 key = mixed64(np.uint64(seed & MASK) + mixed64(source.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + pass_no.astype(np.uint64)))
             block = np.where(i < full[source], permuted(np.minimum(i, np.maximum(full[source] - 1, 0)), full[source], key), full[source])
             length = np.where(block < full[source], block_words, tail[source])
+            if exact:
+                length = np.minimum(length, np.where(pass_no < whole[source], length, rest_words[source] - i * block_words))
             rows = pd.DataFrame({"shard": np.repeat(batch["shard"].to_numpy(np.int64), n), "slot": mixed64(key ^ j.astype(np.uint64)).astype(np.int64),
                                  "_source": source.astype(np.int32), "pass_no": pass_no, "block": block, "words": length})
             yield rows[j < held[source]]

@@ -15,7 +15,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mix.taken_words(mix.mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source")))
+    mixed = mix.taken_words(mix.mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source"), block_words=64, shard_blocks=4096, exact=False))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

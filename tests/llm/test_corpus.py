@@ -58,8 +58,7 @@ def test_mix_meets_targets_and_repeats(spark, odd, none):
     for r in rows:
         taken[r["source"]] += r["taken"]
         targets[r["source"]] = r["target"]
-    shards = 1 + plan.slots.agg(F.max("shard")).first()[0]
-    assert all(abs(taken[s] - t) <= 64 * (1 + 4 * shards ** 0.5) for s, t in targets.items())
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
     again = mix.taken_words(mix.mix_sources(docs.repartition(3), block_words=64, shard_blocks=32)).collect()
     key = lambda r: (r["doc_id"] or -1, r["size"], r["taken"], r["source"] or "")
     assert sorted(map(key, rows)) == sorted(map(key, again))
@@ -76,7 +75,7 @@ def test_mix_takes_what_it_draws(spark, odd):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").unionByName(odd)
     results = []
     for seed, shard_blocks in ((1, 64), (2, 64), (1, 100_000)):
-        plan = mix.mix_sources(docs, block_words=32, shard_blocks=shard_blocks, seed=seed)
+        plan = mix.mix_sources(docs, block_words=32, shard_blocks=shard_blocks, seed=seed, exact=False)
         placed = [r for r in plan.placed.select("_source", "_start", "_size", F.col(plan.names["doc_id"]).alias("doc_id")).collect() if r["_size"]]
         stream = collections.defaultdict(dict)
         for r in placed:
