@@ -35,19 +35,19 @@ _BLOCKS = ["script", "style", "nav", "footer", "header", "aside"]
 DEFAULT_PUBLISHER = "微信公众号"
 
 
-def untag(value: Column) -> Column:
-    """Tags to blanks, entities decoded, white space collapsed."""
-    return clean(F.regexp_replace(value, "<[^>]+>", " "))
+def untag(value: Column, terminated: bool = False) -> Column:
+    """Tags to blanks, entities decoded (only those with a semicolon, if ``terminated``), white space collapsed."""
+    return clean(F.regexp_replace(value, "<[^>]+>", " "), terminated=terminated)
 
 
-def _first(page: Column, patterns: list[str], flags: str) -> Column:
-    hits = [untag(F.regexp_extract(page, flags + p, 1)) for p in patterns]
+def _first(page: Column, patterns: list[str], flags: str, terminated: bool = False) -> Column:
+    hits = [untag(F.regexp_extract(page, flags + p, 1), terminated) for p in patterns]
     return F.coalesce(*[F.when(h != "", h) for h in hits])
 
 
-def page_title(value: Column | str) -> Column:
+def page_title(value: Column | str, terminated: bool = False) -> Column:
     """Title: og:title, article heading, script variable, title tag; '' when there is none."""
-    return F.coalesce(_first(as_column(value), _TITLES, "(?is)"), F.lit(""))
+    return F.coalesce(_first(as_column(value), _TITLES, "(?is)", terminated), F.lit(""))
 
 
 def page_published(value: Column | str) -> Column:

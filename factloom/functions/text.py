@@ -16,6 +16,8 @@ from factloom.rules import text as T
 SPACE = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 # A character reference, as HTML reads it: the semicolon may be missing, a name may run into what follows.
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# One that ends with its semicolon, so that a text cut inside a reference keeps what is left of it.
+_TERMINATED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[^\t\n\f <&#;]{1,32});"
 # Names that pages and feeds use most; they stand first in the table, whose look-up ends at the name.
 _COMMON = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "hellip", "mdash", "ndash", "lsquo", "rsquo", "ldquo", "rdquo", "middot"]
 # All names of the HTML list, with and without semicolon, as the text of one map.
@@ -67,13 +69,17 @@ def strip(value: Column | str) -> Column:
     return F.regexp_replace(as_column(value), f"^{SPACE}+|{SPACE}+$", "")
 
 
-def unescape(value: Column | str) -> Column:
-    """Decode HTML character references: numeric ones and all named ones, a longest known name winning."""
-    tokens = F.regexp_extract_all(as_column(value), F.lit(f"{_ENTITY}|[^&]+|&"), F.lit(0))
-    return F.when(F.contains(as_column(value), F.lit("&")), F.array_join(F.transform(tokens, _decoded), "")).otherwise(as_column(value))
+def unescape(value: Column | str, terminated: bool = False) -> Column:
+    """Decode HTML character references: numeric ones and all named ones, a longest known name winning.
+
+    ``terminated`` decodes only references that end with a semicolon and whose whole name is known.
+    """
+    tokens = F.regexp_extract_all(as_column(value), F.lit(f"{_TERMINATED if terminated else _ENTITY}|[^&]+|&"), F.lit(0))
+    decoded = F.array_join(F.transform(tokens, lambda token: _decoded(token, terminated)), "")
+    return F.when(F.contains(as_column(value), F.lit("&")), decoded).otherwise(as_column(value))
 
 
-def _decoded(token: Column) -> Column:
+def _decoded(token: Column, terminated: bool) -> Column:
     """What one token of :func:`unescape` stands for."""
     table = F.str_to_map(F.lit(_TABLE), F.lit(_NEXT), F.lit(_PAIR))
 
@@ -86,6 +92,8 @@ def _decoded(token: Column) -> Column:
     def name(text: Column) -> Column:
         start = F.regexp_extract(text, _OPEN, 0)
         whole = F.when(F.endswith(text, F.lit(";")), F.try_element_at(table, text))
+        if terminated:
+            return F.coalesce(whole, token)
         return F.coalesce(whole, F.when(start != "", F.concat(F.try_element_at(table, start), F.substring(text, F.length(start) + 1, F.length(text)))), token)
 
     digits, hexa = F.regexp_extract(token, "^&#0*([0-9]*);?$", 1), F.regexp_extract(token, "^&#[xX]0*([0-9A-Fa-f]*);?$", 1)
@@ -114,12 +122,12 @@ def _clean_sql() -> str:
     return f"trim(regexp_replace({decoded}, {q(SPACE + '+')}, ' '))"
 
 
-def clean(value: Column | str, limit: int | None = None) -> Column:
+def clean(value: Column | str, limit: int | None = None, terminated: bool = False) -> Column:
     """NULL to '', decode entities, squash white space and cut to ``limit`` characters."""
-    if isinstance(value, str):
+    if isinstance(value, str) and not terminated:
         out = F.expr(f"transform(array(coalesce(string({value}), '')), x -> {_clean_sql()})[0]")
     else:
-        out = squash(unescape(F.coalesce(value.cast("string"), F.lit(""))))
+        out = squash(unescape(F.coalesce(as_column(value).cast("string"), F.lit("")), terminated))
     return F.substring(out, 1, limit) if limit else out
 
 

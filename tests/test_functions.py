@@ -187,6 +187,12 @@ def test_html(evaluate):
     assert evaluate(H.article_text, [article]) == ["正文"]
 
 
+def test_title_cut_inside_a_reference(evaluate):
+    page = "<title>a &amp;&lt;b&hellip; &notit; x &amp</title>"
+    assert evaluate(H.page_title, [page]) == ["a &<b… ¬it; x &"]
+    assert evaluate(lambda c: H.page_title(c, terminated=True), [page]) == ["a &<b… &notit; x &amp"]
+
+
 def test_numbers(evaluate):
     assert evaluate(N.lenient_long, ["1,234", "3.9", "x", "", None, "-2"]) == [1234, 3, None, None, None, -2]
     assert evaluate(N.lenient_bool, ["1", "Yes", "deleted", "0", None]) == [True, True, True, False, False]
