@@ -63,7 +63,7 @@ def page_publisher(value: Column | str) -> Column:
     return F.coalesce(_first(as_column(value), _PUBLISHERS, "(?is)"), F.lit(DEFAULT_PUBLISHER))
 
 
-def page_text(value: Column | str, limit: int | None = None, container: str | None = None) -> Column:
+def page_text(value: Column | str, limit: int | None = None, container: str | None = None, terminated: bool = False) -> Column:
     """Main text: no scripts or page frame; the article or main block when the page has one."""
     page = F.regexp_replace(as_column(value), "(?s)<!--.*?-->", " ")
     for tag in _BLOCKS:
@@ -75,7 +75,7 @@ def page_text(value: Column | str, limit: int | None = None, container: str | No
     body = F.regexp_extract(page, "(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)", 1)
     chosen = [body] if container is None else [body, page]
     order = ([block, marked] if container is None else [marked]) + chosen
-    text = untag(F.coalesce(*[F.when(c != "", c) for c in order], F.lit("")))
+    text = untag(F.coalesce(*[F.when(c != "", c) for c in order], F.lit("")), terminated)
     return F.substring(text, 1, limit) if limit else text
 
 

@@ -193,6 +193,12 @@ def test_title_cut_inside_a_reference(evaluate):
     assert evaluate(lambda c: H.page_title(c, terminated=True), [page]) == ["a &<b… &notit; x &amp"]
 
 
+def test_text_cut_inside_a_reference(evaluate):
+    page = "<body><article><p>a &gt; b &am</p><p>c &amp</p></article></body>"
+    assert evaluate(H.page_text, [page]) == ["a > b &am c &"]
+    assert evaluate(lambda c: H.page_text(c, terminated=True), [page]) == ["a > b &am c &amp"]
+
+
 def test_numbers(evaluate):
     assert evaluate(N.lenient_long, ["1,234", "3.9", "x", "", None, "-2"]) == [1234, 3, None, None, None, -2]
     assert evaluate(N.lenient_bool, ["1", "Yes", "deleted", "0", None]) == [True, True, True, False, False]
