@@ -35,7 +35,7 @@ def _zone_offset(zone: Column, naive: int) -> Column:
     sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
     digits = F.regexp_replace(zone, "[^0-9]", "")
     hours = F.substring(digits, 1, 2).try_cast("bigint")
-    minutes = F.coalesce(F.substring(digits, 3, 2).try_cast("bigint"), F.lit(0))
+    minutes = _long(F.substring(digits, 3, 2), 0)
     named = constant_map({k: v * 3600 for k, v in _ZONES.items()})
     return (F.when((zone == "") | (zone == "-0000"), naive)
             .when(zone.rlike("^[+-]"), sign * (hours * 3600 + minutes * 60))
@@ -48,7 +48,8 @@ def _groups(text: Column, pattern: str, count: int) -> Column:
 
 
 def _long(text: Column, default: int | None = None) -> Column:
-    number = text.try_cast("bigint")
+    # A failed cast costs an exception, and most groups that are no number are empty.
+    number = F.nullif(text, F.lit("")).try_cast("bigint")
     return number if default is None else F.coalesce(number, F.lit(default))
 
 
@@ -150,13 +151,12 @@ def scoreable_epoch(event: Column, published: Column, now: Column | int) -> Colu
     return F.when(epoch <= current, epoch)
 
 
-def event_date_and_basis(*fields: tuple[Column, str]) -> tuple[Column, Column]:
-    """First date that can be read from ordered fields, and the basis text of that field."""
-    dates = [any_local_date(col) for col, _ in fields]
-    basis = F.lit("缺少可用日期")
-    for day, (_, label) in reversed(list(zip(dates, fields))):
-        basis = F.when(day.isNotNull(), label).otherwise(basis)
-    return F.coalesce(*dates), basis
+def event_date_and_basis(*fields: tuple[Column, str]) -> Column:
+    """Struct (day, basis): the first date that can be read from ordered fields, and the basis text of that field."""
+    def found(col: Column, label: str) -> Column:
+        return bind(any_local_date(col), lambda day: F.when(day.isNotNull(), F.struct(day.alias("day"), F.lit(label).alias("basis"))))
+
+    return F.coalesce(*[found(col, label) for col, label in fields], F.struct(F.lit(None).cast("date").alias("day"), F.lit("缺少可用日期").alias("basis")))
 
 
 def in_window(day: Column, as_of: Column | str, days: int) -> Column:

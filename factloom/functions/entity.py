@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import SPACE, as_column, clean, literal_pattern, matches_any, strip
+from factloom.functions.text import SPACE, as_column, bind, clean, literal_pattern, matches_any, strip
 from factloom.rules import radar as R
 from factloom.rules import text as T
 
@@ -85,22 +85,22 @@ def tidy_company(value: Column | str) -> Column:
 
 def is_company(name: Column, rules: R.RadarRules) -> Column:
     """Whether a cleaned name can be a company."""
-    key = radar_key(name)
-    banned = key.isin(sorted({_word_key(w) for w in rules.entity_stopwords + rules.mature_entities} - {""}))
-    return (F.length(key).between(2, 30) & ~banned & ~matches_any(name, rules.generic_entities)
-            & ~name.rlike(f"(?:{'|'.join(R.BAD_ENTITY_ENDINGS)})$")
-            & ~key.rlike("^\\d+(?:\\.\\d+)?(?:亿|万|元)?$"))
+    banned = sorted({_word_key(w) for w in rules.entity_stopwords + rules.mature_entities} - {""})
+    good_key = bind(radar_key(name), lambda key: F.length(key).between(2, 30) & ~key.isin(banned) & ~key.rlike("^\\d+(?:\\.\\d+)?(?:亿|万|元)?$"))
+    return good_key & ~matches_any(name, rules.generic_entities) & ~name.rlike(f"(?:{'|'.join(R.BAD_ENTITY_ENDINGS)})$")
 
 
 def company_in_title(value: Column | str, rules: R.RadarRules) -> Column:
     """Company named by a headline: quoted, else before an event verb, else before a colon."""
-    title = F.regexp_replace(clean(value), "\\s+-\\s+[^-]{1,40}$", "")
-    quoted = [F.slice(F.regexp_extract_all(title, F.lit("(?i)" + p), F.lit(1)), 1, 1) for p in _QUOTED]
-    verbs = F.regexp_extract_all(title, F.lit("(?i)" + _BEFORE_VERB), F.lit(1))
-    verbs = F.transform(verbs, lambda m: F.element_at(F.split(m, "[：:｜|！!?，,；;]"), -1))
-    colon = F.filter(F.array(F.regexp_extract(title, "^([^：:｜|]{2,30})[：:｜|]", 1)), lambda x: x != "")
-    names = F.transform(F.concat(*quoted, verbs, colon), tidy_company)
-    return F.try_element_at(F.filter(names, lambda n: is_company(n, rules)), F.lit(1))
+    def named(title: Column) -> Column:
+        quoted = [F.slice(F.regexp_extract_all(title, F.lit("(?i)" + p), F.lit(1)), 1, 1) for p in _QUOTED]
+        verbs = F.regexp_extract_all(title, F.lit("(?i)" + _BEFORE_VERB), F.lit(1))
+        verbs = F.transform(verbs, lambda m: F.element_at(F.split(m, "[：:｜|！!?，,；;]"), -1))
+        colon = F.filter(F.array(F.regexp_extract(title, "^([^：:｜|]{2,30})[：:｜|]", 1)), lambda x: x != "")
+        names = F.transform(F.concat(*quoted, verbs, colon), tidy_company)
+        return F.try_element_at(F.filter(names, lambda n: is_company(n, rules)), F.lit(1))
+
+    return bind(F.regexp_replace(clean(value), "\\s+-\\s+[^-]{1,40}$", ""), named)
 
 
 def guess_entity(given: Column, query: Column, title: Column, host: Column) -> Column:
@@ -130,9 +130,8 @@ def usable_followup(name: Column) -> Column:
 
 def followup_company(title: Column, account: Column, rules: R.RadarRules) -> Column:
     """Company of a lead: from its title, else its account name; '' when neither can be used."""
-    named, account_name = company_in_title(title, rules), clean(account)
-    return (F.when(usable_followup(named), named)
-            .when(usable_followup(account_name), account_name).otherwise(""))
+    usable = lambda name: F.when(usable_followup(name), name)
+    return F.coalesce(bind(company_in_title(title, rules), usable), bind(clean(account), usable), F.lit(""))
 
 
 

@@ -234,7 +234,7 @@ def safety_class(value: Column | str) -> Column:
     """'public', or why a URL must not be fetched: scheme, host, user_info, localhost, private_ip."""
     url = web_url(value)
     name = host(url)
-    octets = F.transform(F.split(name, "\\."), lambda x: x.try_cast("int"))
+    octets = F.transform(F.split(name, "\\."), lambda x: F.when(x.rlike("^[0-9]+$"), x.try_cast("int")))
     is_v4 = name.rlike("^(?:(?:0|[1-9]\\d{0,2})\\.){3}(?:0|[1-9]\\d{0,2})$") & (F.array_max(octets) <= 255)
     a, b, c = (F.try_element_at(octets, F.lit(i)) for i in (1, 2, 3))
     d = F.try_element_at(octets, F.lit(4))
@@ -249,7 +249,7 @@ def safety_class(value: Column | str) -> Column:
                                                           "2001:0?1[0-9a-f]{2}:|2002:|3fff:)")
     place = F.regexp_replace(authority(url), "^.*@", "")
     digits = F.regexp_extract(place, ":([^:\\]]*)$", 1)
-    bad_port = digits.rlike("[^0-9]") | (F.coalesce(digits.try_cast("int"), F.lit(0)) > 65535)
+    bad_port = digits.rlike("[^0-9]") | (F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(0)) > 65535)
     return (F.when(url == "", "scheme").when((name == "") | bad_port, "host")
             .when(F.contains(authority(url), F.lit("@")), "user_info")
             .when((name == "localhost") | F.endswith(name, F.lit(".localhost")), "localhost")

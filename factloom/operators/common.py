@@ -32,6 +32,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """One element per row: a costly column is computed once, as filters on it stay above this step."""
+    return df.select(*[x for x in df.columns if x != name], F.explode_outer(F.array(name)).alias(name))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the table is checked to be small; else leave the join to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

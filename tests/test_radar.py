@@ -152,6 +152,23 @@ def test_followups(spark):
     assert {(r["url"], r["seed_url"]) for r in hits} == {("n1", "u1"), ("n4", "u5")}
 
 
+def test_costly_columns_are_computed_once(spark):
+    leads = spark.createDataFrame([(1, "u1", "甲芯半导体完成A轮融资", "号", "2026-08-20T03:00:00Z", 3)],
+                                  "seq bigint, url string, title string, account_name string, discovered_at string, discovery_rank int")
+    plan = R.followup_seeds(leads, "2026-08-21")._jdf.queryExecution().optimizedPlan().toString()
+    # The pattern of names before an event verb: once, for the one company of a lead.
+    assert plan.count("regexp_extract_all(") <= 8
+
+
+def test_accepted_equals_the_gated_rows_of_the_windows(spark):
+    rows = [record(i, f"{'甲乙丙丁'[i % 4]}芯科技", f"2026-07-{1 + i % 28:02d}", ["量产", "融资", "晴天"][i % 3]) for i in range(60)] + [record(60, "", None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = R.in_windows(R.gate(frame, RULES), "2026-07-09", "2026-07-16", 7)
+    got = R.accepted(frame, "2026-07-09", "2026-07-16", 7, RULES)
+    assert got.columns == want.columns and got.count() > 0
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_fetch_list(spark):
     cands = spark.createDataFrame([("a", "2026-08-20T00:00:00Z", 2, 1), ("a", "2026-08-21T00:00:00Z", 1, 2),
                                    ("b", "2026-08-20T00:00:00Z", 1, 3), ("c", "2026-08-20T00:00:00Z", 1, 4),
