@@ -140,6 +140,8 @@ def ground_quotes(evidence: DataFrame, pages: DataFrame, squashed: bool = False)
 ANCHORS = (1, 2, 4, 8)
 #: Anchors of a quote whose pages are counted, spread over it; any of them finds all its places.
 CANDIDATES = 32
+#: Up to so many distinct quotes, and bytes of them, are looked for one by one: cheaper than the substrings of the pages.
+DIRECT_QUOTES, DIRECT_BYTES = 2_000, 1_000_000
 #: Quotes, and bytes of them, that one scan of the pages looks for.
 SCAN_QUOTES, SCAN_BYTES = 200_000, 64_000_000
 #: Bits of the filter that a scan tests grams with: sixteen per key, within these bounds (32 kB to 8 MB).
@@ -182,11 +184,14 @@ def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     pages hold.  A first scan counts the pages of the candidates, a second one tests ``contains`` where a page has an
     anchor; both drop all other substrings by a bitmap before they leave the row, and no page is shuffled.  A quote with a
     candidate that no page holds is nowhere.  More than ``SCAN_QUOTES`` quotes take more scans, so what is broadcast is
-    bounded.  ``quotes`` needs quote_id and quote, ``pages`` page_id and page_text; a pair of quote and page row comes once.
+    bounded.  A few quotes (``DIRECT_QUOTES``) are looked for in one scan without anchors.  ``quotes`` needs quote_id and quote, ``pages`` page_id and page_text; a pair of quote and page row comes once.
     """
     given = quotes.select("quote_id", "quote").filter(F.col("quote") != "")
     wanted = checkpointed(given.withColumn("_batch", F.xxhash64("quote")))
-    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("quote").cast("bigint")), F.lit(0)).alias("b")).first()
+    size = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("quote").cast("bigint")), F.lit(0)).alias("b")]
+    total, different = wanted.agg(*size).first(), wanted.select("quote").distinct().agg(*size).first()
+    if different["n"] <= DIRECT_QUOTES and different["b"] <= DIRECT_BYTES:
+        return _search_directly(wanted.select("quote_id", "quote"), pages)
     scans = max(1, -(-total["n"] // SCAN_QUOTES), -(-total["b"] // SCAN_BYTES))
     out = None
     for k in range(scans):
@@ -196,6 +201,14 @@ def search_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return out
 
 
+def _search_directly(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Search of few quotes: each page is asked for every distinct one, and no text leaves its row."""
+    held = quotes.agg(F.collect_set("quote").alias("_quotes"))  # bounded by DIRECT_QUOTES and DIRECT_BYTES
+    found = beside(pages.select("page_id", "page_text"), held).select(
+        "page_id", F.explode(F.filter("_quotes", lambda q: F.contains("page_text", q))).alias("quote"))
+    return found.join(small(quotes), "quote").select("quote_id", "page_id")
+
+
 def _search_once(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     length = F.length("quote")
     size = F.lit(ANCHORS[0])

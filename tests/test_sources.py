@@ -252,6 +252,19 @@ def test_quote_search_equals_contains(spark, monkeypatch, per_scan):
     assert E.search_quotes(frames[0].limit(0), frames[1]).count() == 0 and E.search_quotes(frames[0], frames[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_scan", [200_000, 120])
+def test_quote_search_by_anchors(spark, monkeypatch, per_scan):
+    monkeypatch.setattr(E, "DIRECT_QUOTES", 0)
+    test_quote_search_equals_contains(spark, monkeypatch, per_scan)
+
+
+def test_few_quotes_cut_no_page_into_substrings(spark):
+    frames = spark.createDataFrame([(1, "text of"), (2, "text of")], "quote_id int, quote string"), spark.createDataFrame([(1, "some text of a page")], "page_id int, page_text string")
+    found = E.search_quotes(*frames)
+    assert "xxhash64" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1)]
+
+
 def test_quote_search_moves_no_page(spark):
     pages = spark.createDataFrame([(1, "some text of a page")], "page_id int, page_text string")
     plan = E.search_quotes(spark.createDataFrame([(1, "text of")], "quote_id int, quote string"), pages)._jdf.queryExecution().executedPlan().toString()
