@@ -14,7 +14,7 @@ from factloom.operators import evidence as E
 from factloom.operators import joins as J
 from factloom.operators import radar as R
 from factloom.operators import scoring as S
-from factloom.operators.common import indexed
+from factloom.operators.common import checkpointed, indexed
 from factloom.plans.columns import HOST_RULES, HOST_SQL, _rule_values, _page_text_sql
 from factloom.plans.registry import AS_OF, NOW, Tables, query
 from factloom.rules import radar as RR
@@ -379,7 +379,7 @@ def radar_gates(t: Tables) -> DataFrame:
 WITH {_gate_sql()}, d AS (SELECT unnest(generate_series(DATE '2024-01-20', DATE '{AS_OF}', INTERVAL 1 DAY))::DATE AS as_of)
 SELECT as_of, count(*) AS n, count(DISTINCT company_key) AS companies FROM d JOIN gated ON reject_reason IS NULL AND event_day BETWEEN as_of - 6 AND as_of GROUP BY 1""")
 def radar_windows(t: Tables) -> DataFrame:
-    rows = R.in_windows(R.gate(t.records), "2024-01-20", AS_OF, 7)
+    rows = R.accepted(t.records, "2024-01-20", AS_OF, 7)
     return rows.groupBy("as_of").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("company_key").alias("companies"))
 
 
@@ -396,8 +396,10 @@ _SAME = """(x.k = r.ck OR (least(length(x.k), length(r.ck)) >= 4 AND abs(length(
 
 @query("radar_order", "W3 P4", f"WITH {_ranked_sql()} SELECT rn AS rank, seq, company FROM cand")
 def radar_order(t: Tables) -> DataFrame:
-    rows = R.in_windows(R.gate(t.records), AS_OF, AS_OF, 7)
-    ranked = indexed(rows.select("rank_exact", "entity_confidence", "rank_variable", "event_day", "company_key", "seq", "company"), R.radar_order(), "rank")
+    rows = R.accepted(t.records, AS_OF, AS_OF, 7)
+    # Stored, as the sort reads its rows twice: for its ranges and to deal them.
+    rows = checkpointed(rows.select("rank_exact", "entity_confidence", "rank_variable", "event_day", "company_key", "seq", "company"))
+    ranked = indexed(rows, R.radar_order(), "rank")
     return ranked.select((c("rank") + 1).alias("rank"), "seq", "company")
 
 
