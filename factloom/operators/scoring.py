@@ -9,7 +9,7 @@ from factloom.functions import numbers as N
 from factloom.functions import text as X
 from factloom.functions.numbers import half_even
 from factloom.operators import evidence as E
-from factloom.operators.common import constant_table, indexed
+from factloom.operators.common import constant_table, indexed, settled
 from factloom.rules import scoring as S
 from factloom.rules import text as T
 
@@ -429,4 +429,6 @@ def sub_dimension_rows(scored: DataFrame) -> DataFrame:
 
 def gate_rows(scored: DataFrame) -> DataFrame:
     """One row per company and hard gate it hits."""
-    return scored.select("entity_key", "entity", "pre_gate_score", "total_score", F.inline("gates"))
+    columns = ["entity_key", "entity", "pre_gate_score", "total_score"]
+    # Settled, else the filter of empty arrays computes all gates once more below.
+    return settled(scored.select(*columns, "gates"), "gates").select(*columns, F.inline("gates"))

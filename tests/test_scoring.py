@@ -177,3 +177,11 @@ def test_report_outputs(spark):
     assert abs(expected - first["pre_gate_score"]) < 0.11
     assert S.sub_dimension_rows(scored).count() == 70
     assert S.gate_rows(scored).count() >= 2
+
+
+def test_gates_are_computed_once(spark):
+    flags = spark.range(3).select(F.col("id").alias("entity_key"), F.lit("e").alias("entity"), F.lit(1.0).alias("pre_gate_score"), F.lit(1.0).alias("total_score"),
+                                  F.filter(F.array(F.struct(F.concat(F.lit("g"), F.col("id")).alias("name"), F.lit(5).alias("cap"))), lambda g: g["name"] != "g1").alias("gates"))
+    rows = S.gate_rows(flags)
+    assert sorted((r["entity_key"], r["name"]) for r in rows.collect()) == [(0, "g0"), (2, "g2")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("concat(g") == 1
