@@ -14,6 +14,10 @@ from factloom.rules import text as T
 
 # Unicode white space as one character class.
 SPACE = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# The characters of this class.
+_SPACES = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+# Characters on either side of a Han one that :func:`near_han` keeps.
+_NEAR = 8
 # A character reference, as HTML reads it: the semicolon may be missing, a name may run into what follows.
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 # One that ends with its semicolon, so that a text cut inside a reference keeps what is left of it.
@@ -66,7 +70,7 @@ def squash(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(as_column(value), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(as_column(value), F.lit(_SPACES))
 
 
 def unescape(value: Column | str, terminated: bool = False) -> Column:
@@ -159,6 +163,16 @@ def literal_pattern(words: list[str]) -> str:
     return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words)
 
 
+def near_han(value: Column | str) -> Column:
+    """The text without the middle of long runs of characters that are not Han: a word that :func:`is_near_han` accepts is found in it just as in the text."""
+    return F.regexp_replace(as_column(value), f"([^\\u4e00-\\u9fff]{{{_NEAR}}})[^\\u4e00-\\u9fff]+([^\\u4e00-\\u9fff]{{{_NEAR}}})", "$1\u0001$2")
+
+
+def is_near_han(word: str) -> bool:
+    """Whether a word has a Han character, no run of more others than :func:`near_han` keeps, and not its mark."""
+    return all(len(run) <= _NEAR for run in re.split("[\u4e00-\u9fff]", word)) and re.search("[\u4e00-\u9fff]", word) is not None and "\u0001" not in word
+
+
 def has_any(value: Column | str, words: list[str]) -> Column:
     """Whether the text holds any of the words (the words must be lowercase for a lowercase text)."""
     return F.coalesce(as_column(value).rlike(literal_pattern(words)), F.lit(False))

@@ -37,6 +37,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[x for x in df.columns if x != name], F.explode_outer(F.array(name)).alias(name))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows to all cores by unique keys before costly work on each: a file of few row groups is read by few tasks, whatever its rows take."""
+    session = df.sparkSession
+    return df.repartition(max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the table is checked to be small; else leave the join to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -79,7 +79,7 @@ def normalize(evidence: DataFrame, now: int) -> DataFrame:
     })
     has_text = (F.col("title") != "") | (F.col("quote") != "")
     verified = F.coalesce(F.col("quote_verified"), F.lit(False))
-    return df.withColumns({
+    df = df.withColumns({
         "source_tier": U.normal_tier(F.col("source_tier"), F.col("source_domain")),
         "age": D.age_days(F.col("fact_epoch"), now),
         "traceability": F.when(F.col("source_url") == "", "missing")
@@ -90,10 +90,13 @@ def normalize(evidence: DataFrame, now: int) -> DataFrame:
         "blob": F.lower(F.concat_ws(" ", "entity", "title", "quote", "tag_text", "claim_type", "stance")),
         "event_text": F.lower(F.concat_ws(" ", "event_type", "title", "summary")),
         "profile_text": F.lower(F.concat_ws(" ", "title", "summary", "tag_text", "event_type", "platform")),
-        "negative": X.is_negative(F.col("stance"), F.when(F.col("claim_type") != "", F.col("claim_type"))
-                                  .otherwise(F.col("event_type")),
-                                  F.concat_ws(" ", "title", "quote", "event_type")),
+        "_said": X.near_han(F.concat_ws(" ", "title", "quote", "event_type")),
     })
+    return df.withColumns({
+        "negative": X.is_negative(F.col("stance"), F.when(F.col("claim_type") != "", F.col("claim_type"))
+                                  .otherwise(F.col("event_type")), F.col("_said")),
+        **{f"{k}_near": X.near_han(k) for k in ("blob", "event_text", "profile_text")},
+    }).drop("_said")
 
 
 # -- grounding ------------------------------------------------------------------------------------
@@ -257,13 +260,14 @@ def momentum_class() -> tuple[Column, Column]:
     recent = ~F.col("negative") & F.coalesce(F.col("age") <= 90, F.lit(False))
     signal, points = F.when(F.lit(False), ""), F.when(F.lit(False), 0)
     for name, value, words in S.MOMENTUM:
-        test = recent & X.has_any("event_text", words)
+        test = recent & F.expr(_words("event_text", words))
         signal, points = signal.when(test, name), points.when(test, int(value * 10))
     return signal, F.coalesce(points, F.lit(0))
 
 
 def _words(column: str, words: list[str]) -> str:
-    return f"{column} RLIKE {X.sql_text(X.literal_pattern(words))}"
+    """SQL of whether a text has any of the words; words with Han characters are looked for in its short form only."""
+    return "(" + " OR ".join(f"contains({column}{'_near' if X.is_near_han(w) else ''}, {X.sql_text(w)})" for w in words) + ")"
 
 
 def _row_counters(topic: list[str]) -> tuple[dict[str, str], dict[str, str]]:
@@ -307,23 +311,33 @@ def topic_words(topic: str) -> list[str]:
     return list(dict.fromkeys(topic.replace("，", " ").replace(",", " ").lower().split()))
 
 
+def counter_rows(items: DataFrame, topic: str = "", keep: list[str | Column] = ()) -> DataFrame:
+    """The numbers and flags of every normalised row that :func:`summed_counters` adds up, beside the columns to ``keep``."""
+    sums, flags = _row_counters(topic_words(topic))
+    rows = items.withColumns({
+        "tier_points": U.tier_score(F.col("source_tier")), "momentum_tenths": momentum_class()[1],
+        "sector_text": F.lower(F.concat_ws(" ", "title", "summary", "tag_text")),
+        "overlap_text": F.lower(F.concat_ws(" ", "entity", "quote", "tag_text")),
+        "claim": X.strip(F.when(F.col("claim_type") != "", F.col("claim_type")).otherwise(F.col("event_type"))),
+    }).withColumn("sector_text_near", X.near_han("sector_text"))
+    return rows.select("entity_key", "source_domain", "claim", *keep, *[F.expr(v).alias(k) for k, v in {**sums, **flags}.items()])
+
+
 def entity_counters(items: DataFrame, topic: str = "") -> DataFrame:
-    """All counters of an entity in one pass over its normalised evidence.
+    """All counters of an entity in one pass over its normalised evidence."""
+    return summed_counters(counter_rows(items, topic), topic)
+
+
+def summed_counters(rows: DataFrame, topic: str = "") -> DataFrame:
+    """All counters of an entity from the rows of :func:`counter_rows`.
 
     Rows are summed per (entity, host, claim), then per (entity, host), then per entity.  Sums run
     before each shuffle, and distinct hosts are counted as groups, so a hot entity is spread over its
     hosts and claims and no distinct set is kept in memory.
     """
     sums, flags = _row_counters(topic_words(topic))
-    named = {**sums, **flags}
-    rows = items.withColumns({
-        "tier_points": U.tier_score(F.col("source_tier")), "momentum_tenths": momentum_class()[1],
-        "sector_text": F.lower(F.concat_ws(" ", "title", "summary", "tag_text")),
-        "overlap_text": F.lower(F.concat_ws(" ", "entity", "quote", "tag_text")),
-        "claim": X.strip(F.when(F.col("claim_type") != "", F.col("claim_type")).otherwise(F.col("event_type"))),
-    }).selectExpr("entity_key", "source_domain", "claim", *[f"{v} AS {k}" for k, v in named.items()])
     totals = ", ".join([f"sum({k}) AS {k}" for k in sums] + [f"max({k}) AS {k}" for k in flags])
-    spark = items.sparkSession
+    spark = rows.sparkSession
     by_claim = spark.sql(f"SELECT entity_key, source_domain, claim, {totals} FROM {{rows}} "
                          "GROUP BY entity_key, source_domain, claim", rows=rows)
     support = {}
@@ -439,13 +453,13 @@ def evidence_order() -> list[Column]:
     return [F.desc(F.coalesce("importance", F.lit(0))), F.asc(F.coalesce("age", F.lit(99999))), F.asc("seq")]
 
 
-def leading_evidence(items: DataFrame) -> DataFrame:
-    """First five risks, six momentum signals and three titles per entity, in evidence order.
-
-    All three lists come from one shuffle, and only rows that can reach a list are shuffled.
-    """
+def evidence_roles() -> Column:
+    """The roles a normalised row can have in the lists of :func:`leading_evidence`."""
     importance = N.clamp(F.coalesce(F.col("importance"), F.lit(2)), 1, 5)
-    risk_type = X.first_rule("blob", S.RISK_TYPES, S.RISK_TYPE_DEFAULT)
+    risk_type = F.when(F.lit(False), "")
+    for name, words in S.RISK_TYPES:
+        risk_type = risk_type.when(F.expr(_words("blob", words)), name)
+    risk_type = risk_type.otherwise(S.RISK_TYPE_DEFAULT)
     description = F.when(F.col("quote") != "", F.col("quote")).when(F.col("title") != "", F.col("title")) \
         .otherwise("公开来源出现风险或矛盾表述。")
     severity = F.when(importance >= 4, "高").when(importance >= 3, "中").otherwise("低")
@@ -453,10 +467,18 @@ def leading_evidence(items: DataFrame) -> DataFrame:
     blank = F.lit("")
     role = lambda name, a, b=blank, c=blank, d=blank: F.struct(
         F.lit(name).alias("role"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
-    roles = F.filter(F.array(
+    return F.filter(F.array(
         F.when(F.col("negative"), role("risk", risk_type, F.substring(description, 1, 120), severity, probability)),
         F.when(momentum_class()[0].isNotNull(), role("momentum", momentum_class()[0])),
         role("title", F.col("title"))), lambda r: r.isNotNull())
+
+
+def leading_evidence(items: DataFrame) -> DataFrame:
+    """First five risks, six momentum signals and three titles per entity, in evidence order.
+
+    All three lists come from one shuffle, and only rows that can reach a list are shuffled. Rows may bring their ``roles``.
+    """
+    roles = F.col("roles") if "roles" in items.columns else evidence_roles()
     rows = items.select("entity_key", "seq", "importance", "age", F.inline(roles))
     limit = F.when(F.col("role") == "risk", 5).when(F.col("role") == "momentum", 6).otherwise(3)
     top = top_per_group(rows, ["entity_key", "role"], evidence_order(), 6).filter(F.col("_rank") <= limit)
@@ -471,13 +493,18 @@ def leading_evidence(items: DataFrame) -> DataFrame:
         .alias("core_product"))
 
 
-# Facts of a company text: kind, pattern, group, how many.
+# Facts of a company text: kind, pattern, group, how many; and words of which every lowercase match holds one.
 TEXT_FACTS = [
     ("latest_round", S.ROUND_PATTERN, 1, 1), ("funding_total", S.AMOUNT_PATTERN, 1, 1),
     ("latest_valuation", S.VALUATION_PATTERN, 1, 1), ("gross_margin_text", S.MARGIN_PATTERN, 1, 1),
     ("revenue_text", S.REVENUE_PATTERN, 1, 1), ("growth_text", S.GROWTH_PATTERN, 0, 2),
     ("rivals", S.RIVAL_PATTERN, 1, 3),
 ]
+FACT_HEADS = {
+    "latest_round": ["pre-", "pre ipo", "seed", "angel", "轮"], "funding_total": ["亿", "万"], "latest_valuation": ["估值", "valuation"],
+    "gross_margin_text": ["毛利率"], "revenue_text": ["营收"], "growth_text": ["同比", "yoy", "增长", "提升"],
+    "rivals": ["对标", "相比", "竞争对手为", "替代"],
+}
 BLOCK_ROWS = 256
 TAIL_ROWS = 32
 
@@ -531,8 +558,11 @@ def text_facts(items: DataFrame, names: DataFrame) -> DataFrame:
     def rows_of(kind: str, matches: Column) -> Column:
         return F.transform(matches, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("value")))
 
-    facts = F.flatten(F.array(*[rows_of(k, fact_matches(F.col("text"), F.col("own"), p, g, n))
-                                for k, p, g, n in TEXT_FACTS]))
+    def found(kind: str, pattern: str, group: int, count: int) -> Column:
+        heads = F.expr(" OR ".join(f"contains(text, {X.sql_text(w)})" for w in FACT_HEADS[kind]))
+        return F.when(heads, fact_matches(F.col("text"), F.col("own"), pattern, group, count)).otherwise(F.array().cast("array<string>"))
+
+    facts = F.flatten(F.array(*[rows_of(k, found(k, p, g, n)) for k, p, g, n in TEXT_FACTS]))
     rows = texts.select("entity_key", "block", F.inline(facts))
     top = top_per_group(rows, ["entity_key", "kind"], [F.asc("block"), F.asc("i")], 3)
     limits = X.constant_map([(k, n) for k, _, _, n in TEXT_FACTS])

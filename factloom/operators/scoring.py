@@ -9,7 +9,7 @@ from factloom.functions import numbers as N
 from factloom.functions import text as X
 from factloom.functions.numbers import half_even
 from factloom.operators import evidence as E
-from factloom.operators.common import constant_table, indexed, settled
+from factloom.operators.common import checkpointed, constant_table, indexed, settled, spread
 from factloom.rules import scoring as S
 from factloom.rules import text as T
 
@@ -368,9 +368,11 @@ def with_breakdown(df: DataFrame, topic: str) -> DataFrame:
 
 def company_profile(evidence: DataFrame, now: int, topic: str = "", strict: bool = False) -> DataFrame:
     """One wide row per company: counters, scores of its evidence and inferred facts."""
-    items = E.normalize(E.admit(evidence, strict), now)
+    items = E.normalize(E.admit(spread(evidence, "seq"), strict), now)
+    # Stored, as names, counters, lists and text facts read it: the texts are searched once.
+    items = checkpointed(E.counter_rows(items, topic, ["entity", "seq", "importance", "age", "profile_text", E.evidence_roles().alias("roles")]))
     names = E.entity_names(items)
-    counters = E.with_evidence_scores(E.entity_counters(items, topic))
+    counters = E.with_evidence_scores(E.summed_counters(items, topic))
     df = counters.join(names.select("entity_key", "entity", "alias_count"), "entity_key")
     df = df.join(E.leading_evidence(items), "entity_key", "left").join(E.text_facts(items, names), "entity_key", "left")
     blanks = {k: F.coalesce(c(k), F.lit("")) for k in ["latest_round", "funding_total", "latest_valuation",

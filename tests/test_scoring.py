@@ -1,9 +1,12 @@
+import random
+import re
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
+from factloom.functions import text as X
 from factloom.operators import evidence as E
 from factloom.operators import scoring as S
 from factloom.rules import scoring as R
@@ -185,3 +188,37 @@ def test_gates_are_computed_once(spark):
     rows = S.gate_rows(flags)
     assert sorted((r["entity_key"], r["name"]) for r in rows.collect()) == [(0, "g0"), (2, "g2")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("concat(g") == 1
+
+
+def test_word_groups_in_the_short_form_equal_whole_texts(spark):
+    """Words are found beside long stretches of other letters just as by a pattern over the whole text."""
+    groups = [*R.HIT_GROUPS.values(), *R.TEXT_FLAGS.values(), R.FINANCING_WORDS, R.RISK_WORDS, R.OBJECTIVE_CUSTOMER]
+    words = sorted({w for g in groups for w in g})
+    rng = random.Random(4)
+    noise = ["x" * n for n in (1, 7, 8, 9, 16, 17, 18, 40)] + ["世界", "50", "前", "3", "年", "a", " ", "\n", "𝒳" * 9, "-"]
+    texts = ["".join(rng.choice([rng.choice(noise), rng.choice(words), rng.choice(words)[:-1]]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "blob string").withColumn("blob_near", X.near_han("blob"))
+    tests = [F.expr(E._words("blob", g)).alias(f"g{i}") for i, g in enumerate(groups)]
+    for row in df.select("blob", "blob_near", *tests).collect():
+        assert [row[f"g{i}"] for i in range(len(groups))] == [any(w in row["blob"] for w in g) for g in groups], row["blob"]
+        assert len(row["blob_near"]) <= len(row["blob"])
+
+
+def test_fact_heads_hide_no_match():
+    for kind, pattern, _, _ in E.TEXT_FACTS:
+        for text in ("pre-a+", "pre ipo", "seed", "c+轮", "天使轮", "约 人民币 3.5 亿美金", "20 万人民币", "valuation about 3亿元", "投后估值：2 亿元", "yoy 30%", "提升大幅增长", "毛利率 4.5%", "营收超过3万", "相比某某", "竞争对手为甲"):
+            if re.search(pattern, text):
+                assert any(w in text for w in E.FACT_HEADS[kind]), (kind, text)
+
+
+def test_profile_reads_the_evidence_once(spark):
+    """Names, counters, lists and text facts read stored rows: no word search is left in the plan of the profile."""
+    plan = S.company_profile(table(spark, [item(i, "客户签约") for i in range(3)]), NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "source_title" not in plan and "quote_verified" not in plan
+
+
+def test_evidence_of_one_split_is_scored_by_many_tasks(spark):
+    rows = table(spark, [item(i, "客户签约") for i in range(64)]).coalesce(1)
+    stored = S.company_profile(rows, NOW)
+    sizes = E.entity_counters(E.normalize(E.admit(S.spread(rows, "seq")), NOW)).count(), S.spread(rows, "seq").rdd.getNumPartitions()
+    assert stored.first()["n"] == 64 and sizes[0] == 1 and sizes[1] > 4
