@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import evidence as E
 from factloom.operators import scoring as S
+from factloom.operators.common import spread
 from factloom.plans.registry import DERIVED, Tables, query
 from factloom.rules import scoring as R
 from factloom.rules import text as T
@@ -64,7 +65,9 @@ def scored_facts(t: Tables) -> DataFrame:
     """The chain from company facts to scores."""
     risk = lambda severity, probability, n: F.array_repeat(F.struct(
         F.lit("类").alias("risk_type"), F.lit("述").alias("description"), F.lit(severity).alias("severity"), F.lit(probability).alias("probability")), c(n))
-    facts = t.company_facts.withColumns({
+    # Only their keys are dealt; all facts of a customer follow from its key.
+    customers = spread(t.customer.select("c_custkey"), "c_custkey")
+    facts = t.spark.sql(DERIVED["company_facts"], customer=customers).withColumns({
         "rivals": F.filter(F.split("rival_text", ";"), lambda x: x != ""), "risks": F.concat(risk("高", "高", "highs"), risk("中", "中", "mediums"), risk("低", "中", "lows")),
         "momentum_signals": F.array().cast("array<string>"), "core_product": F.lit("")})
     return S.with_breakdown(S.with_total_score(S.with_dimension_scores(S.with_inferred_facts(facts))), "")
