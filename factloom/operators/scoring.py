@@ -406,8 +406,8 @@ def report_order() -> list[Column]:
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:
-    """Add the exact report rank (from 1)."""
-    return indexed(scored, report_order(), "rank").withColumn("rank", c("rank") + 1)
+    """Add the exact report rank (from 1).  Scores are stored first, as sampling the order and sorting each read them."""
+    return indexed(checkpointed(scored), report_order(), "rank").withColumn("rank", c("rank") + 1)
 
 
 def dimension_rows(scored: DataFrame) -> DataFrame:

@@ -222,3 +222,20 @@ def test_evidence_of_one_split_is_scored_by_many_tasks(spark):
     stored = S.company_profile(rows, NOW)
     sizes = E.entity_counters(E.normalize(E.admit(S.spread(rows, "seq")), NOW)).count(), S.spread(rows, "seq").rdd.getNumPartitions()
     assert stored.first()["n"] == 64 and sizes[0] == 1 and sizes[1] > 4
+
+
+def test_facts_of_one_split_are_scored_by_many_tasks(spark):
+    from factloom.plans import scores
+    from factloom.plans.registry import Tables
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert tables.customer.rdd.getNumPartitions() == 1
+    assert scores.scored_facts(tables).select("entity_key").rdd.getNumPartitions() > 4
+
+
+def test_ranking_sorts_stored_scores(spark, monkeypatch):
+    """Scores are computed once, not again for the sample of the order."""
+    seen = []
+    monkeypatch.setattr(S, "indexed", lambda df, order, name: seen.append(df) or df.withColumn(name, F.lit(0)))
+    S.rank_candidates(spark.range(3).selectExpr("id + 1 AS n"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "ExistingRDD" in plan or "LogicalRDD" in plan
