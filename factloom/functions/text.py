@@ -129,7 +129,9 @@ def _clean_sql() -> str:
 def clean(value: Column | str, limit: int | None = None, terminated: bool = False) -> Column:
     """NULL to '', decode entities, squash white space and cut to ``limit`` characters."""
     if isinstance(value, str) and not terminated:
-        out = F.expr(f"transform(array(coalesce(string({value}), '')), x -> {_clean_sql()})[0]")
+        # Texts without a reference, most of them, need no decoding and so no lambda; blank ones need nothing.
+        text, spaces = f"coalesce(string({value}), '')", sql_text(SPACE + "+")
+        out = F.expr(f"CASE WHEN {text} = '' THEN '' WHEN contains({text}, '&') THEN transform(array({text}), x -> {_clean_sql()})[0] ELSE trim(regexp_replace({text}, {spaces}, ' ')) END")
     else:
         out = squash(unescape(F.coalesce(as_column(value).cast("string"), F.lit("")), terminated))
     return F.substring(out, 1, limit) if limit else out

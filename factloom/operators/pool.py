@@ -10,7 +10,7 @@ from factloom.functions import numbers as N
 from factloom.functions import text as X
 from factloom.functions import url as U
 from factloom.functions.entity import account_key
-from factloom.operators.common import beside, indexed
+from factloom.operators.common import beside, checkpointed, indexed, spread
 from factloom.operators.dedupe import merge_last_non_blank, url_owner
 from factloom.operators.joins import new_and_known
 from factloom.rules import text as T
@@ -44,6 +44,8 @@ TEXT_LIMITS = {"title": 1000, "author": 500, "digest": 20_000, "cover_url": 4000
                "discovery_query": 2000, "discovery_provider": 120}
 COUNTS = ["read_count", "like_count", "share_count", "favorite_count", "comment_count", "discovery_rank", "itemidx",
           "copyright_type", "copyright_stat"]
+# Fields of a normalised row that a preview reads.
+PREVIEW_FIELDS = ["seq", *KEYS, "reject_reason", "publish_time", "group_key", "copyright_type", "copyright_stat", "is_deleted"]
 
 
 def alias_value(df: DataFrame, names: list[str], raw: str = "raw") -> str:
@@ -60,7 +62,8 @@ def normalize_articles(rows: DataFrame, fallback_account: str, fetch_mode: str =
 
     Only the listed fields are kept, so credentials in the input are never stored.
     """
-    seq = "seq" if "seq" in rows.columns else "monotonically_increasing_id()"
+    # Rows that bring their order are dealt to all cores first: reading URLs, texts and dates is the cost of an import.
+    rows, seq = (spread(rows, "seq"), "seq") if "seq" in rows.columns else (rows, "monotonically_increasing_id()")
     v = rows.selectExpr(f"{seq} AS seq", *[f"{alias_value(rows, names)} AS {k}" for k, names in ALIASES.items()])
     # One element per row: filters on the reason stay above this step, so no URL is read twice.
     v = v.select("*", F.explode_outer(F.array(U.article_url("url"))).alias("_u"))
@@ -116,7 +119,9 @@ def scope_counts(articles: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def preview_import(articles: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: what an import would add, what exists, what is rejected, and its date range."""
-    merged = merge_import(articles)
+    articles = articles.select(*PREVIEW_FIELDS)
+    # Stored, as four counts read them.
+    merged = checkpointed(merge_import(articles))
     keys = new_and_known(merged, stored, KEYS).agg(
         F.count_if(~c("known")).alias("added_count"), F.count_if("known").alias("existing_count"))
     raw = articles.agg(F.count(F.lit(1)).alias("raw_records"),

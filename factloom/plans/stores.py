@@ -12,6 +12,7 @@ from factloom.operators import pool as P
 from factloom.operators import quality as Q
 from factloom.operators import report as R
 from factloom.operators import scoring as S
+from factloom.operators.common import checkpointed
 from factloom.operators.dedupe import url_owner
 from factloom.plans.registry import AS_OF, NOW, Tables, query
 from factloom.rules import text as T
@@ -99,7 +100,7 @@ SELECT (SELECT count(*) FROM imports) AS raw_records, (SELECT count(*) FROM impo
   count(*) FILTER (WHERE o.account_key IS NULL) AS added_count, count(*) FILTER (WHERE o.account_key IS NOT NULL) AS existing_count,
   (SELECT count(*) FROM keyed) - count(*) AS duplicate_records_removed FROM pool p LEFT JOIN old o ON o.account_key = p.account_key AND o.canonical_url = p.canonical_url""")
 def import_preview(t: Tables) -> DataFrame:
-    rows = _articles(t)
+    rows = checkpointed(_articles(t).select(*P.PREVIEW_FIELDS))
     stored = P.merge_import(rows.filter("seq % 2 = 0"))
     return P.preview_import(rows, stored).select("raw_records", "rejected_records", "accepted_records", "added_count", "existing_count",
                                                  "duplicate_records_removed")

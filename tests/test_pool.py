@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
+from factloom.functions import text as X
 from factloom.operators import pool as P
 from factloom.operators.pool_store import ArticlePool
 from factloom.sources import history as H
@@ -152,3 +153,17 @@ def test_refresh_due(spark):
                                  "source string, status string, finished_at string")
     out = {r["source"]: r["due"] for r in refresh_due(runs, D.to_epoch("2026-08-21T11:00:00")).collect()}
     assert out == {"a": False, "b": True, "c": False, "d": True}
+
+
+def test_clean_without_references_equals_the_decoding_one(spark):
+    texts = [None, "", "  a 　 b ", "a &amp; b", "&#65;  c", "plain", "\t", "x&y  z", "&lt"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    whole = F.expr(f"transform(array(coalesce(string(x), '')), x -> {X._clean_sql()})[0]")
+    for row in df.select(X.clean("x").alias("a"), whole.alias("b")).collect():
+        assert row["a"] == row["b"]
+
+
+def test_imported_rows_of_one_split_are_read_by_many_tasks(spark):
+    rows = spark.createDataFrame([(i, f"https://mp.weixin.qq.com/s?mid={i}&idx=1&__biz=B") for i in range(50)], "seq long, url string").coalesce(1)
+    out = P.normalize_articles(rows, "待识别:x")
+    assert out.rdd.getNumPartitions() > 4 and out.count() == 50
