@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.common import checkpointed, small
+from factloom.operators.common import checkpointed, settled, small
 from factloom.operators.pool import ALIASES, credential_key_count
 
 c = F.col
@@ -81,13 +81,20 @@ def history_lines(spark: SparkSession, path: str) -> DataFrame:
                        F.monotonically_increasing_id().alias("place"), "value")
 
 
-def file_facts(lines: DataFrame) -> DataFrame:
-    """Per file, in one scan: utf8 (all its lines are), bytes, head (its first line), delimited, quoted (a quote is open at a line's end)."""
+def block_facts(lines: DataFrame) -> DataFrame:
+    """Per split of a file, in one scan: what :func:`file_facts` needs, and the number of its quotes."""
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = lines.groupBy("source").agg(
+    return lines.groupBy("source", "block").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"),
-        F.min_by("value", F.struct(*_LINE)).alias("head"), F.bool_or(quotes % 2 == 1).alias("quoted"),
-        F.count_if(F.trim("value") != "").alias("filled"))
+        F.min_by("value", "place").alias("head"), F.min("place").alias("place"), F.bool_or(quotes % 2 == 1).alias("quoted"),
+        F.count_if(F.trim("value") != "").alias("filled"), F.sum(quotes).alias("quotes"))
+
+
+def file_facts(blocks: DataFrame) -> DataFrame:
+    """Per file: utf8 (all its lines are), bytes, head (its first line) and first (where that is), delimited, quoted (a quote is open at a line's end)."""
+    facts = blocks.groupBy("source").agg(
+        F.bool_and("utf8").alias("utf8"), F.sum("bytes").alias("bytes"), F.min_by("head", F.struct(*_LINE)).alias("head"),
+        F.min(F.struct(*_LINE)).alias("first"), F.bool_or("quoted").alias("quoted"), F.sum("filled").alias("filled"))
     return facts.withColumn("delimited", F.lower("source").rlike("\\.(csv|tsv)$"))
 
 
@@ -114,41 +121,40 @@ def _with_columns(spark: SparkSession, facts: DataFrame) -> DataFrame:
 
 
 def _cells(record: Column, sep: Column) -> Column:
-    """Cells of one delimited record (quotes doubled inside quotes), without a schema: pieces joined again while a quote is open."""
-    pieces = F.split(record, sep, -1)
-    odd = lambda x: (F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))) % 2 == 1
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def add(state: Column, piece: Column) -> Column:
-        whole = F.when(state["open"].isNull(), piece).otherwise(F.concat(state["open"], sep, piece))
-        closed = ~odd(whole)
-        return F.struct(F.when(closed, F.concat(state["done"], F.array(whole))).otherwise(state["done"]).alias("done"), F.when(~closed, whole).alias("open"))
-    state = F.aggregate(pieces, start, add)
-    cells = F.concat(state["done"], F.when(state["open"].isNotNull(), F.array(state["open"])).otherwise(F.array().cast("array<string>")))
+    """Cells of one delimited record (quotes doubled inside quotes), without a schema: a cell goes on while a quote is open."""
+    cell = F.concat(sep, F.lit('([^"'), sep, F.lit(']*+(?:"[^"]*+"?+[^"'), sep, F.lit(']*+)*+)'))
     plain = lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
-    return F.transform(cells, plain)
+    quoted = F.transform(F.regexp_extract_all(F.concat(sep, record), cell, F.lit(1)), plain)
+    return F.when(F.contains(record, F.lit('"')), quoted).otherwise(F.split(record, sep, -1))
 
 
-def _records(lines: DataFrame) -> DataFrame:
+def _records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """Lines of delimited files joined to records where a quote is open at a line's end; ordered by (block, place) of their first line.
 
-    Quotes are summed in a split, then over the splits of a file, so no file is read by one task.
+    ``blocks`` has the quotes of every split.  They are summed over the splits of a file, then in a split, so no file is read
+    by one task; lines move once, to their split, and only what a split has of a record that began before it is joined after.
     """
-    quotes = lines.withColumn("_q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
-    inside = Window.partitionBy("source", "block").orderBy("place")
-    blocks = quotes.groupBy("source", "block").agg(F.sum("_q").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = blocks.select("source", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_open"))
-    rows = quotes.join(opened, ["source", "block"])
-    before = c("_open") + F.coalesce(F.sum("_q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_start", F.when(before % 2 == 0, F.struct(*_LINE)))
-    rows = rows.withColumn("_own", F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    # A record may have begun in an earlier split.
-    lasts = rows.groupBy("source", "block").agg(F.max("_start").alias("_last"))
-    carried = lasts.select("source", "block", F.max("_last").over(earlier).alias("_carried"))
-    rows = rows.join(carried, ["source", "block"]).withColumn("_key", F.coalesce("_own", "_carried"))
-    joined = rows.groupBy("source", "_key").agg(F.array_sort(F.collect_list(F.struct(*_LINE, "value"))).alias("_l"))
-    return joined.select("source", c("_key.block").alias("block"), c("_key.place").alias("place"), F.array_join(F.transform("_l", lambda x: x["value"]), "\n").alias("value"))
+    opened = blocks.select("source", "block", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("_open"))
+    rows = lines.withColumn("_q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).join(small(opened), ["source", "block"])
+    so_far = Window.partitionBy("source", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    begins = (c("_open") + F.sum("_q").over(so_far) - c("_q")) % 2 == 0
+    rows = rows.withColumn("_begin", F.when(begins, c("place"))).withColumn("_own", F.last("_begin", ignorenulls=True).over(so_far))
+    text = lambda x: F.array_join(F.transform(F.array_sort(x), lambda y: y["value"]), "\n")
+    pieces = checkpointed(rows.groupBy("source", "block", "_own").agg(text(F.collect_list(F.struct("place", "value"))).alias("value")))
+    whole = pieces.filter(c("_own").isNotNull()).select("source", "block", c("_own").alias("place"), "value")
+    # What a split has of a record that began in an earlier one: one piece at most.
+    loose = pieces.filter(c("_own").isNull())
+    if loose.isEmpty():
+        return whole
+    lasts = pieces.groupBy("source", "block").agg(F.max("_own").alias("_last"))
+    begun = lasts.select("source", "block", F.max(F.when(c("_last").isNotNull(), F.struct("block", c("_last").alias("place")))).over(earlier).alias("_key"))
+    loose = loose.join(begun, ["source", "block"]).select("source", c("_key.block").alias("block"), c("_key.place").alias("place"), c("block").alias("_at"), "value")
+    keys = ["source", *_LINE]
+    cut = small(loose.select(*keys).distinct())
+    parts = whole.join(cut, keys, "left_semi").withColumn("_at", c("block")).unionByName(loose)
+    joined = parts.groupBy(*keys).agg(text(F.collect_list(F.struct("_at", "value"))).alias("value"))
+    return whole.join(cut, keys, "left_anti").unionByName(joined)
 
 
 def read_histories(spark: SparkSession, path: str, largest: int = 256_000_000) -> DataFrame:
@@ -160,13 +166,13 @@ def read_histories(spark: SparkSession, path: str, largest: int = 256_000_000) -
     ``largest`` bytes gives a row with reject_reason 'size', a text that neither encoding reads one with 'encoding'.
     """
     lines = history_lines(spark, path)
-    facts = checkpointed(_with_columns(spark, file_facts(lines).withColumn("by_line", F.try_parse_json(F.regexp_replace("head", "^\ufeff", "")).isNotNull())))
+    blocks = checkpointed(block_facts(lines))
+    facts = checkpointed(_with_columns(spark, file_facts(blocks).withColumn("by_line", F.try_parse_json(F.regexp_replace("head", "^\ufeff", "")).isNotNull())))
     # One row per file.
     rows = _decoded(spark, lines.join(small(facts), "source"), "value")
     delimited = rows.filter("delimited")
-    records = delimited.filter("not quoted").select("source", *_LINE, "value").unionByName(_records(delimited.filter("quoted").select("source", *_LINE, "value")))
-    first = records.groupBy("source").agg(F.min(F.struct(*_LINE)).alias("_head"))
-    records = records.join(small(first), "source").filter((F.struct(*_LINE) != c("_head")) & (c("value") != "")).drop("_head").join(small(facts.select("source", "names", "sep")), "source")
+    records = delimited.filter("not quoted").select("source", *_LINE, "value").unionByName(_records(delimited.filter("quoted").select("source", *_LINE, "value"), blocks))
+    records = records.join(small(facts.select("source", "names", "sep", "first")), "source").filter((F.struct(*_LINE) != c("first")) & (c("value") != ""))
     pairs = F.filter(F.arrays_zip("names", _cells(c("value"), c("sep")).alias("cells")), lambda x: x["names"].isNotNull() & x["cells"].isNotNull())
     as_json = F.to_json(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["names"], x["cells"]))))
     tables = records.select("source", *_LINE, as_json.alias("text"), F.lit("csv_import").alias("fetch_mode"))
@@ -232,6 +238,28 @@ def _inherit(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.coalesce(_first(c("v"), ALIASES[k], c("_raw")), c(k)) for k in _INHERITED})
 
 
+# What a text holds if one of its keys may be a container, a group or a raw record (a key may be written with escapes).
+_OPENERS = [*CONTAINERS, *GROUP_ITEMS, "app_msg_ext_info", "raw"]
+_MAY_NEST = f"\"(?=[{''.join(sorted({k[0] for k in _OPENERS}))}])(?:{'|'.join(_OPENERS)})\"|\\\\u"
+
+
+def _flat_articles(documents: DataFrame, base: list[str], depth: int) -> DataFrame:
+    """Articles of documents that are one object without containers, groups and a raw record: their fields are read from one map."""
+    fields = F.try_variant_get(F.try_parse_json("text"), "$", "map<string,string>")
+    rows = settled(documents.select(*base, fields.alias("_m")), "_m")
+
+    def first(names: list[str]) -> Column:
+        return F.coalesce(*[F.when(F.try_element_at("_m", F.lit(n)) != "", F.try_element_at("_m", F.lit(n))) for n in names])
+
+    rows = rows.select(*base, *[first(names).alias(k) for k, names in ALIASES.items() if k != "group_key"], first(["title"]).alias("_title"))
+    text = lambda name: F.coalesce(name, F.lit("None"))
+    seed = F.concat_ws("|", text("url"), text("publish_time"), text("_title"))
+    key = (F.when(c("msgid").isNotNull(), F.concat(F.lit("msgid:"), "msgid")).when(c("appmsgid").isNotNull(), F.concat(F.lit("appmsgid:"), "appmsgid"))
+           .otherwise(F.concat(F.lit("fallback:"), F.substring(F.sha2(seed, 256), 1, 24))))
+    rest = [k for k in ALIASES if k not in [*_INHERITED, "group_key"]]
+    return rows.filter(c("url").isNotNull()).select(*base, *_INHERITED, key.alias("group_key"), F.array_repeat(F.lit(0), depth).alias("_path"), *rest)
+
+
 def flatten_history(documents: DataFrame, levels: int = 4) -> DataFrame:
     """One row per article of nested histories, in document order (``_path``).
 
@@ -239,11 +267,16 @@ def flatten_history(documents: DataFrame, levels: int = 4) -> DataFrame:
     opened, too.  Account, message id, publish time and group key pass down to the articles.  The head of a publish
     group has item 1, its further items count from 2.  A document that is no JSON, or that holds no article, gives
     no row (see :func:`unread_documents`).  A look at the data, once for every ``levels`` levels of containers and
-    of items, tells whether something is still closed.
+    of items, tells whether something is still closed.  Documents that are plainly one article are read apart.
     """
     base = [x for x in documents.columns if x != "text"]
     kept = [*base, *_INHERITED]
-    level = documents.withColumn("v", F.try_parse_json("text")).filter(c("v").isNotNull()).drop("text")
+    flat = F.coalesce(F.startswith(F.ltrim("text"), F.lit("{")) & ~c("text").rlike(_MAY_NEST), F.lit(False))
+    plain = _flat_articles(documents.filter(flat), base, levels + max(2, levels // 2))
+    nested = checkpointed(documents.filter(~flat))
+    if nested.isEmpty():
+        return plain
+    level = nested.withColumn("v", F.try_parse_json("text")).filter(c("v").isNotNull()).drop("text")
     level = level.withColumns({k: F.lit(None).cast("string") for k in _INHERITED} | {"_path": F.array().cast("array<int>")})
     group = _is_object(_cell(_get(c("v"), "app_msg_ext_info", "variant")))
     leaf = F.coalesce(group | _first(c("v"), ALIASES["url"], c("_raw")).isNotNull(), F.lit(False))
@@ -253,9 +286,9 @@ def flatten_history(documents: DataFrame, levels: int = 4) -> DataFrame:
             below = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.when(~leaf, _below(c("v"))), F.array("v"))
             level = with_raw(level).select(*kept, "_path", F.posexplode(below).alias("_p", "v"))
             level = level.withColumn("_path", F.concat("_path", F.array("_p"))).drop("_p")
-        level = with_raw(level)
+        level = checkpointed(with_raw(level))
         if level.filter(~leaf).isEmpty():
-            return _articles(level, base, levels)
+            return _articles(level, base, levels).unionByName(plain)
 
 
 def _articles(leaves: DataFrame, base: list[str], levels: int) -> DataFrame:
@@ -286,6 +319,7 @@ def _articles(leaves: DataFrame, base: list[str], levels: int) -> DataFrame:
             rows = rows.withColumns({"_item": c("_n.i"), "v": c("_n.v"), "_open": c("_p") > 0,
                                      "_path": F.concat("_path", F.array("_p")), "_raw": _get(c("_n.v"), "raw", "variant")})
             rows = _inherit(rows)
+        rows = checkpointed(rows)
         if rows.filter(c("_open") & (F.size(_items(c("v"))) > 0)).isEmpty():
             break
     fields = {k: _first(c("v"), names, c("_raw")) for k, names in ALIASES.items() if k not in _INHERITED + ["group_key"]}

@@ -72,3 +72,14 @@ def test_mixed_folder_feeds_the_flattening(spark, tmp_path):
     docs = H.read_histories(spark, str(tmp_path)).filter(F.col("reject_reason").isNull()).drop("reject_reason", "fetch_mode")
     rows = H.flatten_history(docs).orderBy("source", "_path").collect()
     assert [(r["title"], r["url"][-1]) for r in rows] == [("文", "a"), ("子", "b"), ("甲", "c")]
+
+
+def test_flat_documents_are_read_without_levels(spark):
+    texts = ['{"url":"u1","title":"a","msgid":7}', '{"link":"u2","name":"b","create_time":"2024-01-02"}', '{"title":"no link"}', "{broken", '{"url":"","content_url":"u3","nickname":"号","n":[1]}']
+    flat = H.flatten_history(spark.createDataFrame([(x, "s") for x in texts], "text string, source string"))
+    nested = H.flatten_history(spark.createDataFrame([(f'{{"list":[{x}]}}' if x[0] == "{" else x, "s") for x in texts], "text string, source string"))
+    assert "lambdafunction" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(str, df.select(*[x for x in df.columns if x != "_path"]).collect()))
+    assert rows(flat) == rows(nested) and len(rows(flat)) == 3
+    mixed = spark.createDataFrame([(x, "s") for x in [*texts, '{"\\u006cist":[{"url":"u4"}]}', '{"url":"u5","sub_articles":[{"url":"u6"}]}']], "text string, source string")
+    assert sorted(r["url"] for r in H.flatten_history(mixed).collect()) == ["u1", "u2", "u3", "u4", "u5", "u6"]
