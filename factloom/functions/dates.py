@@ -99,7 +99,10 @@ def stamp_epoch(value: Column | str) -> Column:
         number = number_epoch(text)
         return F.coalesce(F.when(number > 0, number), iso_epoch(text), mail_epoch(text))
 
-    return bind(strip(as_column(value).cast("string")), read)
+    text = strip(as_column(value).cast("string"))
+    # A plain day, which most are, is read without lambdas.
+    day = F.unix_date(text.try_cast("date")).cast("bigint") * 86400 - SHANGHAI
+    return F.when(text.rlike("^\\d{4}-\\d{2}-\\d{2}\\z"), day).otherwise(bind(text, read))
 
 
 def local_date(epoch: Column, offset: int = SHANGHAI) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,6 +117,13 @@ def _kept_query(pairs: Column, keys: list[str]) -> Column:
     return F.array_join(parts, "&")
 
 
+def link_text(value: Column | str) -> Column:
+    """The text of a link without quotes around it, with plain slashes and ampersands, and with a scheme."""
+    raw = F.replace(F.regexp_replace(strip(F.coalesce(as_column(value), F.lit(""))), "^['\"]+|['\"]+$", ""),
+                    F.lit("\\/"), F.lit("/"))
+    return F.regexp_replace(F.regexp_replace(raw, "(?i)&amp;|&#(?:38|x26);", "&"), "^//", "https://")
+
+
 def canonical_url(value: Column | str, hosts: list[str] | None = None,
                   path_pattern: str | None = None, identity_keys: list[str] | None = None,
                   temporary_keys: list[str] | None = None,
@@ -125,9 +134,7 @@ def canonical_url(value: Column | str, hosts: list[str] | None = None,
     takes any host; ``bare_path`` is the path that is no article without a query.
     """
     identity_keys, temporary_keys = identity_keys or [], temporary_keys or []
-    raw = F.replace(F.regexp_replace(strip(F.coalesce(as_column(value), F.lit(""))), "^['\"]+|['\"]+$", ""),
-                    F.lit("\\/"), F.lit("/"))
-    raw = F.regexp_replace(F.regexp_replace(raw, "(?i)&amp;|&#(?:38|x26);", "&"), "^//", "https://")
+    raw = link_text(value)
 
     def parts(r: Column) -> Column:
         pairs = query_pairs(query(r))
@@ -161,6 +168,28 @@ def article_url(value: Column | str) -> Column:
                          T.TEMPORARY_QUERY_KEYS, bare_path="/s")
 
 
+# A link of an article in which nothing is encoded or to be encoded (but '=' in a value).
+_PLAIN_ARTICLE = f"^https?://{T.ARTICLE_HOST.replace('.', '[.]')}/s(?:/[A-Za-z0-9_-]+)?[?][A-Za-z0-9_.=&-]*(?:#[A-Za-z0-9_.=&-]*)?\\z"
+
+
+def query_of_plain_article(text: Column) -> Column:
+    """Query of a :func:`link_text` between '&', if it is a plain link of an article with every identity key it has filled; else NULL."""
+    asked = F.concat(F.lit("&"), F.substring_index(F.substring_index(text, "#", 1), "?", -1), F.lit("&"))
+    return F.when(text.rlike(_PLAIN_ARTICLE) & ~asked.rlike(f"&(?:{'|'.join(T.IDENTITY_QUERY_KEYS)})=&"), asked)
+
+
+def plain_article(text: Column, asked: Column) -> Column:
+    """The form that :func:`article_url` gives a plain link, read without lambdas; NULL if it is none or has no identity key."""
+    def part(key: str) -> Column:
+        value = F.substring_index(F.substring_index(asked, f"&{key}=", -1), "&", 1)
+        return F.when(F.contains(asked, F.lit(f"&{key}=")), F.concat(F.lit(f"{key}="), F.replace(value, F.lit("="), F.lit("%3D"))))
+
+    keys = T.IDENTITY_QUERY_KEYS
+    some = functools.reduce(lambda x, y: x | y, [F.contains(asked, F.lit(f"&{k}=")) for k in keys])
+    place = F.substring_index(F.substring_index(text, "?", 1), "://", -1)
+    return F.when(some, F.concat(F.lit("https://"), place, F.lit("?"), F.concat_ws("&", *map(part, keys))))
+
+
 def strict_url(value: Column | str, hosts: list[str], secret_keys: list[str] | None = None) -> Column:
     """Struct (url, reason): https only, exact host, an article path, no secrets in the query."""
     text = strip(F.coalesce(as_column(value), F.lit("")))

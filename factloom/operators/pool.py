@@ -10,7 +10,7 @@ from factloom.functions import numbers as N
 from factloom.functions import text as X
 from factloom.functions import url as U
 from factloom.functions.entity import account_key
-from factloom.operators.common import beside, checkpointed, indexed, spread
+from factloom.operators.common import beside, checkpointed, indexed, small, spread
 from factloom.operators.dedupe import merge_last_non_blank, url_owner
 from factloom.operators.joins import new_and_known
 from factloom.rules import text as T
@@ -64,23 +64,28 @@ def normalize_articles(rows: DataFrame, fallback_account: str, fetch_mode: str =
     """
     # Rows that bring their order are dealt to all cores first: reading URLs, texts and dates is the cost of an import.
     rows, seq = (spread(rows, "seq"), "seq") if "seq" in rows.columns else (rows, "monotonically_increasing_id()")
-    v = rows.selectExpr(f"{seq} AS seq", *[f"{alias_value(rows, names)} AS {k}" for k, names in ALIASES.items()])
-    # One element per row: filters on the reason stay above this step, so no URL is read twice.
-    v = v.select("*", F.explode_outer(F.array(U.article_url("url"))).alias("_u"))
-    df = v.withColumns({"account_name": X.clean("account_name", 300),
-                        "fakeid": X.clean("fakeid", 300)})
+    values = {k: alias_value(rows, names) for k, names in ALIASES.items()}
+    # A field that no column carries is a constant, so that nothing is computed for it.
+    field = {k: k if v != alias_value(rows, []) else "NULL" for k, v in values.items()}
+    v = rows.selectExpr(f"{seq} AS seq", *[f"{v} AS {k}" for k, v in values.items() if field[k] == k or k == "url"])
+    # One element per row: filters on the reason stay above this step, so no URL is read twice. Plain links need no lambda.
+    v = v.withColumn("_link", U.link_text("url")).withColumn("_asked", U.query_of_plain_article(c("_link"))).withColumn("_plain", U.plain_article(c("_link"), c("_asked")))
+    plain = F.struct(c("_plain").alias("url"), F.lit(None).cast("string").alias("reason"))
+    v = v.select("*", F.explode_outer(F.array(F.when(c("_plain").isNotNull(), plain).otherwise(U.article_url("url")))).alias("_u"))
+    df = v.withColumns({"account_name": X.clean(field["account_name"], 300),
+                        "fakeid": X.clean(field["fakeid"], 300)})
     df = df.withColumn("account_name", F.when((c("account_name") == "") & (c("fakeid") == ""), fallback_account)
                        .otherwise(c("account_name")))
     df = df.select(
         "seq", c("_u.url").alias("canonical_url"), c("_u.reason").alias("reject_reason"), "account_name", "fakeid",
         account_key(c("account_name"), c("fakeid")).alias("account_key"),
-        D.stamp_epoch("publish_time").alias("publish_time"),
-        *[X.clean(k, n).alias(k) for k, n in {**TEXT_LIMITS, "msgid": 200, "appmsgid": 200, "group_key": 300}.items()],
-        *[N.lenient_long(k).alias(k) for k in COUNTS], N.lenient_bool("is_deleted").alias("is_deleted"),
-        X.allow_listed("fetch_mode", T.FETCH_MODES, fetch_mode).alias("fetch_mode"),
-        X.allow_listed("credential_status", T.CREDENTIAL_STATUSES, "not_stored").alias("credential_status"),
-        D.iso_text("exported_at", exported_at).alias("exported_at"),
-        D.iso_text("discovered_at").alias("discovered_at"), X.redact("error").alias("error"))
+        D.stamp_epoch(F.expr(field["publish_time"])).alias("publish_time"),
+        *[X.clean(field[k], n).alias(k) for k, n in {**TEXT_LIMITS, "msgid": 200, "appmsgid": 200, "group_key": 300}.items()],
+        *[N.lenient_long(F.expr(field[k])).alias(k) for k in COUNTS], N.lenient_bool(F.expr(field["is_deleted"])).alias("is_deleted"),
+        X.allow_listed(field["fetch_mode"], T.FETCH_MODES, fetch_mode).alias("fetch_mode"),
+        X.allow_listed(field["credential_status"], T.CREDENTIAL_STATUSES, "not_stored").alias("credential_status"),
+        D.iso_text(F.expr(field["exported_at"]), exported_at).alias("exported_at"),
+        D.iso_text(F.expr(field["discovered_at"])).alias("discovered_at"), X.redact(field["error"]).alias("error"))
     group = (F.when(c("group_key") != "", c("group_key"))
              .when(c("msgid") != "", F.concat(F.lit("msgid:"), "msgid"))
              .when(c("appmsgid") != "", F.concat(F.lit("appmsgid:"), "appmsgid"))
@@ -99,13 +104,19 @@ def _blank_texts(articles: DataFrame) -> DataFrame:
     return articles.fillna("", subset=[n for n, t in articles.dtypes if t == "string" and n not in KEYS])
 
 
-def merge_import(articles: DataFrame, also_max: list[str] | None = None) -> DataFrame:
+def merge_import(articles: DataFrame, also_max: list[str] | None = None, sparse: bool = False) -> DataFrame:
     """One row per account and URL of an import: the last non-blank value of every field wins.
 
-    Columns of ``also_max`` take their largest value.
+    Columns of ``also_max`` take their largest value.  With ``sparse``, for rows that are stored, only those whose key
+    comes more than once are grouped; the others, mostly all, stay where they are.
     """
     good = articles.filter(c("reject_reason").isNull()).drop("reject_reason")
-    merged = _blank_texts(merge_last_non_blank(good, KEYS, any_true=["is_deleted", *(also_max or [])]))
+    several, single = good, None
+    if sparse:
+        again = small(checkpointed(good.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*KEYS)))
+        several, single = good.join(again, KEYS, "left_semi"), good.join(again, KEYS, "left_anti")
+    merged = merge_last_non_blank(several, KEYS, any_true=["is_deleted", *(also_max or [])])
+    merged = _blank_texts(merged if single is None else merged.unionByName(single))
     return merged.withColumn("date_status", F.when(c("publish_time").isNull(), "pending").otherwise("known"))
 
 

@@ -219,13 +219,17 @@ class ArticlePool:
             accounts = self._merge_accounts(head, next_, incoming, imported_at)
             merged = self._merge_articles(head, next_, incoming, accounts, imported_at)
             counts |= merged.agg(F.count(F.lit(1)).alias("accepted_records"), F.count_if(~c("_old")).alias("added_articles"), F.count_if("_old").alias("existing_articles"),
-                                 F.count_if(c("_old") & c("_new")).alias("updated_articles")).first().asDict() | P.scope_counts(incoming).first().asDict()
+                                 F.count_if(c("_old") & c("_new")).alias("updated_articles")).first().asDict()
             counts["duplicate_records_removed"] = counts["raw_records"] - counts["rejected_records"] - counts["accepted_records"]
             self._write(next_, ACCOUNTS, accounts, attempt)
             self._write(next_, ARTICLES, merged.drop("_old", "_new"), attempt)
-            scopes = P.scope_counts(incoming, ["account_key"]).join(accounts.select("account_key", c("id").alias("account_id")), "account_key")
+            # A URL is once in an account, so only groups are counted distinct there; groups and originals of the import are sums.
+            scopes = incoming.groupBy("account_key").agg(F.count_distinct("group_key").alias("publish_groups"), F.count(F.lit(1)).alias("expanded_url_items"),
+                                                         F.count_if(P.original()).alias("original_articles")).join(accounts.select("account_key", c("id").alias("account_id")), "account_key")
             next_["scopes"] = f"scopes/{attempt}"
             scopes.select(F.lit(head["next_run_id"]).cast("long").alias("run_id"), "account_id", "publish_groups", "expanded_url_items", "original_articles").write.parquet(f"{self.root}/{next_['scopes']}")
+            counts |= self._load([next_["scopes"]]).agg(F.sum("publish_groups").alias("publish_groups"), F.sum("original_articles").alias("original_articles")).first().asDict()
+            counts |= incoming.agg(F.count_distinct("canonical_url").alias("expanded_url_items")).first().asDict()
         name = self.spark.range(1).select(X.redact(F.lit(source_name))).first()[0]
         next_["run"] = {"run_id": head["next_run_id"], "source_name": name, "source_fingerprint": fingerprint, **{x: counts[x] for x in RUN_COUNTS},
                         "imported_at": imported_at, "stream": stream, "batch": batch}
@@ -238,7 +242,7 @@ class ArticlePool:
     def _incoming(self, rows: DataFrame) -> DataFrame:
         """Merged rows of an import with their rank: latest first, then higher places in a group, then arrival."""
         first = rows.withColumn("_first", -c("seq"))
-        merged = P.merge_import(first, also_max=["_first"])
+        merged = P.merge_import(first, also_max=["_first"], sparse=True)
         return merged.withColumn("_order", F.struct((-F.coalesce("publish_time", F.lit(0))).alias("a"), (-F.coalesce("itemidx", F.lit(0))).alias("b"),
                                                     (-c("_first")).alias("c"), *P.KEYS)).drop("_first", "seq")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dates as D
 from factloom.functions import text as X
+from factloom.functions import url as U
 from factloom.operators import pool as P
 from factloom.operators.pool_store import ArticlePool
 from factloom.sources import history as H
@@ -167,3 +168,16 @@ def test_imported_rows_of_one_split_are_read_by_many_tasks(spark):
     rows = spark.createDataFrame([(i, f"https://mp.weixin.qq.com/s?mid={i}&idx=1&__biz=B") for i in range(50)], "seq long, url string").coalesce(1)
     out = P.normalize_articles(rows, "待识别:x")
     assert out.rdd.getNumPartitions() > 4 and out.count() == 50
+
+
+def test_plain_links_and_single_rows_need_no_lambda_and_no_merge(spark):
+    base = "http://mp.weixin.qq.com/s"
+    links = [f"{base}?scene=1&amp;mid=7&idx=1&__biz=MzA==#rd", f"{base}?mid=1&mid=2", f"{base}?mid=&sn=a", f"{base}?mid=%41", f"{base}/ab-c?x=1#a&mid=3", f"{base}/ab?itemidx=4&x=", base, "http://other.cn/s?mid=1"]
+    df = spark.createDataFrame([(x,) for x in links], "url string").withColumn("link", U.link_text("url")).withColumn("asked", U.query_of_plain_article(F.col("link")))
+    got = df.select(U.plain_article(F.col("link"), F.col("asked")).alias("plain"), U.article_url("url").alias("full")).collect()
+    assert [i for i, r in enumerate(got) if r["plain"]] == [0, 1, 5] and all(r["plain"] in (None, r["full"]["url"]) for r in got)
+    raw = [(i, f"{base}?mid={m}&idx=1&__biz=B", t, d) for i, (m, t, d) in enumerate([(1, "a", "2024-01-05"), (2, "", None), (1, "", "x"), (3, "c", "2024-02-30"), (1, "d", None)])]
+    rows = P.normalize_articles(spark.createDataFrame(raw, "seq long, url string, title string, publish_time string"), "号").cache()
+    one, other = P.merge_import(rows, sparse=True), P.merge_import(rows)
+    assert sorted(map(str, one.select(*other.columns).collect())) == sorted(map(str, other.collect())) and one.count() == 3
+    assert {r["title"]: r["publish_time"] for r in one.collect()} == {"d": 1704384000, "": None, "c": None}
