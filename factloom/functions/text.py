@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -73,16 +73,27 @@ def strip(value: Column | str) -> Column:
     return F.btrim(as_column(value), F.lit(_SPACES))
 
 
-def unescape(value: Column | str, terminated: bool = False) -> Column:
+def unescape(value: Column | str, terminated: bool = False, names: Sequence[str] | None = None) -> Column:
     """Decode HTML character references: numeric ones and all named ones, a longest known name winning.
 
-    ``terminated`` decodes only references that end with a semicolon and whose whole name is known.
+    ``terminated`` decodes only references that end with a semicolon and whose whole name is known; ``names`` only these
+    names, each as it is spelled (``amp;`` with its semicolon, ``amp`` without).
     """
+    if names is not None:
+        return _of_names(as_column(value), names)
     tokens = F.regexp_extract_all(as_column(value), F.lit(f"{_TERMINATED if terminated else _ENTITY}|[^&]+|&"), F.lit(0))
     decoded = F.array_join(F.transform(tokens, lambda token: _decoded(token, terminated)), "")
     return F.when(F.contains(as_column(value), F.lit("&")), decoded).otherwise(as_column(value))
 
 
+def _of_names(value: Column, names: Sequence[str]) -> Column:
+    """The text with these references decoded; those that mean '&' come last, so that what they leave is not read as another one."""
+    for char in sorted({html5[n] for n in names}, key=lambda char: (char == "&", char)):
+        spelled = "|".join(sorted((n for n in names if html5[n] == char), key=len, reverse=True))
+        value = F.regexp_replace(value, f"&(?:{spelled})", re.sub(r"([\\$])", r"\\\1", char))
+    return value
+
+
 def _decoded(token: Column, terminated: bool) -> Column:
     """What one token of :func:`unescape` stands for."""
     table = F.str_to_map(F.lit(_TABLE), F.lit(_NEXT), F.lit(_PAIR))
@@ -126,14 +137,14 @@ def _clean_sql() -> str:
     return f"trim(regexp_replace({decoded}, {q(SPACE + '+')}, ' '))"
 
 
-def clean(value: Column | str, limit: int | None = None, terminated: bool = False) -> Column:
+def clean(value: Column | str, limit: int | None = None, terminated: bool = False, names: Sequence[str] | None = None) -> Column:
     """NULL to '', decode entities, squash white space and cut to ``limit`` characters."""
-    if isinstance(value, str) and not terminated:
+    if isinstance(value, str) and not terminated and names is None:
         # Texts without a reference, most of them, need no decoding and so no lambda; blank ones need nothing.
         text, spaces = f"coalesce(string({value}), '')", sql_text(SPACE + "+")
         out = F.expr(f"CASE WHEN {text} = '' THEN '' WHEN contains({text}, '&') THEN transform(array({text}), x -> {_clean_sql()})[0] ELSE trim(regexp_replace({text}, {spaces}, ' ')) END")
     else:
-        out = squash(unescape(F.coalesce(as_column(value).cast("string"), F.lit("")), terminated))
+        out = squash(unescape(F.coalesce(as_column(value).cast("string"), F.lit("")), terminated, names))
     return F.substring(out, 1, limit) if limit else out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def feed_items(spark: SparkSession, path: str, per_feed: int | None = 50, charse
     return top_per_group(items, ["feed"], [c("_block"), c("_row")], per_feed).select("feed", (c("_rank") - 1).cast("long").alias("pos"), "item")
 
 
-def _parsed(items: DataFrame) -> DataFrame:
+def _parsed(items: DataFrame, references: Sequence[str] | None) -> DataFrame:
     """Items with the fields of their XML; ``_broken`` marks those that are none."""
     item = F.from_xml(F.concat(F.lit("<item>"), "item", F.lit("</item>")), ITEM_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = items.select("feed", "pos", "item", item.alias("_x"))
@@ -130,28 +132,34 @@ def _parsed(items: DataFrame) -> DataFrame:
     def first(name: str) -> Column:
         return F.coalesce(F.try_element_at(f"_x.{name}", F.lit(1)), F.lit(""))
 
+    def clean(value: Column) -> Column:
+        return X.clean(value, names=references)
+
     source = F.try_element_at("_x.source", F.lit(1))
-    publisher = X.clean(source["_VALUE"])
-    title = X.clean(first("title"))
+    publisher = clean(source["_VALUE"])
+    title = clean(first("title"))
     tail = F.concat(F.lit(" - "), publisher)
     short = F.when((publisher != "") & F.endswith(title, tail), X.strip(
         F.substring(title, F.lit(1), F.length(title) - F.length(tail)))).otherwise(title)
     return rows.select(
-        "feed", "pos", "item", short.alias("title"), X.clean(first("link")).alias("url"), X.clean(first("pubDate")).alias("published_at"),
-        publisher.alias("publisher"), X.clean(source["_url"]).alias("publisher_url"),
-        X.clean(F.regexp_replace(first("description"), "<[^>]+>", " ")).alias("summary"), F.lit("google_news_rss").alias("source_type"),
+        "feed", "pos", "item", short.alias("title"), clean(first("link")).alias("url"), clean(first("pubDate")).alias("published_at"),
+        publisher.alias("publisher"), clean(source["_url"]).alias("publisher_url"),
+        clean(F.regexp_replace(first("description"), "<[^>]+>", " ")).alias("summary"), F.lit("google_news_rss").alias("source_type"),
         F.lit(True).alias("discovery_only"), (c("_x").isNull() | c("_x._corrupt").isNotNull()).alias("_broken"))
 
 
-def feed_records(items: DataFrame) -> DataFrame:
-    """Records of feed items (feed, pos, item XML); a broken one, or one without title, link or date, is dropped."""
-    return _parsed(items).filter(~c("_broken") & (c("title") != "") & (c("url") != "") & (c("published_at") != "")).drop("item", "_broken")
+def feed_records(items: DataFrame, references: Sequence[str] | None = None) -> DataFrame:
+    """Records of feed items (feed, pos, item XML); a broken one, or one without title, link or date, is dropped.
+
+    Of the HTML references that the XML holds as text, all are decoded, or only those named in ``references`` (see :func:`text.unescape`).
+    """
+    return _parsed(items, references).filter(~c("_broken") & (c("title") != "") & (c("url") != "") & (c("published_at") != "")).drop("item", "_broken")
 
 
-def feed_rejects(items: DataFrame) -> DataFrame:
-    """The items that give no record: feed, pos, item and reject_reason."""
+def feed_rejects(items: DataFrame, references: Sequence[str] | None = None) -> DataFrame:
+    """The items that give no record of :func:`feed_records`: feed, pos, item and reject_reason."""
     reason = F.when(c("_broken"), "broken_xml").when(c("title") == "", "no_title").when(c("url") == "", "no_link").when(c("published_at") == "", "no_date")
-    return _parsed(items).select("feed", "pos", "item", reason.alias("reject_reason")).filter(c("reject_reason").isNotNull())
+    return _parsed(items, references).select("feed", "pos", "item", reason.alias("reject_reason")).filter(c("reject_reason").isNotNull())
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:

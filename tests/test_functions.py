@@ -199,6 +199,11 @@ def test_text_cut_inside_a_reference(evaluate):
     assert evaluate(lambda c: H.page_text(c, terminated=True), [page]) == ["a > b &am c &amp"]
 
 
+def test_references_of_some_names_only(evaluate):
+    names = ("quot;", "amp;", "amp", "dollar;", "bsol;")
+    assert evaluate(lambda c: X.clean(c, names=names), ["a &quot; &quot &lt; &#39;", "&amp;quot; &ampquot; &amp;amp &ampamp;", "&dollar;1 &bsol;0", None]) == ["a \" &quot &lt; &#39;", "&quot; &quot; &amp &amp;", "$1 \\0", ""]
+
+
 def test_numbers(evaluate):
     assert evaluate(N.lenient_long, ["1,234", "3.9", "x", "", None, "-2"]) == [1234, 3, None, None, None, -2]
     assert evaluate(N.lenient_bool, ["1", "Yes", "deleted", "0", None]) == [True, True, True, False, False]
