@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import html as H
 from factloom.functions import text as X
 from factloom.functions import url as U
-from factloom.operators.common import indexed, keep_first, top_per_group
+from factloom.operators.common import checkpointed, keep_first, small, top_per_group
 
 c = F.col
 MAX_BODY_BYTES = 2 * 1024 * 1024
@@ -112,15 +112,18 @@ def feed_items(spark: SparkSession, path: str, per_feed: int | None = 50, charse
     file's end breaks off stays, for :func:`feed_rejects`.  An end tag inside CDATA breaks its item off as well.
     """
     raw = spark.read.option("lineSep", "</item>").option("encoding", charset).text(path).select(
-        c("_metadata.file_path").alias("feed"), c("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+        c("_metadata.file_path").alias("feed"), c("_metadata.file_block_start").alias("_block"), "value")
     start = F.regexp_extract("value", ITEM_START, 0)
     cut = raw.filter(start != "").withColumn("_at", F.instr("value", start))
     hidden = F.substring("value", F.lit(1), c("_at") - 1).rlike("(?s)<!--(?!.*-->)")
-    items = cut.filter(~hidden).select("feed", "_block", "_row", F.substring("value", c("_at") + F.length(start), F.length("value")).alias("item"))
+    items = cut.filter(~hidden).select("feed", "_block", F.monotonically_increasing_id().alias("_row"), F.substring("value", c("_at") + F.length(start), F.length("value")).alias("item"))
     if per_feed is None:
-        placed = indexed(items, [c("feed"), c("_block"), c("_row")], "_index")
-        firsts = placed.groupBy(c("feed").alias("_feed")).agg(F.min("_index").alias("_first"))
-        return placed.join(firsts, c("feed") == c("_feed")).select("feed", (c("_index") - c("_first")).alias("pos"), "item")
+        # The items of a split have consecutive numbers; they are stored, so that splits and numbers stay the same, and not moved.
+        stored = checkpointed(items)
+        splits = stored.groupBy("feed", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
+        before = Window.partitionBy("feed").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = checkpointed(splits.select("feed", "_block", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - c("_first")).alias("_start")))
+        return stored.join(small(starts), ["feed", "_block"]).select("feed", (c("_row") + c("_start")).alias("pos"), "item")
     return top_per_group(items, ["feed"], [c("_block"), c("_row")], per_feed).select("feed", (c("_rank") - 1).cast("long").alias("pos"), "item")
 
 
